@@ -40,11 +40,10 @@ def aligned(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> Da
     """Contract and received columns side by side: matched, only expected, or only received.
 
     The window in ``received_columns`` and this join hash on the same (dataset, key), so each
-    side is shuffled once.  Received datasets without a contract are left out.
+    side is shuffled once.
     """
-    known = received.join(assignments.select("dataset").distinct(), "dataset", "left_semi")
     both = expected_columns(assignments, rules).join(
-        received_columns(known), ["dataset", "key"], "full_outer"
+        received_columns(received), ["dataset", "key"], "full_outer"
     )
     return both.filter(F.col("exp_pos").isNull() | F.col("src_pos").isNull() | F.col("is_last"))
 
@@ -151,7 +150,7 @@ def schema_findings(
     undeclared = (
         align.filter(F.col("exp_pos").isNull())
         .join(used, ["dataset", "key"], "left").filter(F.col("used").isNull())
-        .drop("contract").join(assignments.select("dataset", "contract"), "dataset")
+        .drop("contract").join(assignments.select("dataset", "contract"), "dataset")  # drops unassigned datasets
     )
     on_source = undeclared.select(
         "dataset", "contract", F.lit(1).alias("phase"), F.col("src_pos").alias("pos"),
@@ -172,6 +171,18 @@ def number_findings(findings: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
+    """Contract columns that are absent and not merely renamed."""
+    return schema_findings(assignments, rules, received, warn_extra_columns=False).filter(
+        F.col("check") == fixed.MISSING
+    )
+
+
+def extra_columns(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
+    """Received columns that are neither declared nor the new name of a contract column."""
+    return schema_findings(assignments, rules, received).filter(F.col("check") == fixed.EXTRA)
+
+
 def schema_diff(
     assignments: DataFrame, rules: DataFrame, received: DataFrame,
     allow_safe_promotion: bool = True, warn_extra_columns: bool = True,

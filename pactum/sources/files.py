@@ -42,6 +42,8 @@ def row_sample(df: DataFrame, row: Column, n: int = fixed.MAX_DATA_ROWS + 1) ->
 
 # -- row numbers --------------------------------------------------------------------------------
 
+MAX_BLOCKS = 200_000  # block tables up to this many rows are broadcast
+
 
 def with_row_parquet(df: DataFrame) -> DataFrame:
     """Row number within each Parquet file, from the reader itself."""
@@ -53,9 +55,10 @@ def with_row_csv(df: DataFrame, across_files: bool = False) -> DataFrame:
 
     The rows of one file block keep their order within a task, so a row's number is its place in
     the block plus the sizes of the blocks before it.  Only the block table (one row per file
-    split) is gathered for the running total; the data is not shuffled: the totals come back by a
-    join on the block, which the optimizer broadcasts while the table is small.  Call it on the
-    scan itself, before any filter.
+    split) is gathered for the running total.  The totals come back by a join on the block: as a
+    broadcast while the number of splits, known before the job runs, is within ``MAX_BLOCKS``, so
+    that the data is not shuffled; as an ordinary join beyond that.  Call it on the scan itself,
+    before any filter.
 
     Counts restart with every file; ``across_files`` goes on through the files in name order.
     """
@@ -75,6 +78,8 @@ def with_row_csv(df: DataFrame, across_files: bool = False) -> DataFrame:
         files = files.select("__file", F.coalesce(earlier, F.lit(0).cast("long")).alias("__earlier"))
         offsets = offsets.join(files, "__file").withColumn("__before", F.col("__before") + F.col("__earlier"))
     offsets = offsets.select("__file", "__block", "__first", "__before")
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= MAX_BLOCKS:
+        offsets = F.broadcast(offsets)
     row = F.col("__id") - F.col("__first") + F.col("__before") + fixed.FIRST_ROW
     return placed.join(offsets, ["__file", "__block"]).withColumn("row", row).drop(
         "__file", "__block", "__id", "__first", "__before"
