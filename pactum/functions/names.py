@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum import fixed
@@ -55,77 +55,52 @@ def rename_score(left: Column, right: Column) -> Column:
 # Two similar names always share at least one key, so an equi-join on the keys followed by
 # ``is_similar`` is exact and never compares every missing column with every extra one.
 #
-# containment: the contained name gives its first characters (at most ANCHOR), the containing
-#   name gives every window of up to that size.
-# edit distance <= 2: cut one name into three pieces; at least one piece survives two edits and
-#   is found in the other name at most two places away (the pigeonhole argument of the PASS-JOIN
-#   paper, Li et al., VLDB 2011).
+# containment: the first ANCHOR characters of the contained name are a window of the other.
+# edit distance <= 2: cut one name into three pieces; at least one piece survives two edits
+#   (the pigeonhole argument of the PASS-JOIN paper, Li et al., VLDB 2011), so its first ANCHOR
+#   characters are a window of the other name.
 
 
-def _anchor(form: Column, mark: str) -> Column:
-    return F.array(F.concat(F.lit(mark), F.substring(form, 1, ANCHOR)))
+def add_windows(df: DataFrame, form: str) -> DataFrame:
+    """One row per window (``start``, ``size``, ``window``) of up to ANCHOR characters."""
+    length = F.length(form)
+    starts = df.withColumn("start", F.explode(F.sequence(F.lit(1), length))).filter(F.col(form) != "")
+    sizes = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), length - F.col("start") + 1))
+    sized = starts.withColumn("size", F.explode(sizes))
+    return sized.withColumn("window", F.substring(F.col(form), F.col("start"), F.col("size")))
 
 
-def _windows(form: Column, mark: str) -> Column:
-    def windows_of(size: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(form) - size + 1),
-            lambda start: F.concat(F.lit(mark), F.substring(form, start, size)),
-        )
+def _is_anchor(form: Column) -> Column:
+    return (F.col("start") == 1) & (F.col("size") == F.least(F.lit(ANCHOR), F.length(form)))
 
-    sizes = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), F.length(form)))
-    return F.flatten(F.transform(sizes, windows_of))
-
-
-def _piece(length: Column, index: Column) -> tuple[Column, Column]:
-    """(start, size) of piece ``index`` when ``length`` characters are cut in three."""
-    size, rest = F.floor(length / PIECES).cast("int"), length % PIECES
-    longer_before = F.greatest(F.lit(0), index - (PIECES - rest))
-    start = index * size + longer_before + 1
-    return start, size + F.when(index >= PIECES - rest, 1).otherwise(0)
-
-
-def _piece_key(length: Column, index: Column, text: Column) -> Column:
-    return F.concat_ws("|", F.lit("p"), length.cast("string"), index.cast("string"), text)
 
+def _is_piece(form: Column) -> Column:
+    """Is the window the beginning of one of the three pieces of the name?"""
+    rest = F.length(form) % PIECES
+    base = ((F.length(form) - rest) / PIECES).cast("int")
+    second = base + F.when(rest == 2, 1).otherwise(0)
+    third = base + F.when(rest >= 1, 1).otherwise(0)
+    places = [(F.lit(1), base), (base + 1, second), (base + second + 1, third)]
+    test = F.lit(False)
+    for start, size in places:
+        test = test | ((F.col("start") == start) & (F.col("size") == F.least(F.lit(ANCHOR), size)))
+    return (F.length(form) >= EDIT_MIN_LENGTH) & test
 
-def _own_pieces(form: Column) -> Column:
-    def key(index: Column) -> Column:
-        start, size = _piece(F.length(form), index)
-        return _piece_key(F.length(form), index, F.substring(form, start, size))
 
-    keys = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), key)
-    return F.when(F.length(form) >= EDIT_MIN_LENGTH, keys).otherwise(F.array().cast("array<string>"))
+def with_expected_keys(df: DataFrame, form: str) -> DataFrame:
+    """Blocking keys of missing contract columns: all windows, and the anchor."""
+    anchor = F.when(_is_anchor(F.col(form)), F.concat(F.lit("<"), "window"))
+    return _explode_keys(add_windows(df, form), F.concat(F.lit(">"), "window"), anchor)
 
 
-def _sought_pieces(form: Column) -> Column:
-    def for_length(length: Column) -> Column:
-        def for_piece(index: Column) -> Column:
-            start, size = _piece(length, index)
-            return F.transform(
-                F.filter(
-                    F.sequence(start - EDIT_DISTANCE, start + EDIT_DISTANCE),
-                    lambda place: (place >= 1) & (place + size - 1 <= F.length(form)),
-                ),
-                lambda place: _piece_key(length, index, F.substring(form, place, size)),
-            )
+def with_received_keys(df: DataFrame, form: str) -> DataFrame:
+    """Blocking keys of undeclared received columns: anchor and pieces, and all windows."""
+    own = F.when(_is_anchor(F.col(form)) | _is_piece(F.col(form)), F.concat(F.lit(">"), "window"))
+    return _explode_keys(add_windows(df, form), own, F.concat(F.lit("<"), "window"))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), for_piece))
 
-    lengths = F.sequence(
-        F.greatest(F.lit(EDIT_MIN_LENGTH), F.length(form) - EDIT_DISTANCE), F.length(form) + EDIT_DISTANCE
+def _explode_keys(df: DataFrame, *keys: Column) -> DataFrame:
+    """One row per key; a name that repeats a window repeats its key, which later steps absorb."""
+    return df.withColumn("block", F.explode(F.array(*keys))).filter(F.col("block").isNotNull()).drop(
+        "start", "size", "window"
     )
-    keys = F.flatten(F.transform(lengths, for_length))
-    return F.when(F.length(form) >= EDIT_MIN_LENGTH, keys).otherwise(F.array().cast("array<string>"))
-
-
-def expected_keys(form: Column) -> Column:
-    """Blocking keys of a missing contract column."""
-    keys = F.concat(_windows(form, "c|"), _anchor(form, "d|"), _sought_pieces(form))
-    return F.when(form != "", F.array_distinct(keys))
-
-
-def received_keys(form: Column) -> Column:
-    """Blocking keys of an undeclared received column."""
-    keys = F.concat(_anchor(form, "c|"), _windows(form, "d|"), _own_pieces(form))
-    return F.when(form != "", F.array_distinct(keys))

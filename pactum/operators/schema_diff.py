@@ -61,13 +61,14 @@ def similar_columns(align: DataFrame) -> DataFrame:
     Candidates come from an equi-join on shared blocking keys, never from all pairs.
     """
     missing = align.filter(F.col("src_pos").isNull()).select(
-        "dataset", "exp_pos", "exp_column", names.name_form(F.col("exp_column")).alias("exp_form")
+        "dataset", "exp_pos", "exp_column", F.col("key").alias("exp_key"),
+        names.name_form(F.col("exp_column")).alias("exp_form"),
     )
     extra = align.filter(F.col("exp_pos").isNull()).select(
-        "dataset", "src_pos", "src_column", names.name_form(F.col("src_column")).alias("src_form")
+        "dataset", "src_pos", "src_column", F.col("key").alias("src_key"),
+        names.name_form(F.col("src_column")).alias("src_form"),
     )
-    left = missing.withColumn("block", F.explode(names.expected_keys(F.col("exp_form"))))
-    right = extra.withColumn("block", F.explode(names.received_keys(F.col("src_form"))))
+    left, right = names.with_expected_keys(missing, "exp_form"), names.with_received_keys(extra, "src_form")
     return left.join(right, ["dataset", "block"]).filter(
         names.is_similar(F.col("exp_form"), F.col("src_form"))
     ).drop("block")
@@ -78,9 +79,10 @@ def renamed_columns(align: DataFrame) -> DataFrame:
 
     One received column may serve several missing ones.
     """
-    return similar_columns(align).groupBy("dataset", "exp_pos").agg(
-        F.min_by(F.struct("src_pos", "src_column", "exp_column", "exp_form", "src_form"), "src_pos").alias("m")
-    ).select("dataset", "exp_pos", "m.*")
+    first = F.struct("src_pos", "src_column", "src_key", "src_form", "exp_column", "exp_key", "exp_form")
+    return similar_columns(align).groupBy("dataset", "exp_pos").agg(F.min_by(first, "src_pos").alias("m")).select(
+        "dataset", "exp_pos", "m.*"
+    )
 
 
 def rename_similarity(align: DataFrame) -> DataFrame:
@@ -119,46 +121,36 @@ def schema_findings(
     (by source position).
     """
     align = aligned(assignments, rules, received)
-    renames = renamed_columns(align).select(
-        "dataset", "exp_pos", F.col("src_column").alias("new_name"), F.col("src_pos").alias("new_pos")
-    )
-    used = renames.join(
-        align.filter(F.col("exp_pos").isNull()).select("dataset", F.col("src_pos").alias("new_pos"), "key"),
-        ["dataset", "new_pos"],
-    ).select("dataset", "key").distinct().withColumn("used", F.lit(True))
-
-    declared = align.filter(F.col("exp_pos").isNotNull()).join(renames, ["dataset", "exp_pos"], "left")
-    absent = F.col("src_pos").isNull()
+    # what the renames say about either side, keyed like the alignment: one join brings it back
+    marks = renamed_columns(align).select("dataset", F.explode(F.array(
+        F.struct(F.col("exp_key").alias("key"), F.col("src_column").alias("new_name")),
+        F.struct(F.col("src_key").alias("key"), F.lit(None).cast("string").alias("new_name")),
+    )).alias("m")).groupBy("dataset", F.col("m.key").alias("key")).agg(
+        F.max("m.new_name").alias("new_name"), F.lit(True).alias("renamed")
+    )
+    declared, absent = F.col("exp_pos").isNotNull(), F.col("src_pos").isNull()
+    renamed = F.coalesce("renamed", F.lit(False))
     check = (
-        F.when(absent & F.col("new_pos").isNotNull(), F.lit(fixed.RENAMED))
+        F.when(absent & renamed, F.lit(fixed.RENAMED))
         .when(absent, F.lit(fixed.MISSING))
-        .otherwise(_type_check(allow_safe_promotion))
-    )
-    found = declared.withColumn("check", check).filter(F.col("check").isNotNull())
-    severity = F.when(
-        (F.col("check") == fixed.PROMOTION) | ((F.col("check") == fixed.MISSING) & ~F.col("exp_required")),
-        F.lit(fixed.WARN),
-    ).otherwise(F.lit(fixed.FAIL))
-    on_contract = found.select(
-        "dataset", "contract", F.lit(0).alias("phase"), F.col("exp_pos").alias("pos"), "check",
-        severity.alias("severity"), F.col("exp_column").alias("column"),
-        F.when(F.col("check") == fixed.RENAMED, F.col("exp_column")).otherwise(F.col("exp_type")).alias("expected"),
-        F.when(F.col("check") == fixed.RENAMED, F.col("new_name")).otherwise(F.col("src_type")).alias("actual"),
-    )
-    if not warn_extra_columns:
-        return on_contract
-    undeclared = (
-        align.filter(F.col("exp_pos").isNull())
-        .join(used, ["dataset", "key"], "left").filter(F.col("used").isNull())
-        .drop("contract").join(assignments.select("dataset", "contract"), "dataset")  # drops unassigned datasets
-    )
-    on_source = undeclared.select(
-        "dataset", "contract", F.lit(1).alias("phase"), F.col("src_pos").alias("pos"),
-        F.lit(fixed.EXTRA).alias("check"), F.lit(fixed.WARN).alias("severity"),
-        F.col("src_column").alias("column"), F.lit(None).cast("string").alias("expected"),
-        F.col("src_type").alias("actual"),
-    )
-    return on_contract.unionByName(on_source)
+        .when(declared, _type_check(allow_safe_promotion))
+        .when(F.lit(warn_extra_columns) & ~renamed, F.lit(fixed.EXTRA))
+    )
+    found = align.drop("contract").join(marks, ["dataset", "key"], "left").withColumn("check", check).filter(
+        F.col("check").isNotNull()
+    )
+    is_rename = F.col("check") == fixed.RENAMED
+    optional = (F.col("check") == fixed.MISSING) & ~F.col("exp_required")
+    warns = F.col("check").isin(fixed.PROMOTION, fixed.EXTRA) | optional
+    found = found.select(
+        "dataset", F.when(declared, 0).otherwise(1).alias("phase"), F.coalesce("exp_pos", "src_pos").alias("pos"),
+        "check", F.when(warns, F.lit(fixed.WARN)).otherwise(F.lit(fixed.FAIL)).alias("severity"),
+        F.coalesce("exp_column", "src_column").alias("column"),
+        F.when(is_rename, F.col("exp_column")).otherwise(F.col("exp_type")).alias("expected"),
+        F.when(is_rename, F.col("new_name")).otherwise(F.col("src_type")).alias("actual"),
+    )
+    # findings only; datasets without a contract drop out here
+    return found.join(assignments.select("dataset", "contract"), "dataset")
 
 
 def number_findings(findings: DataFrame) -> DataFrame:
