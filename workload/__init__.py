@@ -2,6 +2,6 @@
 
 
 def groups() -> list:
-    from workload import rows, schema
+    from workload import reports, rows, schema
 
-    return [rows, schema]
+    return [rows, schema, reports]
