@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # -- fixed values: what each date directive matches, and its Spark pattern letters -----------
 DIRECTIVES = {
-    "Y": (r"\d\d\d\d", "yyyy"),
+    "Y": (r"(?!0000)\d\d\d\d", "yyyy"),  # years start at 1
     "m": (r"1[0-2]|0[1-9]|[1-9]", "MM"),
     "d": (r"3[01]|[12]\d|0[1-9]|[1-9]| [1-9]", "dd"),
     "H": (r"2[0-3]|[01]\d|\d", "HH"),
@@ -60,18 +60,22 @@ def format_regex(fmt: str) -> tuple[str, list[str]]:
 
 
 def parse_format(value: Column, fmt: str) -> Column:
-    """Timestamp read from ``value`` by a date format, null when it does not fit."""
+    """Date (or timestamp, for formats with a time) read by a date format; null when it does not
+    fit."""
     regex, order = format_regex(fmt)
 
     def group(letter: str) -> str:
         return f"${order.index(letter) + 1}" if letter in order else DEFAULTS[letter]
 
     text = "{}-{}-{}".format(group("Y"), group("m"), group("d"))
+    target = "date"
     if {"H", "M", "S"} & set(order):
-        text += " {}:{}:{}".format(group("H"), group("M"), group("S"))
-    plain = F.regexp_replace(F.regexp_replace(value, regex, text), "- ", "-")
-    # years start at 1
-    return F.when(value.rlike(regex) & ~plain.startswith("0000"), plain.try_cast("timestamp_ntz"))
+        text, target = text + " {}:{}:{}".format(group("H"), group("M"), group("S")), "timestamp_ntz"
+    # a value in year-month-day order is what the cast reads already
+    plain = value if fmt == "%Y-%m-%d" else F.regexp_replace(value, regex, text)
+    if "d" in order:
+        plain = F.replace(plain, F.lit("- "), F.lit("-"))  # a day may be padded with a space
+    return F.when(value.rlike(regex), plain.try_cast(target))
 
 
 def fits_format(value: Column, fmt: str) -> Column:

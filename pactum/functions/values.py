@@ -42,7 +42,7 @@ def reads_as_float(text: Column) -> Column:
 
 
 def reads_as_decimal(text: Column) -> Column:
-    return F.translate(text, "_", "").rlike(DECIMAL_SHAPE)
+    return plain_digits(text).rlike(DECIMAL_SHAPE)
 
 
 def reads_as_boolean(text: Column) -> Column:
@@ -97,20 +97,35 @@ def _compare(number: Column, bound: Column, side: str) -> Column:
     return number < bound if side == "min" else number > bound
 
 
-def text_outside(text: Column, bound: str, side: str) -> Column:
+def plain_digits(text: Column) -> Column:
+    """The text without the underscores that may separate digits; most texts have none."""
+    return F.when(text.contains("_"), F.translate(text, "_", "")).otherwise(text)
+
+
+def text_number(text: Column) -> Column:
+    """The number written in a text, as a double; null when there is none."""
+    return plain_digits(text).try_cast("double")
+
+
+def text_outside(text: Column, number: Column, bound: str, side: str) -> Column:
     """Is the number written in ``text`` below (side ``min``) or above (``max``) the bound?
 
-    Compared as decimals where both fit 38 digits, as doubles beyond that.
+    ``number`` is the text's ``text_number``.  Rounding to double keeps order, so doubles decide
+    unless they are equal; only then are both compared as decimals of 38 digits.
     """
-    number = parse_bound(bound)
-    if number is None:
+    limit = parse_bound(bound)
+    if limit is None:
         return F.lit(False)
-    plain = F.translate(text, "_", "")
-    as_double = _compare(plain.try_cast("double"), F.lit(float(number)), side)
-    if not _fits_exact(number):
-        return F.coalesce(as_double, F.lit(False))
-    exact = _compare(plain.try_cast(EXACT), F.lit(number).cast(EXACT), side)
-    return F.coalesce(exact, as_double, F.lit(False))
+    double = F.lit(float(limit))
+    beyond = _compare(number, double, side)
+    if not _fits_exact(limit):
+        return F.coalesce(beyond, F.lit(False))
+    exact = _compare(plain_digits(text).try_cast(EXACT), F.lit(limit).cast(EXACT), side)
+    return F.when(number.isNull(), F.lit(False)).when(number == double, F.coalesce(exact, F.lit(False))).otherwise(beyond)
+
+
+def text_is_nan(text: Column, number: Column) -> Column:
+    return F.when(number.isNotNull(), F.isnan(number)).otherwise(text.rlike(NAN_SHAPE))
 
 
 def number_outside(value: Column, data_type: T.DataType, bound: str, side: str) -> Column:

@@ -7,7 +7,7 @@ the same as for its text, so numbers are never printed only to be parsed again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +28,18 @@ def _source(name: str) -> Column:
 
 @dataclass(frozen=True)
 class Cell:
-    """One contract column found in the data."""
+    """One contract column found in the data.
+
+    ``text_as`` and ``number_as`` name columns that hold the stripped text and the number written
+    in it, when an earlier projection has worked them out (see ``stage_cells``).
+    """
 
     pos: int
     rule: Rule
     source: str
     data_type: T.DataType
+    text_as: str | None = None
+    number_as: str | None = None
 
     @property
     def raw(self) -> Column:
@@ -46,11 +52,37 @@ class Cell:
     @property
     def text(self) -> Column:
         """Stripped text of the cell; other types never print edge space."""
+        if self.text_as:
+            return F.col(self.text_as)
         return text.strip(self.raw) if self.is_text else self.raw.cast("string")
 
+    @property
+    def number(self) -> Column:
+        return F.col(self.number_as) if self.number_as else values.text_number(self.text)
+
     @property
     def blank(self) -> Column:
-        return text.is_blank(self.raw) if self.is_text else self.raw.isNull()
+        return self.text.isNull() | (self.text == "") if self.is_text else self.raw.isNull()
+
+
+def stage_cells(df: DataFrame, cells: list[Cell]) -> tuple[DataFrame, list[Cell]]:
+    """Work out stripped texts, and numbers where bounds need them, once per column.
+
+    Columns shared by several contracts are staged once.
+    """
+    texts = {c.source: f"__text_{c.source}" for c in cells if c.is_text}
+    numbers = {c.source: f"__number_{c.source}" for c in cells if c.is_text and _has_bound(c.rule)}
+    if texts:
+        df = df.withColumns({name: text.strip(_source(source)) for source, name in texts.items()})
+    if numbers:
+        df = df.withColumns({name: values.text_number(_source(texts[s])) for s, name in numbers.items()})
+    return df, [
+        replace(
+            c, text_as=f"`{texts[c.source]}`" if c.is_text else None,
+            number_as=f"`{numbers[c.source]}`" if c.is_text and c.source in numbers else None,
+        )
+        for c in cells
+    ]
 
 
 def locate_cells(df: DataFrame, contract: Contract) -> list[Cell]:
@@ -101,7 +133,7 @@ def breaks_type(cell: Cell) -> Column | None:
         return None
     if cell.is_text:
         failed = ~values.reads_as(cell.text, wanted)
-        return failed | cell.text.rlike(values.NAN_SHAPE) if nan_fails else failed
+        return failed | values.text_is_nan(cell.text, cell.number) if nan_fails else failed
     always, never = F.lit(True), None
     if wanted in fixed.INTEGER_TYPES:
         if isinstance(kind, _WHOLE) or (isinstance(kind, T.DecimalType) and kind.scale == 0):
@@ -138,7 +170,7 @@ def _breaks_bound(cell: Cell, bound: str, side: str) -> Column | None:
         return None
     if isinstance(cell.data_type, (*_WHOLE, *_FLOATING, T.DecimalType)):
         return values.number_outside(cell.raw, cell.data_type, bound, side)
-    return values.text_outside(cell.text, bound, side)
+    return values.text_outside(cell.text, cell.number, bound, side)
 
 
 def breaks_min(cell: Cell) -> Column | None:

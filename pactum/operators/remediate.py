@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pactum import fixed
 from pactum.functions import formats, pii, text, values
-from pactum.operators.cell_checks import Cell, breaks_min, cell_check, locate_cells
+from pactum.operators.cell_checks import Cell, breaks_min, cell_check, locate_cells, stage_cells
 from pactum.types import Contract, Rule, normal_type
 
 _SPARK_TYPES = {
@@ -108,13 +108,16 @@ def reject_below_min(df: DataFrame, column: str, bound: str) -> tuple[DataFrame,
 
 def with_reasons(df: DataFrame, contract: Contract) -> DataFrame:
     """Add ``reasons``: ``column:check`` of every bad cell, empty for a valid row."""
+    staged, cells = stage_cells(df, locate_cells(df, contract))
     marks = []
-    for cell in locate_cells(df, contract):
+    for cell in cells:
         check = cell_check(cell)
         if check is not None:
             marks.append(F.concat(F.lit(f"{cell.rule.column}:"), check))
-    reasons = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
-    return df.withColumn("reasons", reasons)
+    # joining skips the nulls of good cells; the separator is a control character
+    joined = F.concat_ws("\u0001", *marks) if marks else F.lit("")
+    reasons = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
+    return staged.withColumn("reasons", reasons).select(*[f"`{c}`" for c in df.columns], "reasons")
 
 
 def quarantine_split(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pactum import fixed
 from pactum.functions.text import redact
 from pactum.operators import catalog
-from pactum.operators.cell_checks import Cell, cell_check, expected_text, locate_cells
+from pactum.operators.cell_checks import Cell, cell_check, expected_text, locate_cells, stage_cells
 from pactum.types import Contract
 
 ROW_CHECKS = [
@@ -18,15 +18,26 @@ ROW_CHECKS = [
 ]
 
 
-def _checked(df: DataFrame, contract: Contract) -> list[tuple[Cell, Column]]:
-    pairs = [(cell, cell_check(cell)) for cell in locate_cells(df, contract)]
+def _located(df: DataFrame, contracts: list[Contract]) -> tuple[DataFrame, dict[str, list[Cell]]]:
+    """Cells of every contract, with their texts and numbers staged in ``df``."""
+    found = [(c.name, cell) for c in contracts for cell in locate_cells(df, c)]
+    staged, cells = stage_cells(df, [cell for _, cell in found])
+    by_contract: dict[str, list[Cell]] = {c.name: [] for c in contracts}
+    for (name, _), cell in zip(found, cells):
+        by_contract[name].append(cell)
+    return staged, by_contract
+
+
+def _with_checks(cells: list[Cell]) -> list[tuple[Cell, Column]]:
+    pairs = [(cell, cell_check(cell)) for cell in cells]
     return [(cell, check) for cell, check in pairs if check is not None]
 
 
 def first_failures(df: DataFrame, contract: Contract, keep: list[str]) -> DataFrame:
     """One ``check_<column>`` per contract column, beside the columns in ``keep``."""
-    return df.select(
-        *keep, *[check.alias(f"check_{cell.rule.column}") for cell, check in _checked(df, contract)]
+    staged, cells = _located(df, [contract])
+    return staged.select(
+        *keep, *[check.alias(f"check_{cell.rule.column}") for cell, check in _with_checks(cells[contract.name])]
     )
 
 
@@ -49,40 +60,52 @@ def _explode_marks(
 ) -> DataFrame:
     """One row (keep, contract, pos, check[, value]) per non-null mark, from one scan.
 
-    Rows without any mark are filtered out before an array is built for them, so a clean row
-    costs its checks and nothing more.  Only the contracts' columns are read.  The value is
-    picked and printed after the explode, for bad cells alone.
+    The marks are worked out once, in a projection; a row without any gives the explode a null
+    instead of an array and ends there, so a clean row costs its checks and nothing more.  Only
+    the contracts' columns are read.  The value is picked after the explode, for bad cells alone.
     """
-    sources = sorted({cell.source for cells in marks.values() for cell, _ in cells})
-    empty = F.array().cast("array<struct<pos:int,check:string>>")
-
-    def any_mark(contract: Contract) -> Column:
-        found = [mark for _, mark in marks[contract.name]]
-        return F.coalesce(*found).isNotNull() if found else F.lit(False)
+    names = {
+        c.name: [f"__mark_{n}_{m}" for m in range(len(marks[c.name]))] for n, c in enumerate(contracts)
+    }
+    own = {c.name: F.lit(True) if contract_col is None else F.col(contract_col) == c.name for c in contracts}
+    printed = list({cell.source: cell for cells in marks.values() for cell, _ in cells}.values())
+    sources = {cell.source: f"__source_{n}" for n, cell in enumerate(printed)}
+    contract_name = F.lit(contracts[0].name) if contract_col is None else F.col(contract_col)
+    marked = df.select(
+        *keep, contract_name.alias("contract"),
+        *[
+            (mark if contract_col is None else F.when(own[c.name], mark)).alias(name)
+            for c in contracts for name, (_, mark) in zip(names[c.name], marks[c.name])
+        ],
+        *([F.col(cell.text_as or f"`{cell.source}`").alias(sources[cell.source]) for cell in printed]
+          if with_value else []),
+    )
+    kept = [c for c in marked.columns if not c.startswith(("__mark_", "__source_"))]
 
-    def mark_array(contract: Contract) -> Column:
+    def entries(contract: Contract) -> Column:
         found = [
-            F.struct(F.lit(cell.pos).alias("pos"), mark.alias("check")) for cell, mark in marks[contract.name]
+            F.struct(F.lit(cell.pos).alias("pos"), F.col(name).alias("check"))
+            for name, (cell, _) in zip(names[contract.name], marks[contract.name])
         ]
-        return F.array(*found) if found else empty
+        if not found:
+            return F.lit(None).cast("array<struct<pos:int,check:string>>")
+        return F.when(F.coalesce(*names[contract.name]).isNotNull(), F.array(*found))
 
     def value(contract: Contract) -> Column:
         picked = F.lit(None).cast("string")
         for cell, _ in marks[contract.name]:
-            stand_in = Cell(cell.pos, cell.rule, f"__source_{sources.index(cell.source)}", cell.data_type)
-            picked = F.when(F.col("cell.pos") == cell.pos, stand_in.text).otherwise(picked)
+            shown = F.col(sources[cell.source])
+            picked = F.when(
+                F.col("cell.pos") == cell.pos, shown if cell.is_text else shown.cast("string")
+            ).otherwise(picked)
         return picked
 
-    name = F.lit(contracts[0].name) if contract_col is None else F.col(contract_col)
-    cells = df.filter(_route(contracts, contract_col, any_mark)).select(
-        *keep, name.alias("contract"),
-        *([F.col("`" + s + "`").alias(f"__source_{n}") for n, s in enumerate(sources)] if with_value else []),
-        F.explode(_route(contracts, contract_col, mark_array)).alias("cell"),
-    ).filter(F.col("cell.check").isNotNull())
+    by_contract = None if contract_col is None else "contract"
+    cells = marked.withColumn("cell", F.explode(_route(contracts, by_contract, entries))).filter(
+        F.col("cell.check").isNotNull()
+    )
     if with_value:
-        by_contract = None if contract_col is None else "contract"
         cells = cells.withColumn("value", _route(contracts, by_contract, value))
-    kept = [c for c in cells.columns if not c.startswith("__source_") and c not in ("cell", "value")]
     return cells.select(
         *kept, F.col("cell.pos").alias("pos"), F.col("cell.check").alias("check"),
         *(["value"] if with_value else []),
@@ -130,9 +153,10 @@ def bad_cells(
     df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
 ) -> DataFrame:
     """Every bad cell of the whole table: dataset, contract, row, pos, check, stripped value."""
-    marks = {c.name: _checked(df, c) for c in contracts}
+    staged, found = _located(df, contracts)
+    marks = {name: _with_checks(cells) for name, cells in found.items()}
     keep = [dataset.alias("dataset"), row.cast("long").alias("row")]
-    return _explode_marks(df, contracts, marks, keep, contract_col, with_value=True)
+    return _explode_marks(staged, contracts, marks, keep, contract_col, with_value=True)
 
 
 def row_issues(
@@ -154,8 +178,9 @@ def violation_counts(
     Counts are combined on the map side: one row per (dataset, column, check) and task is
     shuffled, however many cells are bad and however unevenly they are spread.
     """
-    marks = {c.name: _checked(df, c) for c in contracts}
-    cells = _explode_marks(df, contracts, marks, [dataset.alias("dataset")], contract_col, with_value=False)
+    staged, found = _located(df, contracts)
+    marks = {name: _with_checks(cells) for name, cells in found.items()}
+    cells = _explode_marks(staged, contracts, marks, [dataset.alias("dataset")], contract_col, with_value=False)
     counts = cells.groupBy("dataset", "contract", "pos", "check").agg(F.count(F.lit(1)).alias("violations"))
     columns = {f"{c.name}|{pos}": rule.column for c in contracts for pos, rule in enumerate(c.rules)}
     key = F.concat_ws("|", "contract", F.col("pos").cast("string"))
@@ -172,14 +197,13 @@ def required_issues(
 
     Reads the required columns only; the count and minimum are combined on the map side.
     """
+    staged, located = _located(df, contracts)
     marks = {
-        c.name: [
-            (cell, F.when(cell.blank, F.lit(fixed.REQUIRED))) for cell in locate_cells(df, c) if cell.rule.required
-        ]
-        for c in contracts
+        name: [(cell, F.when(cell.blank, F.lit(fixed.REQUIRED))) for cell in cells if cell.rule.required]
+        for name, cells in located.items()
     }
     keep = [dataset.alias("dataset"), row.cast("long").alias("row")]
-    blanks = _explode_marks(df, contracts, marks, keep, contract_col, with_value=False)
+    blanks = _explode_marks(staged, contracts, marks, keep, contract_col, with_value=False)
     found = blanks.groupBy("dataset", "contract", "pos", "check").agg(
         F.count(F.lit(1)).alias("blank_count"), F.min("row").alias("row")
     )
