@@ -61,13 +61,13 @@ ISSUE_IMPACTS = {
 }
 
 
-def describe_issues(issues: DataFrame) -> DataFrame:
-    """Add message and impact, keep the columns of ``types.ISSUES``."""
+def describe_issues(issues: DataFrame, *also: str) -> DataFrame:
+    """Add message and impact, keep the columns of ``types.ISSUES`` (and others named)."""
     number = F.regexp_extract(_c("actual"), r"\A(\d+)", 1)
     message = by_check({**MESSAGES, fixed.REQUIRED: _say(number, " mandatory values are empty.")})
     return issues.select(
         "dataset", "contract", "ord", "severity", "check", "column", message.alias("message"), "expected",
-        "expected_values", "actual", "row", by_check(ISSUE_IMPACTS).alias("impact"),
+        "expected_values", "actual", "row", by_check(ISSUE_IMPACTS).alias("impact"), *also,
     )
 
 

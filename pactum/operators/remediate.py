@@ -99,7 +99,10 @@ def below_min(df: DataFrame, column: str, bound: str) -> Column:
     field = _field(df, column)
     cell = Cell(0, Rule(column, "double", min_value=bound), field.name, field.dataType)
     broken = breaks_min(cell)
-    return F.lit(False) if broken is None else broken
+    if broken is None:
+        return F.lit(False)
+    # a text that is no number is not below anything
+    return values.reads_as_float(cell.text) & broken if cell.is_text else broken
 
 
 def reject_below_min(df: DataFrame, column: str, bound: str) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,9 @@ _NO_TEXT = "array<string>"
 
 def merge_issues(schema_issues: DataFrame, quality_issues: DataFrame) -> DataFrame:
     """Schema findings first, then row issues, numbered per dataset."""
-    both = schema_issues.withColumn("phase", F.lit(0)).unionByName(quality_issues.withColumn("phase", F.lit(1)))
+    both = schema_issues.withColumn("phase", F.lit(0)).unionByName(
+        quality_issues.withColumn("phase", F.lit(1)), allowMissingColumns=True
+    )
     order = Window.partitionBy("dataset").orderBy("phase", "ord")
     return both.withColumn("ord", F.row_number().over(order).cast("long")).drop("phase")
 
@@ -58,8 +60,10 @@ def derived_lines(issues: DataFrame, kinds: list[str] | None = None) -> DataFram
     """Lines of every derived list: dataset, kind, ord, n, the first issue's fields, text, action, target.
 
     Kinds: issue, correction, problem, cause, plan, fix.  Within a kind, issues with the same key
-    form one line; the first issue gives its position and texts.
+    form one line; the first issue gives its position and texts.  ``n`` counts the issues, or adds
+    up their own ``n`` where the issues are summaries.
     """
+    weight = F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
     group_key = F.concat_ws(
         "\u0001", "check", "column", F.coalesce("expected", F.lit("\u0002")),
         F.coalesce(F.array_join("expected_values", "\u0003"), F.lit("\u0002")),
@@ -77,11 +81,13 @@ def derived_lines(issues: DataFrame, kinds: list[str] | None = None) -> DataFram
         F.struct(F.lit(kind).alias("kind"), F.when(has_key.get(kind, key.isNotNull()), key).alias("key"))
         for kind, key in keys.items() if kinds is None or kind in kinds
     ])
-    lines = issues.select("dataset", "contract", "ord", *ISSUE_FIELDS, F.explode(entries).alias("line")).filter(
+    lines = issues.select(
+        "dataset", "contract", "ord", *ISSUE_FIELDS, weight.alias("weight"), F.explode(entries).alias("line")
+    ).filter(
         F.col("line.key").isNotNull()
     )
     first = lines.groupBy("dataset", "contract", F.col("line.kind").alias("kind"), F.col("line.key").alias("key")).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("ord", *ISSUE_FIELDS), "ord").alias("first")
+        F.sum("weight").alias("n"), F.min_by(F.struct("ord", *ISSUE_FIELDS), "ord").alias("first")
     ).select("dataset", "contract", "kind", "n", "first.*")
     count = F.when(
         F.col("check") == fixed.REQUIRED, first_word_number(F.coalesce("actual", F.lit("")), F.col("n"))

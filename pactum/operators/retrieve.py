@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum import fixed
@@ -22,23 +26,6 @@ def chunk_documents(documents: DataFrame, source: str, text: str, size: int = fi
     )
 
 
-def squared_distance(left: Column, right: Column) -> Column:
-    """Squared Euclidean distance, in double precision."""
-    return F.aggregate(
-        F.zip_with(left, right, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))),
-        F.lit(0.0), lambda total, x: total + x,
-    )
-
-
-def _literal_distance(vector: Column, query: list[float]) -> Column:
-    """The same against a fixed query: one unrolled sum that compiles to plain arithmetic."""
-    total = F.lit(0.0)
-    for n, component in enumerate(query):
-        difference = vector[n].cast("double") - F.lit(float(component))
-        total = total + difference * difference
-    return total
-
-
 def collect_queries(queries: DataFrame, limit: int = MAX_QUERIES) -> list[tuple]:
     """(query_id, vector) pairs for ``knn_topk``; more than ``limit`` is an error, never a cut."""
     rows = queries.select("query_id", "vector").limit(limit + 1).collect()
@@ -48,17 +35,34 @@ def collect_queries(queries: DataFrame, limit: int = MAX_QUERIES) -> list[tuple]
 
 
 def knn_topk(vectors: DataFrame, key: str, vector: str, queries: list[tuple], k: int = fixed.TOP_K) -> DataFrame:
-    """The ``k`` nearest vectors of each query, nearest first, ties by key.
+    """The ``k`` nearest vectors of each query by squared Euclidean distance, ties by key.
 
-    The queries are literals in the plan, so the vectors are scanned once and never shuffled:
-    ``row_number() <= k`` is pruned inside each task and only k rows per query and task move on.
+    The vectors are scanned once, in Arrow batches, and never shuffled: each batch passes on its k
+    best rows per query, ``row_number() <= k`` prunes those again inside the task, and only k
+    rows per query and task move on.  The distances of a batch are one array operation per query,
+    which measured several times faster than the same sum as a column expression.
     """
+    names = [query for query, _ in queries]
+    points = np.array([point for _, point in queries], dtype="float64")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            keys = batch["vec_id"].to_numpy()
+            matrix = np.stack(batch["vector"].to_numpy()).astype("float64")
+            for name, point in zip(names, points):
+                distance = ((matrix - point) ** 2).sum(axis=1)
+                best = np.lexsort((keys, distance))[:k]
+                yield pd.DataFrame({"query_id": name, "vec_id": keys[best], "distance": distance[best]})
+
+    key_type = vectors.schema[key].dataType.simpleString()
+    query_type = "string" if isinstance(names[0], str) else "bigint"
+    found = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("vector")).filter(
+        F.col("vector").isNotNull()
+    ).mapInPandas(nearest, f"query_id {query_type}, vec_id {key_type}, distance double")
     ranked = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    scored = vectors.select(F.col(key).alias("vec_id"), F.explode(F.array(*[
-        F.struct(F.lit(q).alias("query_id"), _literal_distance(F.col(vector), v).alias("distance"))
-        for q, v in queries
-    ])).alias("hit")).select("hit.query_id", "vec_id", "hit.distance")
-    top = scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+    top = found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return top.select("query_id", "rank", "vec_id", "distance")
 
 

@@ -242,6 +242,28 @@ def issue_sample(
     return first.unionByName(reached)
 
 
+def issue_summary(
+    df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
+) -> DataFrame:
+    """Exact row findings of the whole table as ``issues``: one per dataset, column and check,
+    with the number of cells in ``n`` and the first of them as example.
+
+    Nothing is capped and nothing is collected: counts and first rows are combined on the map
+    side.  Reports and remediation plans built from it cover every violation.
+    """
+    cells = bad_cells(df, contracts, row, dataset, contract_col)
+    first = cells.groupBy("dataset", "contract", "pos", "check").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("value", "row").alias("value")
+    )
+    blank = F.col("check") == fixed.REQUIRED
+    issues = _describe(first, contracts).withColumn(
+        "actual", F.when(blank, F.concat(F.col("n").cast("string"), F.lit(" empty values"))).otherwise(
+            redact(F.col("value")))
+    )
+    order = Window.partitionBy("dataset", "contract").orderBy("pos", blank.cast("int"), "row", "check")
+    return catalog.describe_issues(issues.withColumn("ord", F.row_number().over(order).cast("long")), "n")
+
+
 def quality_report(
     df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
     cap: int = fixed.ISSUE_CAP,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactum import fixed
-from pactum.operators import report, row_issues, schema_diff
+from pactum.operators import remediate, report, row_issues, schema_diff
 from pactum.sources import schemas
 from pactum.types import ASSIGNMENTS, Contract, rules_frame
 
@@ -22,20 +22,42 @@ def merged_issues(
     return found if quality_issues is None else report.merge_issues(found, quality_issues)
 
 
-def validate_dataset(
+def dataset_issues(
     spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column | None = None,
-    received: DataFrame | None = None, cap: int = fixed.ISSUE_CAP, **options: bool,
+    received: DataFrame | None = None, cap: int | None = fixed.ISSUE_CAP, **options: bool,
 ) -> DataFrame:
-    """Report row of one dataset.
+    """Issues of one dataset.
 
     ``row`` numbers the rows; without it only the schema is compared.  ``received`` is the
-    dataset's schema when it is not simply that of ``df`` (a CSV's inferred types).
+    dataset's schema when it is not simply that of ``df`` (a CSV's inferred types).  The row
+    issues are the first ``cap``; with ``cap=None`` one per column and check with exact counts.
     """
     assignments = spark.createDataFrame([(name, contract.name)], ASSIGNMENTS)
     received = schemas.schema_of(spark, {name: df}) if received is None else received
-    quality = None if row is None else row_issues.quality_report(df, [contract], row, F.lit(name), cap=cap)
-    issues = merged_issues(assignments, rules_frame(spark, contract), received, quality, **options)
-    return report.validation_report(assignments, issues)
+    quality = None
+    if row is not None and cap is None:
+        quality = row_issues.issue_summary(df, [contract], row, F.lit(name))
+    elif row is not None:
+        quality = row_issues.quality_report(df, [contract], row, F.lit(name), cap=cap)
+    return merged_issues(assignments, rules_frame(spark, contract), received, quality, **options)
+
+
+def validate_dataset(
+    spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column | None = None,
+    received: DataFrame | None = None, cap: int | None = fixed.ISSUE_CAP, **options: bool,
+) -> DataFrame:
+    """Report row of one dataset; arguments as in ``dataset_issues``."""
+    issues = dataset_issues(spark, name, df, contract, row, received, cap, **options)
+    return report.validation_report(spark.createDataFrame([(name, contract.name)], ASSIGNMENTS), issues)
+
+
+def remediate_dataset(
+    spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column,
+    received: DataFrame | None = None, also_formats: dict[str, list[str]] | None = None, **options: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """Validate a whole table exactly and carry out the fixes: (valid rows, rejected rows)."""
+    issues = dataset_issues(spark, name, df, contract, row, received, cap=None, **options)
+    return remediate.apply_plan(df, contract, report.remediation_plan(issues), also_formats)
 
 
 def validate_fleet(

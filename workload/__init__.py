@@ -2,6 +2,6 @@
 
 
 def groups() -> list:
-    from workload import reports, rows, schema
+    from workload import files, fixes, reports, retrieval, rows, schema
 
-    return [rows, schema, reports]
+    return [rows, schema, reports, fixes, files, retrieval]

@@ -150,6 +150,21 @@ ORACLES["issue_sample"] = oracle.query(
     'SELECT dataset, n, severity, "check", "column", expected, actual, "row" FROM fleet_sample', "fleet_sample")
 
 
+def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact findings of every feed, uncapped."""
+    issues = row_issues.issue_summary(
+        inputs.deliveries(spark, sf_dir), inputs.CONTRACTS, F.col("row"), F.col("dataset"), "contract")
+    return issues.select("dataset", "contract", "check", "column", "expected", "actual", "row", "n")
+
+
+QUERIES["issue_summary"] = issue_summary
+ORACLES["issue_summary"] = oracle.query(
+    'SELECT dataset, contract, "check", "column", any_value(expected) AS expected, '
+    "CASE WHEN \"check\" = 'value.required' THEN concat(CAST(count(*) AS varchar), ' empty values') "
+    f"ELSE arg_min({oracle.REDACTED.format(v='v')}, \"row\") END AS actual, min(\"row\") AS \"row\", count(*) AS n "
+    'FROM fleet_cells GROUP BY dataset, contract, "check", "column"', "fleet_cells")
+
+
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped report of the whole deliveries table taken as one dataset."""
     issues = row_issues.quality_report(
