@@ -63,7 +63,10 @@ def _list(value: Column) -> Column:
 
 
 def _full_pattern(column: Column) -> Column:
-    """The column's own pattern; regex checks listed under it must hold as well."""
+    """The column's own pattern; regex checks listed under it must hold as well.
+
+    A cell is stripped before it is matched, so the ``$`` of a lookahead is the end of the cell.
+    """
     listed = F.transform(
         F.filter(column["checks"], lambda c: (c["type"] == "regex") & (c["pattern"] != "")), lambda c: c["pattern"]
     )
@@ -71,7 +74,7 @@ def _full_pattern(column: Column) -> Column:
                                      F.coalesce(listed, F.array().cast("array<string>"))))
     ahead = F.array_join(
         F.transform(F.slice(every, 1, F.greatest(F.size(every) - 1, F.lit(0))),
-                    lambda p: F.concat(F.lit("(?=(?:"), p, F.lit(r")\z)"))), "")
+                    lambda p: F.concat(F.lit("(?=(?:"), p, F.lit(")$)"))), "")
     last = F.element_at(every, -1)
     return F.when(F.size(every) == 0, F.lit("")).when(F.size(every) == 1, last).otherwise(
         F.concat(ahead, F.lit("(?:"), last, F.lit(")"))

@@ -89,16 +89,31 @@ def with_row_csv(df: DataFrame, across_files: bool = False) -> DataFrame:
 # -- listing and admission ------------------------------------------------------------------------
 
 
-def list_objects(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+MAX_EMPTY_LISTING = 1_000_000  # file names looked through for empty files
+
+
+def list_objects(spark: SparkSession, path: str, prefix: str = "", with_empty: bool = True) -> DataFrame:
     """Files below ``path`` whose base name starts with ``prefix``: path, size.
 
-    The file contents are not read; only the listing columns remain in the scan.
+    The file contents are not read; only the listing columns remain in the scan.  A scan passes
+    over empty files, so these are taken from the file index, which the driver holds anyway; its
+    size is checked, ``with_empty=False`` leaves them out.
     """
-    return (
+    source = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", prefix + "*").load(path)
-        .select("path", F.col("length").alias("size"))
     )
+    listed = source.select("path", F.col("length").alias("size"))
+    if not with_empty:
+        return listed
+    names = source.inputFiles()
+    if len(names) > MAX_EMPTY_LISTING:
+        raise ValueError(f"more than {MAX_EMPTY_LISTING} files; list them by folder or with with_empty=False")
+    indexed = spark.createDataFrame([(name,) for name in names], "path string").select(
+        F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"\Afile:/+", "file:/").alias("path")
+    )
+    empty = indexed.join(listed, "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"))
+    return listed.unionByName(empty)
 
 
 def _plain_path(path: Column) -> Column:
