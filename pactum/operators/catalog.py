@@ -1,32 +1,44 @@
 """The check catalogue: texts, corrections, causes, plan lines and fixes of every check.
 
-Each text is a ``Column`` built from an issue's own fields, so a report is derived by
-projections over the issues and needs no lookup join.
+Every text is a template over an issue's own fields.  It becomes one SQL expression, so a report
+is derived by projections over the issues and needs no lookup join.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum import fixed
 
-_c = F.col
+# what a template may name; a null field prints as nothing
+_FIELDS = {
+    "column": "coalesce(`column`, '')",
+    "expected": "coalesce(expected, '')",
+    "actual": "coalesce(actual, '')",
+    "message": "coalesce(message, '')",
+    "bound": "regexp_replace(coalesce(expected, ''), '^[<>]= ', '')",
+    "domain": "coalesce(array_join(expected_values, ', '), '')",
+    "number": "regexp_extract(coalesce(actual, ''), '^([0-9]+)', 1)",
+    "count": "line_count",
+}
 
 
-def _say(*parts: str | Column) -> Column:
-    """Concatenate literals and columns; a null column prints as nothing."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+def _sql(template: str) -> str:
+    parts = [
+        _FIELDS[part[1:-1]] if part.startswith("{") else "'" + part.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        for part in re.split(r"(\{\w+\})", template) if part
+    ]
+    return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def by_check(choices: dict[str, Column | str], check: Column | None = None) -> Column:
-    check = _c("check") if check is None else check
-    return reduce(
-        lambda chain, item: chain.when(check == item[0], item[1] if isinstance(item[1], Column) else F.lit(item[1])),
-        choices.items(), F,
-    )
+def by_check(templates: dict[str, str], subject: str = "`check`", otherwise: str | None = None) -> Column:
+    """Text by check name; null (or ``otherwise``) for a check without one."""
+    cases = " ".join(f"WHEN '{check}' THEN {_sql(template)}" for check, template in templates.items())
+    last = f" ELSE {_sql(otherwise)}" if otherwise else ""
+    return F.expr(f"CASE {subject} {cases}{last} END")
 
 
 MESSAGES = {
@@ -35,6 +47,7 @@ MESSAGES = {
     fixed.PROMOTION: "The received type is wider than the contract type and safe to read.",
     fixed.TYPE_CHANGE: "The received type does not fit the contract type.",
     fixed.EXTRA: "The received column is not part of the contract.",
+    fixed.REQUIRED: "{number} mandatory values are empty.",
     fixed.ALLOWED: "The value is not one of the accepted values.",
     fixed.PATTERN: "The value does not follow the required pattern.",
     fixed.FORMAT: "The date or time is not written in the contract format.",
@@ -63,94 +76,88 @@ ISSUE_IMPACTS = {
 
 def describe_issues(issues: DataFrame, *also: str) -> DataFrame:
     """Add message and impact, keep the columns of ``types.ISSUES`` (and others named)."""
-    number = F.regexp_extract(_c("actual"), r"\A(\d+)", 1)
-    message = by_check({**MESSAGES, fixed.REQUIRED: _say(number, " mandatory values are empty.")})
     return issues.select(
-        "dataset", "contract", "ord", "severity", "check", "column", message.alias("message"), "expected",
+        "dataset", "contract", "ord", "severity", "check", "column", by_check(MESSAGES).alias("message"), "expected",
         "expected_values", "actual", "row", by_check(ISSUE_IMPACTS).alias("impact"), *also,
     )
 
 
 # -- corrections -------------------------------------------------------------------------------
 
+SUGGESTIONS = {
+    fixed.RENAMED: "Rename `{actual}` back to `{expected}`, or change the contract if this was intended.",
+    fixed.MISSING: "Deliver `{column}` as `{expected}`, or make it optional in the contract.",
+    fixed.PROMOTION: "Change `{column}` in the contract from `{expected}` to `{actual}` if accepted.",
+    fixed.TYPE_CHANGE: "Cast `{column}` from `{actual}` to `{expected}` before publishing.",
+    fixed.EXTRA: "Declare `{column}` as `{actual}` in the contract if the new field is intended.",
+    fixed.REQUIRED: "Quarantine rows in which `{column}` is empty, or fill it before delivery.",
+    fixed.ALLOWED: "Map `{column}` to an accepted value: {domain}.",
+    fixed.PATTERN: "Clean `{column}` so that it follows `{expected}`.",
+    fixed.FORMAT: "Write `{column}` as `{expected}`, or change the contract on purpose.",
+    fixed.VALUE_TYPE: "Clean or cast `{column}` so that every value reads as `{expected}`.",
+    fixed.MINIMUM: "Reject rows in which `{column}` is below `{bound}`, or fix the producer.",
+    fixed.MAXIMUM: "Reject rows in which `{column}` is above `{bound}`, or fix the producer.",
+}
+
 
 def correction_action() -> Column:
     return by_check(fixed.ACTIONS)
 
 
 def correction_target() -> Column:
-    return F.when(_c("check") == fixed.RENAMED, _c("actual")).otherwise(_c("column"))
+    """A rename is addressed to the received column, everything else to the contract column."""
+    return by_check({fixed.RENAMED: "{actual}"}, otherwise="{column}")
 
 
 def correction_text() -> Column:
-    name, want, got = _c("column"), _c("expected"), _c("actual")
-    bound = F.regexp_replace(F.coalesce(want, F.lit("")), r"\A[<>]= ", "")
-    return by_check({
-        fixed.RENAMED: _say("Rename `", got, "` back to `", want, "`, or change the contract if this was intended."),
-        fixed.MISSING: _say("Deliver `", name, "` as `", want, "`, or make it optional in the contract."),
-        fixed.PROMOTION: _say("Change `", name, "` in the contract from `", want, "` to `", got, "` if accepted."),
-        fixed.TYPE_CHANGE: _say("Cast `", name, "` from `", got, "` to `", want, "` before publishing."),
-        fixed.EXTRA: _say("Declare `", name, "` as `", got, "` in the contract if the new field is intended."),
-        fixed.REQUIRED: _say("Quarantine rows in which `", name, "` is empty, or fill it before delivery."),
-        fixed.ALLOWED: _say("Map `", name, "` to an accepted value: ",
-                            F.array_join(F.coalesce(_c("expected_values"), F.array().cast("array<string>")), ", "), "."),
-        fixed.PATTERN: _say("Clean `", name, "` so that it follows `", want, "`."),
-        fixed.FORMAT: _say("Write `", name, "` as `", want, "`, or change the contract on purpose."),
-        fixed.VALUE_TYPE: _say("Clean or cast `", name, "` so that every value reads as `", want, "`."),
-        fixed.MINIMUM: _say("Reject rows in which `", name, "` is below `", bound, "`, or fix the producer."),
-        fixed.MAXIMUM: _say("Reject rows in which `", name, "` is above `", bound, "`, or fix the producer."),
-    })
+    return by_check(SUGGESTIONS)
 
 
 # -- explanations ------------------------------------------------------------------------------
 
+PROBLEMS = {
+    fixed.RENAMED: 'Required column "{column}" is absent; the similar column "{actual}" is present.',
+    fixed.MISSING: 'Expected column "{column}" is absent from the delivery.',
+    fixed.EXTRA: 'Column "{column}" is present but not declared in the contract.',
+    fixed.TYPE_CHANGE: 'The type of "{column}" changed: expected `{expected}`, received `{actual}`.',
+    fixed.REQUIRED: '{count} empty value(s) in the mandatory column "{column}".',
+    fixed.FORMAT: '"{column}" has {count} value(s) in another format than `{expected}`, such as `{actual}`.',
+    fixed.VALUE_TYPE: '"{column}" has {count} value(s) that do not read as `{expected}`, such as `{actual}`.',
+    fixed.PATTERN: '"{column}" has {count} value(s) that break the expected pattern.',
+    fixed.MINIMUM: '"{column}" has {count} value(s) below the minimum `{bound}`.',
+    fixed.MAXIMUM: '"{column}" has {count} value(s) above the maximum `{bound}`.',
+}
+CAUSES = {
+    fixed.RENAMED: 'The producer probably renamed "{expected}" to "{actual}".',
+    fixed.FORMAT: 'The producer probably changed the format of "{column}" without a new version.',
+    fixed.MINIMUM: 'The lower bound of "{column}" is not enforced upstream.',
+    fixed.REQUIRED: 'The producer sends incomplete rows for the mandatory field "{column}".',
+    fixed.TYPE_CHANGE: 'The type of "{column}" drifted between source and contract.',
+}
+PLAN = {
+    fixed.RENAMED: 'Rename "{actual}" to "{expected}", or update the contract if intended.',
+    fixed.MISSING: 'Add "{column}" to the delivery, or make it optional in the contract.',
+    fixed.TYPE_CHANGE: 'Cast "{column}" to `{expected}` before publishing.',
+    fixed.REQUIRED: 'Reject or quarantine rows in which "{column}" is empty.',
+    fixed.FORMAT: 'Convert "{column}" to the format `{expected}` before ingestion.',
+    fixed.VALUE_TYPE: 'Clean or cast "{column}" until it always reads as `{expected}`.',
+    fixed.MINIMUM: 'Enforce a minimum on "{column}" and reject values below `{bound}`.',
+    fixed.MAXIMUM: 'Enforce a maximum on "{column}" and reject values above `{bound}`.',
+    fixed.EXTRA: 'Add "{column}" to the contract only if the field is intended.',
+}
+
 
-def problem_text(count: Column) -> Column:
-    """Text of a group of issues that share check, column and expected value."""
-    name, want, got = _c("column"), _c("expected"), _c("actual")
-    bound = F.regexp_replace(F.coalesce(want, F.lit("")), r"\A[<>]= ", "")
-    known = by_check({
-        fixed.RENAMED: _say('Required column "', name, '" is absent; the similar column "', got, '" is present.'),
-        fixed.MISSING: _say('Expected column "', name, '" is absent from the delivery.'),
-        fixed.EXTRA: _say('Column "', name, '" is present but not declared in the contract.'),
-        fixed.TYPE_CHANGE: _say('The type of "', name, '" changed: expected `', want, "`, received `", got, "`."),
-        fixed.REQUIRED: _say(count, ' empty value(s) in the mandatory column "', name, '".'),
-        fixed.FORMAT: _say('"', name, '" has ', count, " value(s) in another format than `", want, "`, such as `",
-                           got, "`."),
-        fixed.VALUE_TYPE: _say('"', name, '" has ', count, " value(s) that do not read as `", want, "`, such as `",
-                               got, "`."),
-        fixed.PATTERN: _say('"', name, '" has ', count, " value(s) that break the expected pattern."),
-        fixed.MINIMUM: _say('"', name, '" has ', count, " value(s) below the minimum `", bound, "`."),
-        fixed.MAXIMUM: _say('"', name, '" has ', count, " value(s) above the maximum `", bound, "`."),
-    })
-    return F.coalesce(known, _say(_c("message"), " Column: `", name, "`."))
+def problem_text() -> Column:
+    """Text of a group of issues alike; reads ``line_count``."""
+    return by_check(PROBLEMS, otherwise="{message} Column: `{column}`.")
 
 
 def cause_text() -> Column:
-    name = _c("column")
-    return by_check({
-        fixed.RENAMED: _say('The producer probably renamed "', _c("expected"), '" to "', _c("actual"), '".'),
-        fixed.FORMAT: _say('The producer probably changed the format of "', name, '" without a new version.'),
-        fixed.MINIMUM: _say('The lower bound of "', name, '" is not enforced upstream.'),
-        fixed.REQUIRED: _say('The producer sends incomplete rows for the mandatory field "', name, '".'),
-        fixed.TYPE_CHANGE: _say('The type of "', name, '" drifted between source and contract.'),
-    })
+    return by_check(CAUSES)
 
 
 def plan_text() -> Column:
-    name, want, got = _c("column"), _c("expected"), _c("actual")
-    bound = F.regexp_replace(F.coalesce(want, F.lit("")), r"\A[<>]= ", "")
-    return by_check({
-        fixed.RENAMED: _say('Rename "', got, '" to "', want, '", or update the contract if intended.'),
-        fixed.MISSING: _say('Add "', name, '" to the delivery, or make it optional in the contract.'),
-        fixed.TYPE_CHANGE: _say('Cast "', name, '" to `', want, "` before publishing."),
-        fixed.REQUIRED: _say('Reject or quarantine rows in which "', name, '" is empty.'),
-        fixed.FORMAT: _say('Convert "', name, '" to the format `', want, "` before ingestion."),
-        fixed.VALUE_TYPE: _say('Clean or cast "', name, '" until it always reads as `', want, "`."),
-        fixed.MINIMUM: _say('Enforce a minimum on "', name, '" and reject values below `', bound, "`."),
-        fixed.MAXIMUM: _say('Enforce a maximum on "', name, '" and reject values above `', bound, "`."),
-        fixed.EXTRA: _say('Add "', name, '" to the contract only if the field is intended.'),
-    })
+    return by_check(PLAN)
 
 
 # (checks that trigger it, column names that trigger it, text), in report order
@@ -169,23 +176,26 @@ IMPACT_RULES = [
     ([], ["email", "mail"], "Privacy controls may no longer cover the right field."),
 ]
 
+# fixes that can be carried out on the data
+FIX_OPERATIONS = {
+    fixed.RENAMED: "rename", fixed.TYPE_CHANGE: "cast", fixed.REQUIRED: "quarantine_blank",
+    fixed.FORMAT: "normalize_date", fixed.VALUE_TYPE: "clean_cast", fixed.MINIMUM: "reject_below_min",
+    fixed.EXTRA: "drop",
+}
+FIX_TITLES = {
+    fixed.RENAMED: "Rename {actual} to {expected}",
+    fixed.TYPE_CHANGE: "Cast {column} to {expected}",
+    fixed.REQUIRED: "Quarantine rows with empty {column}",
+    fixed.FORMAT: "Normalize {column} format",
+    fixed.VALUE_TYPE: "Clean or cast {column}",
+    fixed.MINIMUM: "Reject {column} below minimum",
+    fixed.EXTRA: "Drop unexpected column {column}",
+}
+
+
 def fix_operation() -> Column:
-    """Transform that carries out the fix; null for checks that have none."""
-    return by_check({
-        fixed.RENAMED: "rename", fixed.TYPE_CHANGE: "cast", fixed.REQUIRED: "quarantine_blank",
-        fixed.FORMAT: "normalize_date", fixed.VALUE_TYPE: "clean_cast", fixed.MINIMUM: "reject_below_min",
-        fixed.EXTRA: "drop",
-    })
+    return by_check(FIX_OPERATIONS)
 
 
 def fix_title() -> Column:
-    name = _c("column")
-    return by_check({
-        fixed.RENAMED: _say("Rename ", _c("actual"), " to ", _c("expected")),
-        fixed.TYPE_CHANGE: _say("Cast ", name, " to ", _c("expected")),
-        fixed.REQUIRED: _say("Quarantine rows with empty ", name),
-        fixed.FORMAT: _say("Normalize ", name, " format"),
-        fixed.VALUE_TYPE: _say("Clean or cast ", name),
-        fixed.MINIMUM: _say("Reject ", name, " below minimum"),
-        fixed.EXTRA: _say("Drop unexpected column ", name),
-    })
+    return by_check(FIX_TITLES)

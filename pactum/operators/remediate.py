@@ -119,8 +119,12 @@ def with_reasons(df: DataFrame, contract: Contract) -> DataFrame:
             marks.append(F.concat(F.lit(f"{cell.rule.column}:"), check))
     # joining skips the nulls of good cells; the separator is a control character
     joined = F.concat_ws("\u0001", *marks) if marks else F.lit("")
-    reasons = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
-    return staged.withColumn("reasons", reasons).select(*[f"`{c}`" for c in df.columns], "reasons")
+    # The one-element explode keeps later filters on the reasons above this point; pushed below
+    # it they would repeat every check inside the filter.
+    judged = staged.withColumn("__joined", F.explode(F.array(joined)))
+    reasons = F.when(F.col("__joined") == "", F.array().cast("array<string>")).otherwise(
+        F.split("__joined", "\u0001"))
+    return judged.withColumn("reasons", reasons).select(*[f"`{c}`" for c in df.columns], "reasons")
 
 
 def quarantine_split(df: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame]:

@@ -64,46 +64,44 @@ def derived_lines(issues: DataFrame, kinds: list[str] | None = None) -> DataFram
     up their own ``n`` where the issues are summaries.
     """
     weight = F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
-    group_key = F.concat_ws(
-        "\u0001", "check", "column", F.coalesce("expected", F.lit("\u0002")),
-        F.coalesce(F.array_join("expected_values", "\u0003"), F.lit("\u0002")),
+    group_key = F.expr(
+        "concat_ws('\u0001', `check`, `column`, coalesce(expected, '\u0002'), "
+        "coalesce(array_join(expected_values, '\u0003'), '\u0002'))"
     )
+    action = catalog.correction_action()
     keys = {
         "issue": F.col("ord").cast("string"),
-        "correction": F.concat_ws("\u0001", catalog.correction_action(), catalog.correction_target()),
+        "correction": F.when(action.isNotNull(), F.concat_ws("\u0001", action, catalog.correction_target())),
         "problem": group_key,
         "cause": catalog.cause_text(),
         "plan": catalog.plan_text(),
         "fix": catalog.fix_title(),
     }
-    has_key = {"correction": catalog.correction_action().isNotNull()}
-    entries = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.when(has_key.get(kind, key.isNotNull()), key).alias("key"))
-        for kind, key in keys.items() if kinds is None or kind in kinds
-    ])
+    wanted = {kind: key for kind, key in keys.items() if kinds is None or kind in kinds}
+    entries = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in wanted.items()])
     lines = issues.select(
         "dataset", "contract", "ord", *ISSUE_FIELDS, weight.alias("weight"), F.explode(entries).alias("line")
-    ).filter(
-        F.col("line.key").isNotNull()
-    )
+    ).filter(F.col("line.key").isNotNull())
     first = lines.groupBy("dataset", "contract", F.col("line.kind").alias("kind"), F.col("line.key").alias("key")).agg(
         F.sum("weight").alias("n"), F.min_by(F.struct("ord", *ISSUE_FIELDS), "ord").alias("first")
     ).select("dataset", "contract", "kind", "n", "first.*")
-    count = F.when(
-        F.col("check") == fixed.REQUIRED, first_word_number(F.coalesce("actual", F.lit("")), F.col("n"))
-    ).otherwise(F.col("n").cast("string"))
-    kind = F.col("kind")
-    text = (
-        F.when(kind == "problem", catalog.problem_text(count))
-        .when(kind == "cause", catalog.cause_text())
-        .when(kind == "plan", catalog.plan_text())
-        .when(kind == "fix", catalog.fix_title())
-        .when(kind == "correction", catalog.correction_text())
+    leading = first_word_number(F.coalesce("actual", F.lit("")), F.col("n"))
+    counted = first.withColumn(
+        "line_count", F.when(F.col("check") == fixed.REQUIRED, leading).otherwise(F.col("n").cast("string"))
+    )
+    texts = {
+        "problem": catalog.problem_text(), "cause": catalog.cause_text(), "plan": catalog.plan_text(),
+        "fix": catalog.fix_title(), "correction": catalog.correction_text(),
+    }
+    kind, text = F.col("kind"), F
+    for name, made in texts.items():
+        if name in wanted:
+            text = text.when(kind == name, made)
+    done = F.when(kind == "correction", action).when(kind == "fix", catalog.fix_operation())
+    return counted.select(
+        "*", (F.lit(None).cast("string") if text is F else text).alias("text"), done.alias("action"),
+        F.when(kind == "correction", catalog.correction_target()).alias("target"),
     )
-    return first.withColumn("text", text).withColumn(
-        "action", F.when(kind == "correction", catalog.correction_action()).when(
-            kind == "fix", catalog.fix_operation())
-    ).withColumn("target", F.when(kind == "correction", catalog.correction_target()))
 
 
 def issue_corrections(issues: DataFrame) -> DataFrame:
@@ -240,7 +238,7 @@ STATUS_LABELS = {fixed.PASS: "Success", fixed.WARN: "Warning", fixed.FAIL: "Fail
 
 
 def status_label() -> Column:
-    return catalog.by_check(STATUS_LABELS, F.col("status"))
+    return catalog.by_check(STATUS_LABELS, "status")
 
 
 def report_summary(assignments: DataFrame, issues: DataFrame) -> DataFrame:

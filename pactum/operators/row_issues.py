@@ -123,13 +123,19 @@ def _rule_lookup(contracts: list[Contract], value) -> dict[str, str]:
     return found
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _literal_map(items: dict, kind: str) -> Column:
+    """A constant map as one SQL expression."""
     if not items:
-        return F.lit(None).cast(f"map<string,{kind}>")
-    parts = []
-    for key, item in items.items():
-        parts += [F.lit(key), F.array(*[F.lit(v) for v in item]) if isinstance(item, list) else F.lit(item)]
-    return F.create_map(*parts)
+        return F.expr(f"CAST(NULL AS map<string,{kind}>)")
+    entries = ", ".join(
+        f"{_quoted(key)}, " + (f"array({', '.join(map(_quoted, item))})" if isinstance(item, list) else _quoted(item))
+        for key, item in items.items()
+    )
+    return F.expr(f"map({entries})")
 
 
 def _describe(cells: DataFrame, contracts: list[Contract]) -> DataFrame:

@@ -20,7 +20,8 @@ def expected_columns(assignments: DataFrame, rules: DataFrame) -> DataFrame:
     broadcasts the rules only while their size is below its threshold."""
     wanted = rules.select(
         "contract", F.col("pos").alias("exp_pos"), F.col("column").alias("exp_column"),
-        F.col("type").alias("exp_type"), F.coalesce("required", F.lit(False)).alias("exp_required"),
+        F.col("type").alias("exp_type"), names.type_form(F.col("type")).alias("exp_norm"),
+        F.coalesce("required", F.lit(False)).alias("exp_required"),
     )
     return assignments.select("dataset", "contract").join(wanted, "contract").withColumn(
         "key", names.match_key(F.col("exp_column"))
@@ -32,7 +33,7 @@ def received_columns(received: DataFrame) -> DataFrame:
     last = Window.partitionBy("dataset", "key")
     return received.select(
         "dataset", F.col("pos").alias("src_pos"), F.col("column").alias("src_column"),
-        F.col("type").alias("src_type"), names.match_key(F.col("column")).alias("key"),
+        F.col("type").alias("src_type"), names.type_form(F.col("type")).alias("src_norm"), names.match_key(F.col("column")).alias("key"),
     ).withColumn("is_last", F.col("src_pos") == F.max("src_pos").over(last))
 
 
@@ -51,7 +52,8 @@ def aligned(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> Da
 def matched_columns(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
     both = expected_columns(assignments, rules).join(received_columns(received), ["dataset", "key"])
     return both.filter("is_last").select(
-        "dataset", "contract", "exp_pos", "exp_column", "exp_type", "src_pos", "src_column", "src_type"
+        "dataset", "contract", "exp_pos", "exp_column", "exp_type", "exp_norm", "src_pos", "src_column", "src_type",
+        "src_norm",
     )
 
 
@@ -98,7 +100,7 @@ def rename_confidence(align: DataFrame) -> DataFrame:
 
 
 def _type_check(allow_safe_promotion: bool) -> Column:
-    want, got = names.type_form(F.col("exp_type")), names.type_form(F.col("src_type"))
+    want, got = F.col("exp_norm"), F.col("src_norm")
     if not allow_safe_promotion:
         return F.when(want != got, F.lit(fixed.TYPE_CHANGE))
     return F.when((want != got) & names.is_safe_promotion(want, got), F.lit(fixed.PROMOTION)).when(

@@ -17,6 +17,9 @@ try:
 except ImportError:  # YAML contracts need the library, JSON contracts do not
     yaml = None
 
+# the library's compiled loader where it has one, with every scalar kept as text
+_LOADER = getattr(yaml, "CBaseLoader", None) or getattr(yaml, "BaseLoader", None)
+
 _DOCUMENT = "name string, dataset string, version string, owner string, criticality string, columns string"
 _COLUMN = (
     "name string, type string, required string, description string, format string, pattern string, "
@@ -40,7 +43,7 @@ def _plain_yaml(node):
 
 def _yaml_to_json(batches: Iterator) -> Iterator:
     for batch in batches:
-        batch["json"] = [json.dumps(_plain_yaml(yaml.load(t, Loader=yaml.BaseLoader))) for t in batch["text"]]
+        batch["json"] = [json.dumps(_plain_yaml(yaml.load(t, Loader=_LOADER))) for t in batch["text"]]
         yield batch[["source", "json"]]
 
 

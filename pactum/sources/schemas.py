@@ -16,9 +16,8 @@ from pactum.types import COLUMNS_META
 _INT, _FLOAT, _BOOLEAN, _OTHER = 1, 2, 4, 8
 
 
-def _kind(cell: Column) -> Column:
+def _kind(cell: Column, plain: Column) -> Column:
     """Narrowest kind of a cell as one bit; null for an empty cell.  White space is a value."""
-    plain = strip(cell)
     return F.when(cell == "", F.lit(None).cast("int")).when(plain.rlike(values.INT_SHAPE), _INT).when(
         plain.rlike(values.FLOAT_SHAPE), _FLOAT
     ).when(F.lower(plain).isin(fixed.INFERRED_BOOLEAN_WORDS), _BOOLEAN).when(cell.isNotNull(), _OTHER)
@@ -34,22 +33,28 @@ def infer_types(
     With ``infer_temporal`` a column of ISO dates or timestamps is typed as such.
     """
     columns = columns or df.columns
+    cells = [F.col(f"`{c}`").cast("string") for c in columns]
     name = F.lit("source") if dataset is None else dataset
-
-    def summary(column: str) -> list[Column]:
-        cell = F.col(f"`{column}`").cast("string")
-        parts = [F.bit_or(_kind(cell)).alias("kinds")]
-        if infer_temporal:
-            filled = F.when(cell != "", strip(cell))
-            parts.append(F.bool_and(values.reads_as_date(filled)).alias("dates"))
-            parts.append(F.bool_and(values.reads_as_timestamp(filled)).alias("stamps"))
-        return parts
-
-    wide = df.groupBy(name.alias("dataset")).agg(*[
-        F.struct(F.lit(pos).alias("pos"), F.lit(column).alias("column"), *summary(column)).alias(f"c{pos}")
-        for pos, column in enumerate(columns)
+    staged = df.select(
+        name.alias("dataset"), *[c.alias(f"c{n}") for n, c in enumerate(cells)],
+        *[strip(c).alias(f"p{n}") for n, c in enumerate(cells)],
+    )
+    tests = {"kinds": lambda c, p: _kind(c, p)}
+    if infer_temporal:
+        tests["dates"] = lambda c, p: F.when(c != "", values.reads_as_date(p))
+        tests["stamps"] = lambda c, p: F.when(c != "", values.reads_as_timestamp(p))
+    judged = staged.select("dataset", *[
+        test(F.col(f"c{n}"), F.col(f"p{n}")).alias(f"{kind}{n}") for kind, test in tests.items()
+        for n in range(len(columns))
+    ])
+    wide = judged.groupBy("dataset").agg(*[
+        (F.bit_or if kind == "kinds" else F.bool_and)(f"{kind}{n}").alias(f"{kind}{n}")
+        for kind in tests for n in range(len(columns))
     ])
-    rows = wide.select("dataset", F.explode(F.array(*[f"c{pos}" for pos in range(len(columns))])).alias("c"))
+    rows = wide.select("dataset", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("pos"), F.lit(c).alias("column"), *[F.col(f"{k}{n}").alias(k) for k in tests])
+        for n, c in enumerate(columns)
+    ])).alias("c"))
     kinds = F.col("c.kinds")
     found = F.when(kinds == _INT, F.lit("long")).when(kinds.isin(_FLOAT, _INT | _FLOAT), F.lit("double")).when(
         kinds == _BOOLEAN, F.lit("boolean"))

@@ -303,7 +303,7 @@ _register("report_json", report_json, oracle.query(
     """, "states", "first_corrections"))
 
 _MESSAGES = _cases({
-    **{c: quote(m) for c, m in catalog.MESSAGES.items()},
+    **{c: quote(m) for c, m in catalog.MESSAGES.items() if "{" not in m},
     "value.required": "concat(split_part(actual, ' ', 1), ' mandatory values are empty.')"})
 _ISSUE_IMPACTS = _cases({c: quote(m) for c, m in catalog.ISSUE_IMPACTS.items()})
 _SHOWN = "coalesce('[' || domain || ']', expected)"

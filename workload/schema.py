@@ -39,7 +39,8 @@ ORACLES["normalize_names"] = oracle.query(
 
 
 def matched_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sd.matched_columns(*_fleet(spark, sf_dir))
+    return sd.matched_columns(*_fleet(spark, sf_dir)).select(
+        "dataset", "contract", "exp_pos", "exp_column", "exp_type", "src_pos", "src_column", "src_type")
 
 
 QUERIES["matched_columns"] = matched_columns
