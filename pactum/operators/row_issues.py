@@ -235,17 +235,17 @@ def issue_sample(
     issues = cells.withColumn("late", F.lit(0)).unionByName(blanks.withColumn("late", F.lit(1)))
     order = Window.partitionBy("dataset", "contract").orderBy("pos", "late", "row")
     first = issues.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= cap).drop("late")
-    reached = (
-        first.filter(F.col("n") == cap)
-        .select(
-            "dataset", "contract", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("row"),
-            F.lit(fixed.WARN).alias("severity"), F.lit(fixed.ISSUE_LIMIT).alias("check"), F.lit("*").alias("column"),
-            F.lit(f"at most {cap} sampled issues").alias("expected"),
-            F.lit(None).cast("array<string>").alias("expected_values"),
-            F.lit(f"{cap} sampled issues").alias("actual"), F.lit(cap + 1).alias("n"),
-        )
-    )
-    return first.unionByName(reached)
+    # the issue that reaches the cap brings the warning along, so nothing is computed twice
+    fields = {
+        "pos": F.lit(None).cast("int"), "row": F.lit(None).cast("long"), "severity": F.lit(fixed.WARN),
+        "check": F.lit(fixed.ISSUE_LIMIT), "column": F.lit("*"), "expected": F.lit(f"at most {cap} sampled issues"),
+        "expected_values": F.lit(None).cast("array<string>"), "actual": F.lit(f"{cap} sampled issues"),
+        "n": F.lit(cap + 1),
+    }
+    issue = F.struct(*fields)
+    warning = F.struct(*[value.alias(name) for name, value in fields.items()])
+    listed = F.when(F.col("n") == cap, F.array(issue, warning)).otherwise(F.array(issue))
+    return first.select("dataset", "contract", F.explode(listed).alias("i")).select("dataset", "contract", "i.*")
 
 
 def issue_summary(

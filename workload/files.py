@@ -68,7 +68,8 @@ _register("row_locator", row_locator, oracle.query(
 _register(
     "row_locator_parquet",
     lambda spark, sf: files.with_row_parquet(files.scan_parquet(spark, f"{sf}/orders.parquet")).select("o_orderkey", "row"),
-    None)
+    # the keys of the file count up from 0 in file order
+    'SELECT o_orderkey, o_orderkey + 2 AS "row" FROM orders')
 
 _register(
     "row_sample",
