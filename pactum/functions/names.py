@@ -40,8 +40,10 @@ def is_safe_promotion(expected: Column, actual: Column) -> Column:
 
 def is_similar(left: Column, right: Column) -> Column:
     """Do two name forms look like the same column renamed?"""
-    close = (F.levenshtein(left, right) <= EDIT_DISTANCE) & (
-        F.least(F.length(left), F.length(right)) >= EDIT_MIN_LENGTH
+    lengths = F.length(left), F.length(right)
+    close = (
+        (F.least(*lengths) >= EDIT_MIN_LENGTH) & (F.abs(lengths[0] - lengths[1]) <= EDIT_DISTANCE)
+        & (F.levenshtein(left, right, EDIT_DISTANCE) >= 0)  # -1 beyond the threshold
     )
     return (left != "") & (right != "") & (left.contains(right) | right.contains(left) | close)
 

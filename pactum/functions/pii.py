@@ -31,5 +31,6 @@ def count_phones(value: Column) -> Column:
 
 def mask(value: Column) -> Column:
     for regex, word in MASKS:
-        value = F.regexp_replace(value, regex, word)
+        masked = F.regexp_replace(value, regex, word)
+        value = F.when(value.contains("@"), masked).otherwise(value) if regex == EMAIL else masked
     return value

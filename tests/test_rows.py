@@ -148,6 +148,16 @@ def test_one_scan_per_table(spark, tmp_path):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_sample_is_cut_before_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows_frame(spark, noisy_rows(20, 1), COLUMNS).write.parquet(path)
+    sample = row_issues.issue_sample(spark.read.parquet(path), [C2], F.col("row"), F.lit("d"))
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # cell issues; blanks of the required columns
+    limit, exchange = plan.index("row_number(), 20, Partial"), plan.index("Exchange hashpartitioning")
+    assert exchange < limit  # plans print from the end of the work to its beginning
+
+
 def test_single_rules_return_none_without_rule(spark):
     df = spark.createDataFrame([("x",)], "a string")
     (cell,) = cell_checks.locate_cells(df, Contract("c", [Rule("a", "string")]))
