@@ -9,6 +9,12 @@ from pactum.llm.frames import table
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.mixing import mixing_rates
+
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.language import identify
 
@@ -23,6 +29,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.surrogates import replace_private
+
+    return replace_private(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.decontaminate import benchmark_overlaps
 
@@ -42,8 +54,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing_rates": op1_mixing_rates,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_private_data": op7_private_data,
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_exact_top_k": op10_exact_top_k,
