@@ -15,6 +15,12 @@ def op1_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.language import identify
 
@@ -55,6 +61,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing_rates": op1_mixing_rates,
+    "op2_ngram_join": op2_ngram_join,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_private_data": op7_private_data,
