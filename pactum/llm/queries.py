@@ -21,6 +21,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.language import identify
 
@@ -62,6 +68,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing_rates": op1_mixing_rates,
     "op2_ngram_join": op2_ngram_join,
+    "op4_model_scores": op4_model_scores,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op7_private_data": op7_private_data,
