@@ -1,12 +1,63 @@
-"""A corpus pipeline of five operators; each stage works on all documents that the one before it kept."""
+"""A corpus pipeline of five operators; each stage works on all documents that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents.  Null texts go in the first stage; null ids are kept throughout, as ids of their own; an empty
+table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from pactum.llm.bit_tables import without
+from pactum.llm.decontaminate import benchmark_overlaps
+from pactum.llm.frames import table, written
+from pactum.llm.language import identified
+from pactum.llm.mixing import mixed_documents
+from pactum.llm.ngram_join import near_duplicates
+from pactum.llm.sharding import shard_documents
+
+SHARDS = 16
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a clear language go."""
+    return identified(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays."""
+    return without(docs, near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return without(docs, benchmark_overlaps(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stands in the mix as often as its rate says."""
+    return mixed_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's shard and its slot there."""
+    return shard_documents(docs, SHARDS)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+#: Trained models and hash orders can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

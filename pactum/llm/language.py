@@ -143,25 +143,53 @@ def fit(labelled: DataFrame, texts: int = SAMPLE_TEXTS, seed: int = 7) -> Networ
     return train(windows, np.array([languages.index(r.lang) for r in found]), languages, seed)
 
 
+def judge(batch: pa.RecordBatch, net: Network | None) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each row of text and has_letter."""
+    letters = np.asarray(batch.column("has_letter").fill_null(False))
+    names, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+    for first, last, data, offsets in text_chunks(batch) if net else ():
+        windows, text, used = cut(data, offsets)
+        sums = np.zeros((last - first, len(net.languages)))
+        for k in range(0, len(windows), SCORED):
+            some = slice(k, k + SCORED)
+            np.add.at(sums, text[some], net.probabilities(windows[some]) * used[some, None])
+        sums /= np.maximum(np.diff(offsets), 1)[:, None]
+        sure = letters[first:last]
+        names[first:last][sure] = np.array(net.languages, object)[sums.argmax(axis=1)][sure]
+        scores[first:last][sure] = np.minimum(sums.max(axis=1), 1)[sure]
+    return names, scores
+
+
+def _has_letter():
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def _learned(docs: DataFrame, texts: int) -> Network | None:
+    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string"), held_out_remainder().alias("fold"))
+    return fit(rows.where("fold <> 0"), texts)
+
+
+def identified(docs: DataFrame, least: float = 0.4, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """The rows of `docs`, with all columns, that have a language with a score of `least` or more.  Rows
+    without a letter are rejected; so are all, where nothing could be learned."""
+    sent = docs.sparkSession.sparkContext.broadcast(_learned(docs, texts))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = pa.RecordBatch.from_arrays([batch.column("text"), batch.column(batch.num_columns - 1)], ["text", "has_letter"])
+            names, scores = judge(asked, sent.value)
+            yield batch.filter(pa.array((names != UNKNOWN) & (scores >= least))).select(range(batch.num_columns - 1))
+
+    return docs.select("*", _has_letter().alias("__has_letter")).mapInArrow(kept, docs.schema)
+
+
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """The rows of `docs` (id, text as string, has_letter) as id, lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
         for batch in batches:
-            letters = np.asarray(batch.column("has_letter").fill_null(False))
-            names, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            for first, last, data, offsets in text_chunks(batch) if net else ():
-                windows, text, used = cut(data, offsets)
-                sums = np.zeros((last - first, len(net.languages)))
-                for k in range(0, len(windows), SCORED):
-                    some = slice(k, k + SCORED)
-                    np.add.at(sums, text[some], net.probabilities(windows[some]) * used[some, None])
-                sums /= np.maximum(np.diff(offsets), 1)[:, None]
-                sure = letters[first:last]
-                names[first:last][sure] = np.array(net.languages, object)[sums.argmax(axis=1)][sure]
-                scores[first:last][sure] = np.minimum(sums.max(axis=1), 1)[sure]
+            names, scores = judge(batch, sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.mapInArrow(predicted, "doc_id long, lang_pred string, score double")
@@ -175,10 +203,5 @@ def identify(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> DataFrame:
     could be learned; score is the predicted language's probability.  Equal texts get equal results; null
     ids are kept; other columns are left out; no rows give no rows.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"),
-        (held_out_remainder() == 0).alias("held_out"),
-    )
-    network = fit(rows.where(~F.col("held_out")), texts)
-    asked = rows.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    return predict(asked, network).select("doc_id", (held_out_remainder() == 0).alias("held_out"), "lang_pred", "score")
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _has_letter().alias("has_letter"))
+    return predict(asked, _learned(docs, texts)).select("doc_id", (held_out_remainder() == 0).alias("held_out"), "lang_pred", "score")

@@ -21,6 +21,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.repeated_bytes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pactum.llm.language_model import score
 
@@ -68,6 +74,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing_rates": op1_mixing_rates,
     "op2_ngram_join": op2_ngram_join,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_model_scores": op4_model_scores,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
