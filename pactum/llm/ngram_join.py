@@ -7,8 +7,9 @@ gives candidates under the length and positional filters.  Candidates are verifi
 suffix filter that bounds the overlap by the sizes of 16 hash ranges.
 
 A list of near copies would give all pairs.  So each list first ties its classes to its leader, the
-smallest class id, which is the same one in most lists of a group; what these ties connect needs no further
-pair.  Then all remaining candidate pairs between different components are verified.
+smallest class id, which is the same one in most lists of a group, and classes still outside are compared
+with a few members of their largest list; what these ties connect needs no further pair.  Then all
+remaining candidate pairs between different components are verified.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ WIDTH, PER_CENT = 5, 80
 BUCKET_BITS = 16
 #: A shingle whose bucket has more documents than this is dealt over several lists.
 LIST_ROWS = 20_000
+#: Members of a list's largest component that a class outside it is compared with, turn by turn, before
+#: all that is left is compared.
+GUIDES = (4, 12)
 _U = np.uint64
 
 
@@ -181,21 +185,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "join-links")
 
-    links = verified(first)
-    joined = written(components(links), "join-components")
-    # what is left: pairs of one list whose classes aren't connected yet; all but one end are outside the
-    # list's largest component
-    labelled = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "token", "cid", "n", "place", F.coalesce("component", "cid").alias("comp")).distinct()
-    sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("size"))
-    mixed_lists = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    open_ = labelled.join(mixed_lists.select("token", F.col("top.comp").alias("main")), "token").select(
-        "token", F.struct("cid", "n", "place", "comp").alias("x"), "main")
+    links, asked = verified(first), first
+
+    def open_lists(links: DataFrame) -> DataFrame:
+        """Postings of lists whose classes aren't all connected; main is a list's largest component."""
+        joined = written(components(links), "join-components")
+        labelled = lists.join(joined.withColumnRenamed("node", "cid"), "cid", "left").select(
+            "token", "cid", "n", "place", F.coalesce("component", "cid").alias("comp")).distinct()
+        sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("size"))
+        mixed_lists = sizes.groupBy("token").agg(
+            F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("rows")).where("comps > 1")
+        return written(labelled.join(mixed_lists.select("token", "rows", F.col("top.comp").alias("main")), "token").select(
+            "token", "rows", "main", F.struct("cid", "n", "place", "comp").alias("x")), "join-open")
+
+    def pairs(found: DataFrame) -> DataFrame:
+        return found.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
+
+    for turn, count in enumerate(GUIDES):
+        open_ = open_lists(links)
+        lone = open_.where("x.comp <> main").groupBy("x.cid").agg(F.max(F.struct("rows", "token", "x")).alias("best")).select(
+            "best.token", F.col("best.x").alias("y"))
+        nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("x.cid", F.lit(turn)), "x.cid"))
+        guides = open_.where("x.comp = main").withColumn("nth", nth).where(F.col("nth") <= count).select("token", "x")
+        more = written(pairs(lone.join(guides, "token").where(_possible("x", "y"))), "join-pairs")
+        links, asked = links.unionByName(verified(more)), asked.unionByName(more)
+
+    # what is left: all but one end of an open pair are outside the list's main component
+    open_ = open_lists(links)
     outside = open_.where("x.comp <> main").select("token", F.col("x").alias("y"))
     rest = outside.join(open_, "token").where(
         (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _possible("x", "y"))
-    second = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    links = links.unionByName(verified(second.join(first, ["a", "b"], "left_anti")))
+    links = links.unionByName(verified(pairs(rest)))
 
     by_rep = links.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
