@@ -97,8 +97,10 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, around, d, at = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((at, d, around, h))
         h, around, d, at = h[order], around[order], d[order], at[order]
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (around[1:] == around[:-1])
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = (d != d[first]) | (at != at[first])
         own = mixed(d.view(np.uint64) * _STEP + at.view(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.where(again, own, h)), pa.array(around), pa.array(d), pa.array(np.where(again, ~at, at))], ["h", "around", "doc_id", "at"])
@@ -253,7 +255,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = documents(docs)
     records = texts.mapInArrow(_records, "h long, around long, doc_id long, at long").repartition("h")
-    alike = F.row_number().over(Window.partitionBy("h", "around").orderBy("doc_id", "at"))
+    alike = F.rank().over(Window.partitionBy("h", "around").orderBy("doc_id", "at"))
     anchor = Window.partitionBy("h")
     judged = records.withColumn("nth", alike).withColumn("kinds", F.min("around").over(anchor) != F.max("around").over(anchor))
     settled = F.col("at") < 0
