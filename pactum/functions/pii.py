@@ -1,7 +1,6 @@
 """Personal data in text: e-mail addresses, social security numbers, phone numbers.
 
-Every repetition is bounded, so one match attempt looks at a bounded stretch of text however
-long the text is.
+No repetition has an upper bound: an address is found and masked whole, however long its parts are.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # -- fixed values: what counts as personal data, and what replaces it -----------------------------
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}\b"
 MASKS = [(EMAIL, "<email>"), (SSN, "<ssn>"), (PHONE, "<phone>")]

@@ -48,11 +48,17 @@ def status_rollup(assignments: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
+    """Cells by severity: an issue that sums up many cells counts as many."""
     return issues.groupBy("dataset").agg(
-        *[F.count_if(F.col("severity") == s).alias(s) for s in (fixed.FAIL, fixed.WARN, fixed.INFO)]
+        *[F.sum(F.when(F.col("severity") == s, _weight(issues)).otherwise(0)).cast("long").alias(s)
+          for s in (fixed.FAIL, fixed.WARN, fixed.INFO)]
     )
 
 
+def _weight(issues: DataFrame) -> Column:
+    return F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
+
+
 # -- derived lists -----------------------------------------------------------------------------
 
 
@@ -63,7 +69,7 @@ def derived_lines(issues: DataFrame, kinds: list[str] | None = None) -> DataFram
     form one line; the first issue gives its position and texts.  ``n`` counts the issues, or adds
     up their own ``n`` where the issues are summaries.
     """
-    weight = F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
+    weight = _weight(issues)
     group_key = F.expr(
         "concat_ws('\u0001', `check`, `column`, coalesce(expected, '\u0002'), "
         "coalesce(array_join(expected_values, '\u0003'), '\u0002'))"
@@ -186,9 +192,9 @@ def validation_report(assignments: DataFrame, issues: DataFrame) -> DataFrame:
 
     flag_names = [f"__impact_{n}" for n in range(len(catalog.IMPACT_RULES))]
     per_dataset = lines.groupBy("dataset").agg(
-        F.count_if(is_issue & (F.col("severity") == fixed.FAIL)).alias("fail_count"),
-        F.count_if(is_issue & (F.col("severity") == fixed.WARN)).alias("warn_count"),
-        F.count_if(is_issue & (F.col("severity") == fixed.INFO)).alias("info_count"),
+        F.sum(F.when(is_issue & (F.col("severity") == fixed.FAIL), F.col("n")).otherwise(0)).cast("long").alias("fail_count"),
+        F.sum(F.when(is_issue & (F.col("severity") == fixed.WARN), F.col("n")).otherwise(0)).cast("long").alias("warn_count"),
+        F.sum(F.when(is_issue & (F.col("severity") == fixed.INFO), F.col("n")).otherwise(0)).cast("long").alias("info_count"),
         gather("issue", *ISSUE_FIELDS).alias("issue_list"),
         gather("correction", "action", "target", F.col("text").alias("suggestion")).alias("correction_list"),
         gather("problem", "text").alias("problem_list"),

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum import fixed
 from pactum.operators import remediate, report, row_issues, schema_diff
 from pactum.sources import schemas
 from pactum.types import ASSIGNMENTS, Contract, rules_frame
@@ -17,20 +16,21 @@ def merged_issues(
     assignments: DataFrame, rules: DataFrame, received: DataFrame, quality_issues: DataFrame | None = None,
     allow_safe_promotion: bool = True, warn_extra_columns: bool = True,
 ) -> DataFrame:
-    """Schema findings and sampled row issues of every dataset, numbered."""
+    """Schema findings and row issues of every dataset, numbered; ``n`` is the number of cells of each."""
     found = schema_diff.schema_diff(assignments, rules, received, allow_safe_promotion, warn_extra_columns)
-    return found if quality_issues is None else report.merge_issues(found, quality_issues)
+    both = found if quality_issues is None else report.merge_issues(found, quality_issues)
+    return both.withColumn("n", F.coalesce("n", F.lit(1)) if "n" in both.columns else F.lit(1).cast("long"))
 
 
 def dataset_issues(
     spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column | None = None,
-    received: DataFrame | None = None, cap: int | None = fixed.ISSUE_CAP, **options: bool,
+    received: DataFrame | None = None, cap: int | None = None, **options: bool,
 ) -> DataFrame:
     """Issues of one dataset.
 
     ``row`` numbers the rows; without it only the schema is compared.  ``received`` is the
     dataset's schema when it is not simply that of ``df`` (a CSV's inferred types).  The row
-    issues are the first ``cap``; with ``cap=None`` one per column and check with exact counts.
+    issues are one per column and check with exact counts; with a ``cap`` they are the first ``cap``.
     """
     assignments = spark.createDataFrame([(name, contract.name)], ASSIGNMENTS)
     received = schemas.schema_of(spark, {name: df}) if received is None else received
@@ -44,7 +44,7 @@ def dataset_issues(
 
 def validate_dataset(
     spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column | None = None,
-    received: DataFrame | None = None, cap: int | None = fixed.ISSUE_CAP, **options: bool,
+    received: DataFrame | None = None, cap: int | None = None, **options: bool,
 ) -> DataFrame:
     """Report row of one dataset; arguments as in ``dataset_issues``."""
     issues = dataset_issues(spark, name, df, contract, row, received, cap, **options)
@@ -61,18 +61,17 @@ def remediate_dataset(
 
 
 def validate_fleet(
-    spark: SparkSession, members: list[tuple[str, DataFrame, Contract, Column]], cap: int = fixed.ISSUE_CAP,
-    **options: bool,
+    spark: SparkSession, members: list[tuple[str, DataFrame, Contract, Column]], **options: bool,
 ) -> DataFrame:
     """Report rows of many tables, each with its own contract, in one plan.
 
-    Every table is melted to issues on its own; only issues meet in the union.
+    Every table is counted by column and check on its own; only these counts meet in the union.
     """
     assignments = spark.createDataFrame([(name, c.name) for name, _, c, _ in members], ASSIGNMENTS)
     received = schemas.schema_of(spark, {name: df for name, df, _, _ in members})
     contracts = {c.name: c for _, _, c, _ in members}
     quality = reduce(DataFrame.unionByName, [
-        row_issues.quality_report(df, [contract], row, F.lit(name), cap=cap) for name, df, contract, row in members
+        row_issues.issue_summary(df, [contract], row, F.lit(name)) for name, df, contract, row in members
     ])
     issues = merged_issues(assignments, rules_frame(spark, *contracts.values()), received, quality, **options)
     return report.validation_report(assignments, issues)

@@ -102,7 +102,7 @@ def run_history(reports: DataFrame, units: DataFrame, trace: str) -> DataFrame:
     """One history row per report.  ``units`` gives dataset and estimated_units."""
     return reports.join(units.select("dataset", "estimated_units"), "dataset", "left").select(
         F.current_timestamp().alias("ts"), F.lit(trace).alias("trace_id"), "status",
-        F.col("dataset").alias("source"), "contract", F.size("issues").cast("long").alias("issue_count"),
+        F.col("dataset").alias("source"), "contract", (F.col("fail_count") + F.col("warn_count") + F.col("info_count")).alias("issue_count"),
         "estimated_units",
     )
 

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 def reports(spark):
     df = rows_frame(spark, F2, ["customer_id", "mail", "birth_date", "amount"])
     received = schemas.infer_types(df.drop("row"), dataset=F.lit("F2"))
-    return validate.validate_dataset(spark, "F2", df, C2, F.col("row"), received).cache()
+    return validate.validate_dataset(spark, "F2", df, C2, F.col("row"), received, cap=20).cache()
 
 
 def test_report_row(reports):
@@ -129,3 +129,23 @@ def test_registered_queries_match_their_sql(spark, name):
 
     _, n, verdict = compare(spark, duck(SF), SF, entry.queries()[name], entry.oracle_sql()[name])
     assert (verdict, n > 0) == ("ok", True)
+
+
+def test_every_column_is_reported_after_many_issues(spark):
+    """A column that breaks after twenty issues of another still has its correction, fix and impact."""
+    contract = Contract("c", rules=[Rule("v", allowed_values=["a", "b"]), Rule("w", "double")])
+    df = spark.createDataFrame([(k, "z", "none") for k in range(30)], "row long, v string, w string")
+    row = validate.validate_dataset(spark, "d", df, contract, F.col("row"), warn_extra_columns=False).first()
+    found = [i for i in row.issues if i["check"].startswith("value.")]
+    assert [(i["column"], i["check"]) for i in found] == [("v", "value.allowed"), ("w", "value.type")]
+    assert row.fail_count >= 60 and {c["target"] for c in row.corrections} >= {"v", "w"} and len(row.fixes) >= 1
+
+
+def test_long_addresses_are_masked_whole(spark):
+    text = "to " + "x" * 80 + "@" + ".".join(["label" * 15] * 15) + ".com now"
+    df = spark.createDataFrame([(text,)], "t string")
+    from pactum.functions import pii
+
+    assert df.select(pii.count_emails(F.col("t"))).first()[0] == 1
+    masked = df.select(F.regexp_replace("t", pii.EMAIL, "<email>")).first()[0]
+    assert masked == "to <email> now"

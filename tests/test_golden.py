@@ -24,7 +24,7 @@ def issues_of(df):
 def csv_issues(spark, name, rows, columns, contract):
     df = rows_frame(spark, rows, columns)
     received = schemas.infer_types(df.drop("row"), dataset=F.lit(name))
-    return validate.dataset_issues(spark, name, df, contract, F.col("row"), received)
+    return validate.dataset_issues(spark, name, df, contract, F.col("row"), received, cap=20)
 
 
 def corrections_of(issues):

@@ -185,21 +185,31 @@ PARTS = {
         SELECT dataset, contract, 21, 'WARN', 'quality.issue_limit', '*', 'at most 20 sampled issues', NULL,
           '20 sampled issues', NULL FROM fleet_first WHERE n = 20
         """,
+    # row issues of the fleet: one for each column and check, with the number of its cells
+    "fleet_totals": f"""
+        SELECT dataset, contract, pos, "check", "column", any_value(expected) AS expected,
+          CASE WHEN "check" <> 'value.required' THEN any_value(domain) END AS domain, min("row") AS "row", count(*) AS n,
+          CASE WHEN "check" = 'value.required' THEN concat(CAST(count(*) AS varchar), ' empty values')
+               ELSE arg_min({REDACTED.format(v='v')}, "row") END AS actual
+        FROM fleet_cells GROUP BY dataset, contract, pos, "check", "column"
+        """,
     "merged": """
         SELECT dataset, contract, row_number() OVER (PARTITION BY dataset ORDER BY part, a, b) AS ord, severity,
-          "check", "column", expected, domain, actual, "row" FROM (
+          "check", "column", expected, domain, actual, "row", weight FROM (
           SELECT dataset, contract, 0 AS part, phase AS a, pos AS b, severity, "check", "column", expected,
-            CAST(NULL AS varchar) AS domain, actual, CAST(NULL AS bigint) AS "row" FROM findings
+            CAST(NULL AS varchar) AS domain, actual, CAST(NULL AS bigint) AS "row", 1 AS weight FROM findings
           UNION ALL
-          SELECT dataset, contract, 1, n, 0, severity, "check", "column", expected, domain, actual, "row"
-            FROM fleet_sample)
+          SELECT dataset, contract, 1, row_number() OVER (
+              PARTITION BY dataset ORDER BY pos, "check" = 'value.required', "row", "check"), 0, 'FAIL', "check",
+            "column", expected, domain, actual, "row", n FROM fleet_totals)
         """,
     "states": """
         SELECT f.dataset, f.contract,
           CASE WHEN coalesce(x.fails, 0) > 0 THEN 'FAIL' WHEN coalesce(x.warns, 0) > 0 THEN 'WARN' ELSE 'PASS' END
             AS status, coalesce(x.fails, 0) AS fail_count, coalesce(x.warns, 0) AS warn_count
         FROM feeds f LEFT JOIN (
-          SELECT dataset, count(*) FILTER (severity = 'FAIL') AS fails, count(*) FILTER (severity = 'WARN') AS warns
+          SELECT dataset, CAST(sum(weight) FILTER (severity = 'FAIL') AS bigint) AS fails,
+            CAST(sum(weight) FILTER (severity = 'WARN') AS bigint) AS warns
           FROM merged GROUP BY dataset) x USING (dataset)
         """,
 }
@@ -210,7 +220,7 @@ NEEDS = {
     "surplus": ["expected", "received", "feeds"], "forms": ["absent", "surplus"], "lookalikes": ["forms"],
     "renamed": ["lookalikes"], "typed": ["matched"], "findings": ["absent", "surplus", "renamed", "typed"],
     "fleet_candidates": ["fleet_cells"], "fleet_first": ["fleet_candidates"], "fleet_sample": ["fleet_first"],
-    "merged": ["findings", "fleet_sample"], "states": ["feeds", "merged"],
+    "fleet_totals": ["fleet_cells"], "merged": ["findings", "fleet_totals"], "states": ["feeds", "merged"],
 }
 
 

@@ -17,7 +17,7 @@ ORACLES: dict = {}
 
 
 def fleet_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return row_issues.quality_report(
+    return row_issues.issue_summary(
         inputs.deliveries(spark, sf_dir), inputs.CONTRACTS, F.col("row"), F.col("dataset"), "contract"
     )
 
@@ -115,7 +115,7 @@ oracle.PARTS["first_corrections"] = (
     "SELECT * FROM all_corrections QUALIFY row_number() OVER (PARTITION BY dataset, action, target ORDER BY ord) = 1")
 oracle.PARTS["problem_lines"] = f"""
     SELECT dataset, ord, "check", "column", n, {SQL_PROBLEM} AS text FROM (
-      SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY ord) AS place FROM merged
+      SELECT *, CAST(sum(weight) OVER w AS bigint) AS n, row_number() OVER (w ORDER BY ord) AS place FROM merged
       WINDOW w AS (PARTITION BY dataset, "check", "column", expected, domain))
     WHERE place = 1"""
 for _name, _text in [("cause_lines", SQL_CAUSE), ("plan_lines", SQL_PLAN)]:
@@ -145,7 +145,8 @@ _register(
     "merged_report",
     lambda spark, sf: fleet_issues(spark, sf).select(
         "dataset", "contract", "ord", "severity", "check", "column", "expected",
-        F.array_join("expected_values", ", ").alias("domain"), "actual", "row"),
+        F.array_join("expected_values", ", ").alias("domain"), "actual", "row",
+        F.coalesce("n", F.lit(1)).alias("weight")),
     oracle.query("SELECT * FROM merged", "merged"))
 
 _register(
@@ -158,8 +159,9 @@ _register(
     lambda spark, sf: report.severity_counts(fleet_issues(spark, sf)).select(
         "dataset", F.col("FAIL").alias("fails"), F.col("WARN").alias("warns"), F.col("INFO").alias("infos")),
     oracle.query(
-        "SELECT dataset, count(*) FILTER (severity = 'FAIL') AS fails, count(*) FILTER (severity = 'WARN') AS warns, "
-        "count(*) FILTER (severity = 'INFO') AS infos FROM merged GROUP BY dataset", "merged"))
+        "SELECT dataset, " + ", ".join(
+            f"CAST(coalesce(sum(weight) FILTER (severity = '{s}'), 0) AS bigint) AS {s.lower()}s"
+            for s in ("FAIL", "WARN", "INFO")) + " FROM merged GROUP BY dataset", "merged"))
 
 _register(
     "corrections", lambda spark, sf: report.issue_corrections(fleet_issues(spark, sf)),
@@ -225,13 +227,14 @@ _register(
 _register(
     "validation_report",
     lambda spark, sf: fleet_reports(spark, sf).select(
-        "dataset", "contract", "status", "fail_count", "warn_count", F.size("issues").cast("long").alias("issue_count"),
+        "dataset", "contract", "status", "fail_count", "warn_count", F.size("issues").cast("long").alias("issue_lines"),
         F.size("corrections").cast("long").alias("correction_count"), F.size("problems").cast("long").alias("problem_count"),
         F.size("causes").cast("long").alias("cause_count"), F.size("fixes").cast("long").alias("fix_count"),
         "explanation", "business_impact", "proposed_correction"),
     oracle.query(
         """
-        SELECT s.dataset, s.contract, s.status, s.fail_count, s.warn_count, s.fail_count + s.warn_count AS issue_count,
+        SELECT s.dataset, s.contract, s.status, s.fail_count, s.warn_count,
+          (SELECT count(*) FROM merged x WHERE x.dataset = s.dataset) AS issue_lines,
           (SELECT count(*) FROM first_corrections x WHERE x.dataset = s.dataset) AS correction_count,
           (SELECT count(*) FROM problem_lines x WHERE x.dataset = s.dataset) AS problem_count,
           (SELECT count(*) FROM cause_lines x WHERE x.dataset = s.dataset) AS cause_count,
@@ -295,7 +298,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("report_json", report_json, oracle.query(
     """
     SELECT s.dataset, s.contract, s.status, s.fail_count AS fails, s.warn_count AS warns,
-      s.fail_count + s.warn_count AS issues,
+      (SELECT count(*) FROM merged x WHERE x.dataset = s.dataset) AS issues,
       (SELECT count(*) FROM first_corrections x WHERE x.dataset = s.dataset) AS corrections,
       m."check" AS first_check, m."column" AS first_column,
       coalesce(m.expected, '["' || replace(m.domain, ', ', '","') || '"]') AS first_expected, m.actual AS first_actual
@@ -450,7 +453,7 @@ def validate_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = validate.validate_fleet(spark, _members(spark, sf_dir))
     issues = reports.select("dataset", "contract", "status", F.posexplode("issues").alias("n", "i"))
     return issues.select("dataset", "contract", "status", "n", "i.severity", "i.check", "i.column", "i.expected",
-                         "i.row", F.when(F.col("i.check") == "quality.issue_limit", F.col("i.actual")).alias("limit"))
+                         "i.row")
 
 
 def _typed_cells(contract, name: str, key: str) -> str:
@@ -462,19 +465,19 @@ def _typed_cells(contract, name: str, key: str) -> str:
 _register("validate_fleet", validate_fleet, oracle.query(
     """
     SELECT dataset, contract, 'FAIL' AS status, row_number() OVER (PARTITION BY dataset ORDER BY part, n) - 1 AS n,
-      severity, "check", "column", expected, "row", CASE WHEN "check" = 'quality.issue_limit' THEN actual END AS limit
+      severity, "check", "column", expected, "row"
     FROM (
       SELECT dataset, contract, 1 AS part, n, 'FAIL' AS severity, "check", "column", expected, '' AS actual, "row"
-        FROM firsts
-      UNION ALL
-      SELECT dataset, contract, 1, 21, 'WARN', 'quality.issue_limit', '*', 'at most 20 sampled issues',
-        '20 sampled issues', NULL FROM firsts WHERE n = 20
+        FROM totals
       UNION ALL SELECT * FROM schema_part)
     """,
     cells=_typed_cells(inputs.CUSTOMER, "customer", "c_custkey") + " UNION ALL "
     + _typed_cells(inputs.ORDERS, "orders", "o_orderkey") + " UNION ALL "
     + _typed_cells(inputs.EVENTS, "events", "event_id"),
-    firsts='SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos, "row") AS n FROM cells QUALIFY n <= 20',
+    totals="""
+      SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos, "check" = 'value.required', "row", "check") AS n
+      FROM (SELECT dataset, contract, pos, "check", "column", any_value(expected) AS expected, min("row") AS "row"
+        FROM cells GROUP BY dataset, contract, pos, "check", "column")""",
     schema_part="""
       SELECT 'customer' AS dataset, 'customer_contract' AS contract, 0 AS part, 0 AS n, 'WARN' AS severity,
         'column.extra' AS "check", 'c_nationkey' AS "column", NULL AS expected, 'long' AS actual, NULL AS "row"
