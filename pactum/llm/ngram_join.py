@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pactum.llm.bit_tables import bit_table, hashed_ids, hit, id_hash
 from pactum.llm.components import components
 from pactum.llm.frames import NO_ID, documents, ids, restored, text_chunks, written
 from pactum.llm.words import distinct_runs, hash_words, mixed
@@ -146,6 +147,19 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cid").filter(mask), batch.column("text").filter(mask)], ["cid", "text"])
 
 
+def _among(table, column: str, hashed=None):
+    """Rows whose key, by its hash, may be in the bit table: what a join needs of them is then decided exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = ids(batch, column)
+            mask = hit(table.value, hashed(keys) if hashed else keys.view(np.uint64))
+            if mask.any():
+                yield batch.filter(pa.array(mask))
+
+    return run
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`.
 
@@ -176,13 +190,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = written(ties.select("x", "lead").unionByName(across).select(
         F.least("x.cid", "lead.cid").alias("a"), F.greatest("x.cid", "lead.cid").alias("b")).distinct(), "join-pairs")
 
-    needed = lists.select("cid").distinct().join(classes, "cid")
-    sources = needed.join(texts.withColumnRenamed("doc_id", "rep").withColumn("rep", F.coalesce("rep", F.lit(NO_ID))), "rep")
-    bodies = written(sources.select("cid", "text").mapInArrow(_fitting, "cid long, text string"), "join-texts").dropDuplicates(["cid"])
+    # only texts that bit tables can't clear are shuffled: of classes in lists, then of classes in the pairs asked for
+    needed = written(lists.select("cid").distinct().join(classes, "cid"), "join-needed")
+    reps = spark.sparkContext.broadcast(bit_table(hashed_ids(needed.select(F.col("rep").alias("doc_id")))))
+    sources = needed.join(
+        texts.mapInArrow(_among(reps, "doc_id", id_hash), texts.schema).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text"), "rep")
+    bodies = written(sources.select("cid", "text").mapInArrow(_fitting, "cid long, text string"), "join-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bodies.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(
-            bodies.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
+        met = spark.sparkContext.broadcast(bit_table(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+        some = bodies.mapInArrow(_among(met, "cid"), bodies.schema).dropDuplicates(["cid"])
+        both = pairs.join(some.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(
+            some.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
         return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "join-links")
 
     links, asked = verified(first), first
@@ -215,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     outside = open_.where("x.comp <> main").select("token", F.col("x").alias("y"))
     rest = outside.join(open_, "token").where(
         (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _possible("x", "y"))
-    links = links.unionByName(verified(pairs(rest)))
+    links = links.unionByName(verified(written(pairs(rest), "join-pairs")))
 
     by_rep = links.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
