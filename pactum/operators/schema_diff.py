@@ -1,8 +1,8 @@
 """Compare received schemas with contracts, for whole fleets of datasets at once.
 
 Inputs: ``assignments`` (dataset, contract), ``rules`` (``contract_rules``) and ``received``
-(``columns_meta``).  Everything is keyed by (dataset, lower-cased column), so one dataset with
-very many columns spreads over all tasks.
+(``columns_meta``).  Everything is keyed by (dataset, contract, lower-cased column): a dataset is judged
+under each of its contracts by itself, and one with very many columns spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -40,12 +40,11 @@ def received_columns(received: DataFrame) -> DataFrame:
 def aligned(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
     """Contract and received columns side by side: matched, only expected, or only received.
 
-    The window in ``received_columns`` and this join hash on the same (dataset, key), so each
-    side is shuffled once.
+    Received columns stand once under each contract of their dataset; datasets without a contract
+    drop out.
     """
-    both = expected_columns(assignments, rules).join(
-        received_columns(received), ["dataset", "key"], "full_outer"
-    )
+    judged = received_columns(received).join(assignments.select("dataset", "contract"), "dataset")
+    both = expected_columns(assignments, rules).join(judged, ["dataset", "contract", "key"], "full_outer")
     return both.filter(F.col("exp_pos").isNull() | F.col("src_pos").isNull() | F.col("is_last"))
 
 
@@ -57,21 +56,26 @@ def matched_columns(assignments: DataFrame, rules: DataFrame, received: DataFram
     )
 
 
+def _scope(align: DataFrame) -> list[str]:
+    """What one comparison is keyed by; an alignment under one contract may leave that column out."""
+    return [c for c in ("dataset", "contract") if c in align.columns]
+
+
 def similar_columns(align: DataFrame) -> DataFrame:
     """Pairs (missing contract column, undeclared received column) that look like a rename.
 
     Candidates come from an equi-join on shared blocking keys, never from all pairs.
     """
     missing = align.filter(F.col("src_pos").isNull()).select(
-        "dataset", "exp_pos", "exp_column", F.col("key").alias("exp_key"),
+        *_scope(align), "exp_pos", "exp_column", F.col("key").alias("exp_key"),
         names.name_form(F.col("exp_column")).alias("exp_form"),
     )
     extra = align.filter(F.col("exp_pos").isNull()).select(
-        "dataset", "src_pos", "src_column", F.col("key").alias("src_key"),
+        *_scope(align), "src_pos", "src_column", F.col("key").alias("src_key"),
         names.name_form(F.col("src_column")).alias("src_form"),
     )
     left, right = names.with_expected_keys(missing, "exp_form"), names.with_received_keys(extra, "src_form")
-    return left.join(right, ["dataset", "block"]).filter(
+    return left.join(right, [*_scope(align), "block"]).filter(
         names.is_similar(F.col("exp_form"), F.col("src_form"))
     ).drop("block")
 
@@ -82,8 +86,9 @@ def renamed_columns(align: DataFrame) -> DataFrame:
     One received column may serve several missing ones.
     """
     first = F.struct("src_pos", "src_column", "src_key", "src_form", "exp_column", "exp_key", "exp_form")
-    return similar_columns(align).groupBy("dataset", "exp_pos").agg(F.min_by(first, "src_pos").alias("m")).select(
-        "dataset", "exp_pos", "m.*"
+    return similar_columns(align).groupBy(*_scope(align), "exp_pos").agg(
+        F.min_by(first, "src_pos").alias("m")).select(
+        *_scope(align), "exp_pos", "m.*"
     )
 
 
@@ -124,10 +129,10 @@ def schema_findings(
     """
     align = aligned(assignments, rules, received)
     # what the renames say about either side, keyed like the alignment: one join brings it back
-    marks = renamed_columns(align).select("dataset", F.explode(F.array(
+    marks = renamed_columns(align).select("dataset", "contract", F.explode(F.array(
         F.struct(F.col("exp_key").alias("key"), F.col("src_column").alias("new_name")),
         F.struct(F.col("src_key").alias("key"), F.lit(None).cast("string").alias("new_name")),
-    )).alias("m")).groupBy("dataset", F.col("m.key").alias("key")).agg(
+    )).alias("m")).groupBy("dataset", "contract", F.col("m.key").alias("key")).agg(
         F.max("m.new_name").alias("new_name"), F.lit(True).alias("renamed")
     )
     declared, absent = F.col("exp_pos").isNotNull(), F.col("src_pos").isNull()
@@ -138,26 +143,25 @@ def schema_findings(
         .when(declared, _type_check(allow_safe_promotion))
         .when(F.lit(warn_extra_columns) & ~renamed, F.lit(fixed.EXTRA))
     )
-    found = align.drop("contract").join(marks, ["dataset", "key"], "left").withColumn("check", check).filter(
+    # findings only
+    found = align.join(marks, ["dataset", "contract", "key"], "left").withColumn("check", check).filter(
         F.col("check").isNotNull()
     )
     is_rename = F.col("check") == fixed.RENAMED
     optional = (F.col("check") == fixed.MISSING) & ~F.col("exp_required")
     warns = F.col("check").isin(fixed.PROMOTION, fixed.EXTRA) | optional
-    found = found.select(
-        "dataset", F.when(declared, 0).otherwise(1).alias("phase"), F.coalesce("exp_pos", "src_pos").alias("pos"),
+    return found.select(
+        "dataset", "contract", F.when(declared, 0).otherwise(1).alias("phase"), F.coalesce("exp_pos", "src_pos").alias("pos"),
         "check", F.when(warns, F.lit(fixed.WARN)).otherwise(F.lit(fixed.FAIL)).alias("severity"),
         F.coalesce("exp_column", "src_column").alias("column"),
         F.when(is_rename, F.col("exp_column")).otherwise(F.col("exp_type")).alias("expected"),
         F.when(is_rename, F.col("new_name")).otherwise(F.col("src_type")).alias("actual"),
     )
-    # findings only; datasets without a contract drop out here
-    return found.join(assignments.select("dataset", "contract"), "dataset")
 
 
 def number_findings(findings: DataFrame) -> DataFrame:
-    """Findings as ``issues``: ordered per dataset (bounded by its columns), with texts."""
-    order = Window.partitionBy("dataset").orderBy("phase", "pos")
+    """Findings as ``issues``: ordered per dataset and contract (bounded by its columns), with texts."""
+    order = Window.partitionBy("dataset", "contract").orderBy("phase", "pos")
     return catalog.describe_issues(
         findings.withColumn("ord", F.row_number().over(order).cast("long"))
         .withColumn("expected_values", F.lit(None).cast("array<string>"))

@@ -18,6 +18,15 @@ def diff(spark, contract, columns, **options):
     return [(r["check"], r["severity"], r["column"], r["expected"], r["actual"]) for r in rows]
 
 
+def test_a_dataset_under_two_contracts(spark):
+    contracts = [Contract("c1", [Rule("a", "int")]), Contract("c2", [Rule("b", "int")]), Contract("c3", [])]
+    received = spark.createDataFrame([("d", 0, "a", "int", False), ("e", 0, "a", "int", False)], COLUMNS_META)
+    assigned = spark.createDataFrame([("d", "c1"), ("d", "c2"), ("d", "c3")], ASSIGNMENTS)
+    found = sd.schema_diff(assigned, rules_frame(spark, *contracts), received)
+    assert {(r["dataset"], r["contract"], r["ord"], r["check"], r["column"]) for r in found.collect()} == {
+        ("d", "c2", 1, "column.missing", "b"), ("d", "c2", 2, "column.extra", "a"), ("d", "c3", 1, "column.extra", "a")}
+
+
 def test_type_names(spark):
     pairs = [("INTEGER", "int"), (" varchar(10) ", "string"), ("numeric (5, 2)", "decimal"), ("array<int>", "array<int>"),
              ("timestamp_ntz", "timestamp"), ("long", "long"), ("smallint", "smallint"), ("", ""), (None, "")]
