@@ -11,6 +11,9 @@ a hash of all bytes the run covers.
    into suffix order; windows that are equal stand together, and all but the first repeat.
 3. Repeated windows go to their documents, which cut the covered bytes.
 
+A document is a different (doc_id, text), told by a 64-bit hash of both; its id only says which of two equal
+windows is earlier.
+
 Texts are shuffled only for documents that lose bytes.  Which anchors and documents go on is told to the
 tasks by bit tables of a fixed size; a table too full lets more through, which changes nothing but the work.
 """
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pactum.llm.bit_tables import bit_table, hashed_ids, hit, id_hash
-from pactum.llm.frames import NO_ID, documents, ids, restored, text_chunks, written
+from pactum.llm.bit_tables import bit_table, hit
+from pactum.llm.frames import documents, ids, text_chunks, written
 from pactum.llm.suffix_order import suffix_order
 from pactum.llm.words import _BYTE, _STEP, mixed
 
@@ -87,31 +90,33 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs as records.  Of equal ones that a batch holds, the first speaks for all; the others are
     settled (windows that an earlier one equals) and only pass through, each under a key of its own."""
     for batch in batches:
-        doc, parts = ids(batch), []
+        doc, row, parts = ids(batch), ids(batch, "row"), []
         for first, _, data, offsets in text_chunks(batch):
             h, around, text, start, count, off = anchors(data, offsets)
             if len(h):
-                parts.append((h.view(np.int64), around.view(np.int64), doc[text + first], start << 16 | count << 8 | off))
+                parts.append((h.view(np.int64), around.view(np.int64), doc[text + first], row[text + first], start << 16 | count << 8 | off))
         if not parts:
             continue
-        h, around, d, at = (np.concatenate(x) for x in zip(*parts))
+        h, around, d, r, at = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((at, d, around, h))
-        h, around, d, at = h[order], around[order], d[order], at[order]
+        h, around, d, r, at = h[order], around[order], d[order], r[order], at[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         again = (d != d[first]) | (at != at[first])
         own = mixed(d.view(np.uint64) * _STEP + at.view(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(again, own, h)), pa.array(around), pa.array(d), pa.array(np.where(again, ~at, at))], ["h", "around", "doc_id", "at"])
+            [pa.array(np.where(again, own, h)), pa.array(around), pa.array(d), pa.array(r), pa.array(np.where(again, ~at, at))], ["h", "around", "doc_id", "row", "at"])
 
 
 def _surroundings(table):
-    """Anchor, hash of the surroundings, place and bytes of the runs whose anchor is in the table."""
+    """Anchor, hash of the surroundings, place and bytes of the runs whose anchor is in the table.  Of runs
+    alike in all bytes those at the first place stay: one, but for documents of one id that have it at the
+    same place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, met = ids(batch), {}
+            doc, rows, met = ids(batch), ids(batch, "row"), {}
             for first, _, data, offsets in text_chunks(batch):
                 h, around, text, start, count, off = anchors(data, offsets)
                 if not len(h):
@@ -120,28 +125,31 @@ def _surroundings(table):
                 raw = data.tobytes()
                 for k in some.tolist():
                     key = int(h[k]), int(around[k])
-                    row = int(doc[text[k] + first]), int(start[k] << 16 | count[k] << 8 | off[k])
-                    if key not in met or row < met[key][0]:
+                    place = int(doc[text[k] + first]), int(start[k] << 16 | count[k] << 8 | off[k])
+                    if key not in met or place < met[key][0]:
                         b = int(offsets[text[k]] + start[k])
-                        met[key] = row, raw[b : b + int(count[k]) - 1 + LENGTH]
+                        met[key] = place, raw[b : b + int(count[k]) - 1 + LENGTH], {int(rows[text[k] + first])}
+                    elif place == met[key][0]:
+                        met[key][2].add(int(rows[text[k] + first]))
             if met:
-                keys = np.array(list(met), np.uint64).view(np.int64)
+                flat = [(*key, d, row, at, b) for key, ((d, at), b, same) in met.items() for row in same]
+                h, around, *rest = zip(*flat)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([r[0] for r, _ in met.values()], pa.int64()),
-                    pa.array([r[1] for r, _ in met.values()], pa.int64()), pa.array([b for _, b in met.values()], pa.binary()),
-                ], ["h", "around", "doc_id", "at", "bytes"])
+                    pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(np.array(around, np.uint64).view(np.int64)),
+                    *[pa.array(x, pa.int64()) for x in rest[:3]], pa.array(rest[3], pa.binary()),
+                ], ["h", "around", "doc_id", "row", "at", "bytes"])
 
     return run
 
 
-def repeated_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-    """(doc, start) of the windows of some runs (doc, at, bytes) that an earlier window among them equals."""
+def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """(row, start) of the windows of some runs (doc, row, at, bytes) that an earlier window among them equals."""
     texts = [b for *_, b in rows]
     base = np.cumsum([0, *(len(b) + 1 for b in texts)])
     order = np.array(suffix_order(texts), np.int64)
     row = np.searchsorted(base, order, "right") - 1
-    counts = np.array([at >> 8 & 255 for _, at, _ in rows])
-    starts = np.array([at >> 16 for _, at, _ in rows])
+    counts = np.array([at >> 8 & 255 for *_, at, _ in rows])
+    starts = np.array([at >> 16 for *_, at, _ in rows])
     off = order - base[row]
     good = off < counts[row]
     order, row, off = order[good], row[good], off[good]
@@ -154,47 +162,51 @@ def repeated_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int]
         same[k : k + 8192] = (window[order[k : k + 8192]] == window[order[k - 1 : k + 8191][: len(order[k : k + 8192])]]).all(axis=1)
     group = np.cumsum(~same)
     doc = np.array([d for d, *_ in rows], np.int64)[row]
+    key = np.array([r for _, r, *_ in rows], np.int64)[row]
     start = starts[row] + off
     sort = np.lexsort((start, doc, group))
-    later = np.zeros(len(sort), bool)
-    later[1:] = group[sort][1:] == group[sort][:-1]
-    return list(zip(doc[sort][later].tolist(), start[sort][later].tolist()))
+    group, doc, key, start = group[sort], doc[sort], key[sort], start[sort]
+    new = np.ones(len(sort), bool)
+    new[1:] = group[1:] != group[:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (doc != doc[first]) | (start != start[first])  # documents of one id: neither place is earlier
+    return list(zip(key[later].tolist(), start[later].tolist()))
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of anchors whose rows come together; digests of windows of an anchor with too many."""
-    names = ["doc_id", "start", "d1", "d2"]
+    names = ["doc_id", "row", "start", "d1", "d2"]
 
     def digests(group):
-        cut = [(d, (at >> 16) + k, hashlib.blake2b(b[k : k + LENGTH], digest_size=16).digest()) for d, at, b in group for k in range(at >> 8 & 255)]
+        cut = [(d, r, (at >> 16) + k, hashlib.blake2b(b[k : k + LENGTH], digest_size=16).digest()) for d, r, at, b in group for k in range(at >> 8 & 255)]
         d = np.frombuffer(b"".join(x for *_, x in cut), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in cut], pa.int64()), pa.array([x[1] for x in cut], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], names)
+        return pa.RecordBatch.from_arrays([*[pa.array([x[k] for x in cut], pa.int64()) for k in range(3)], pa.array(d[:, 0]), pa.array(d[:, 1])], names)
 
     def found(rows):
         windows = repeated_windows(rows)
         none = pa.nulls(len(windows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([w[0] for w in windows], pa.int64()), pa.array([w[1] for w in windows], pa.int64()), none, none], names)
+        return pa.RecordBatch.from_arrays([none, pa.array([w[0] for w in windows], pa.int64()), pa.array([w[1] for w in windows], pa.int64()), none, none], names)
 
     ready: list = []
     group: list = []
-    key = last = None
+    key = last = place = None
     size, many = 0, False
     for batch in batches:
-        for h, around, doc, at, b in zip(*(c.to_pylist() for c in batch.columns)):
+        for h, around, doc, row, at, b in zip(*(c.to_pylist() for c in batch.columns)):
             if h != key:
                 if many and group:
                     yield digests(group)
                 elif not many and len(group) > 1:
                     ready += group
-                    size += sum(len(x[2]) for x in group)
+                    size += sum(len(x[-1]) for x in group)
                 if size >= ORDER_BYTES:
                     yield found(ready)
                     ready, size = [], 0
                 group, key, last, many = [], h, None, False
-            if around == last:
-                continue  # alike in all bytes: settled before
-            last = around
-            group.append((doc, at, b))
+            if around == last and (place[:2] != (doc, at) or place[2] == row):
+                continue  # alike in all bytes and later: settled before; or an equal row
+            last, place = around, (doc, at, row)
+            group.append((doc, row, at, b))
             if len(group) > ORDER_ROWS:
                 yield digests(group)
                 group, many = [], True
@@ -236,9 +248,9 @@ def _held(table):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array(hit(table.value, id_hash(ids(batch))))
+            mask = pa.array(hit(table.value, ids(batch, "row").view(np.uint64)))
             text = pc.if_else(mask, batch.column("text"), pa.scalar(None, batch.column("text").type))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), batch.column("whole"), text], ["doc_id", "n_bytes", "whole", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("n_bytes"), batch.column("whole"), text], ["doc_id", "row", "n_bytes", "whole", "text"])
 
     return run
 
@@ -248,13 +260,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte is removed if a window of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or
     in the same text before.  Texts are whole and judged as they came in.  A null text is an empty one,
-    which loses nothing.  A null id comes before all others.  Rows that share an id are places of one id:
-    where equal windows start at the same place of such rows, neither is earlier, and what is removed for
-    one of them is removed for all.  Other columns are left out; no rows give no rows.
+    which loses nothing.  A null id comes before all others.  Where equal windows start at the same
+    place of rows that share an id, neither is earlier.  What is removed from a row is removed from rows equal
+    in id and text, and from no others.  Other columns are left out; no rows give no rows.
     """
     spark = docs.sparkSession
-    texts = documents(docs)
-    records = texts.mapInArrow(_records, "h long, around long, doc_id long, at long").repartition("h")
+    texts = documents(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    records = texts.mapInArrow(_records, "h long, around long, doc_id long, row long, at long").repartition("h")
     alike = F.rank().over(Window.partitionBy("h", "around").orderBy("doc_id", "at"))
     anchor = Window.partitionBy("h")
     judged = records.withColumn("nth", alike).withColumn("kinds", F.min("around").over(anchor) != F.max("around").over(anchor))
@@ -262,23 +274,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     judged = written(judged.where(settled | (F.col("nth") > 1) | F.col("kinds")), "repeat-records")
     at = F.when(settled, F.bitwise_not("at")).otherwise(F.col("at"))
     whole = judged.where(settled | (F.col("nth") > 1)).select(
-        "doc_id", F.shiftright(at, 16).alias("start"), (F.shiftright(at, 8).bitwiseAND(255)).alias("count"))
+        "row", F.shiftright(at, 16).alias("start"), (F.shiftright(at, 8).bitwiseAND(255)).alias("count"))
 
     open_ = spark.sparkContext.broadcast(bit_table(judged.where(~settled & F.col("kinds")).select(F.col("h").alias("key"))))
-    around = texts.mapInArrow(_surroundings(open_), "h long, around long, doc_id long, at long, bytes binary")
-    compared = written(around.repartition("h").sortWithinPartitions("h", "around", "doc_id", "at").mapInArrow(
-        _ordered, "doc_id long, start long, d1 long, d2 long"), "repeat-windows")
+    around = texts.mapInArrow(_surroundings(open_), "h long, around long, doc_id long, row long, at long, bytes binary")
+    compared = written(around.repartition("h").sortWithinPartitions("h", "around", "doc_id", "at", "row").mapInArrow(
+        _ordered, "doc_id long, row long, start long, d1 long, d2 long"), "repeat-windows")
     first = compared.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = compared.where("d1 IS NOT NULL").join(first, ["d1", "d2"]).where(F.struct("doc_id", "start") > F.col("first"))
-    single = compared.where("d1 IS NULL").select("doc_id", "start").unionByName(later.select("doc_id", "start"))
-    windows = whole.unionByName(single.select("doc_id", "start", F.lit(1).alias("count")))
-    by_doc = written(windows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("windows")), "repeat-cuts")
+    single = compared.where("d1 IS NULL").select("row", "start").unionByName(later.select("row", "start"))
+    windows = whole.unionByName(single.select("row", "start", F.lit(1).alias("count")))
+    by_row = written(windows.groupBy("row").agg(F.collect_set(F.struct("start", "count")).alias("windows")), "repeat-cuts")
 
-    losing = spark.sparkContext.broadcast(bit_table(hashed_ids(by_doc)))
+    losing = spark.sparkContext.broadcast(bit_table(by_row.select(F.col("row").alias("key"))))
     held = texts.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        "doc_id", "row", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"), "text",
-    ).mapInArrow(_held(losing), "doc_id long, n_bytes long, whole string, text string")
-    met = held.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).join(by_doc.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    ).mapInArrow(_held(losing), "doc_id long, row long, n_bytes long, whole string, text string")
+    met = held.join(by_row, "row", "left")
     return met.select("doc_id", "n_bytes", "whole", "text", "windows").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -93,6 +93,18 @@ def test_repeats_equal_brute_force(docs, monkeypatch, rows_together):
     assert Counter(map(tuple, got.collect())) == brute_repeats(texts_of(docs))
 
 
+@pytest.mark.parametrize("rows_together", [4096, 2])
+def test_repeats_of_texts_that_share_an_id(spark, monkeypatch, rows_together):
+    monkeypatch.setattr(repeated_bytes, "ORDER_ROWS", rows_together)
+    shared, own = " ".join(words(1, 60)), [" ".join(words(10 + k, 80)) for k in range(8)]
+    rows = [(1, shared), (1, shared), (1, None), (1, ""), (1, "short"), (None, ""), (None, None), (None, "short")]
+    rows += [(None, own[0][:50] + shared[:150] + own[0][50:]), (None, own[1]), (None, own[2][:300] + shared[:150] + own[2][300:])]
+    rows += [(None, own[3][:90] + shared[200:340] + own[3][90:]), (None, own[4][:90] + shared[200:340] + own[4][90:])]  # at one place
+    rows += [(7, own[5] + shared), (7, own[6]), (7, "tiny"), (7, own[7][:90] + shared[180:350]), (7, own[7][:90] + shared[180:350] + own[6])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(map(tuple, repeated_bytes.remove_repeats(df).collect())) == brute_repeats(rows)
+
+
 def test_suffix_order():
     rng = random.Random(3)
     for _ in range(200):
