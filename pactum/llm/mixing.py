@@ -48,16 +48,22 @@ def _measured(docs: DataFrame, *keep: str) -> DataFrame:
     """A row for each different word of each document, with what only whole texts tell."""
     listed = docs.select(*keep, _words(F.coalesce(F.col("text"), F.lit(""))).alias("__w"))
     once = listed.select(*keep, F.size("__w").alias("n"), F.array_distinct("__w").alias("__w"))
-    return once.select(*keep, "n", F.size("__w").alias("nd"), F.explode_outer("__w").alias("__w"))
+    return once.select(*keep, "n", F.size("__w").alias("nd"), F.posexplode_outer("__w").alias("__at", "__w"))
+
+
+def _rows() -> Column:
+    """Of a group of measured rows: documents in it, each having one first row."""
+    return F.sum((F.coalesce("__at", F.lit(0)) == 0).cast("long"))
 
 
 def _sums() -> list[Column]:
-    w = F.col("__w")
+    """Measures of a group of equal documents, as of one of them."""
+    w, n = F.col("__w"), _rows()
     return [
         F.max("n").alias("n_tokens"), F.max("nd").alias("n_distinct"),
-        F.sum(((w == F.upper(w)) & (w != F.lower(w))).cast("int")).alias("n_upper"),
-        F.sum((_bare(w) != F.lower(w)).cast("int")).alias("n_marks"),
-        F.sum(F.length(w)).alias("n_chars"),
+        (F.sum(((w == F.upper(w)) & (w != F.lower(w))).cast("int")) / n).alias("n_upper"),
+        (F.sum((_bare(w) != F.lower(w)).cast("int")) / n).alias("n_marks"),
+        (F.sum(F.length(w)) / n).alias("n_chars"),
     ]
 
 
@@ -85,22 +91,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, known: in
     """Counts from at most `sample` labelled documents of each domain, chosen by a hash of their id.
 
     A label without a document, a document without a label, and nulls in either label column teach
-    nothing; an id labelled twice counts as often.  Without any labels the posteriors are even.
+    nothing; an id labelled twice counts as often, rows equal in id and text teach once.  Without any labels
+    the posteriors are even.
     """
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("doc_id"), _domain().alias("domain"))
-        .withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
+        .withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
     )
     # at most 3 * sample rows of two numbers: its size is bounded by parameters
-    taught = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id"), "mix-sample")
-    rows = _measured(taught.where("text IS NOT NULL"), "doc_id", "domain")
+    met = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("hash")).join(F.broadcast(chosen), "doc_id")
+    label = ("domain", "k", "hash")
+    taught = written(met.dropDuplicates(label), "mix-sample")
+    rows = _measured(taught.where("text IS NOT NULL"), *label)
     of = [F.sum((F.col("domain") == d).cast("int")).alias(f"c{d}") for d in range(3)]
     sizes = [int(x or 0) for x in taught.where("text IS NOT NULL").agg(*of).first()]
     total = max(1, sum(sizes))
     # documents of each domain that have the word
-    counts = rows.select("doc_id", "domain", _bare(F.col("__w")).alias("w")).where("w <> ''").distinct().groupBy("w").agg(*of)
+    counts = rows.select(*label, _bare(F.col("__w")).alias("w")).where("w <> ''").distinct().groupBy("w").agg(*of)
     share = [(F.col(f"c{d}") + 0.5) / (sizes[d] + 1.0) for d in range(3)]
     rest = [(sum((F.col(f"c{e}") for e in range(3) if e != d), F.lit(0.5))) / (total - sizes[d] + 1.0) for d in range(3)]
     both = (F.col("c0") + F.col("c1") + F.col("c2") + 1.0) / (total + 2.0)
@@ -111,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, known: in
     absent = [F.when(chi[d] >= SIGNIFICANT, F.ln((1 - share[d]) / (1 - rest[d]))).otherwise(0.0).alias(f"a{d}") for d in range(3)]
     top = counts.select("w", *there, *absent, F.greatest(*chi).alias("chi"), marked.alias("marked")).where("marked").orderBy(F.desc("chi"), "w").limit(known).collect()
     words = {r["w"]: [r[f"l{d}"] - r[f"a{d}"] for d in range(3)] for r in top}
-    texts = rows.groupBy("doc_id", "domain").agg(*_sums())
+    texts = rows.groupBy(*label).agg(*_sums())
     entries = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), b.alias("b")) for m, b in _bins().items()]))
     bins = {m: [[math.log(0.5 / (s + 5.0)) for s in sizes] for _ in range(10)] for m in MEASURES}
     for r in texts.select("domain", entries.alias("e")).groupBy("e.m", "e.b").agg(*of).collect():
@@ -125,12 +134,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, known: in
 
 
 def posteriors(docs: DataFrame, model: Classifier, *keys: str) -> DataFrame:
-    """The keys, n_tokens and p_high, p_low, p_toxic; rows alike in all keys become one."""
+    """The keys, n_rows, n_tokens and p_high, p_low, p_toxic; the n_rows rows alike in all keys, which must
+    have one text, become one and are judged as one."""
     spark = docs.sparkSession
     table = spark.createDataFrame([(w, *v) for w, v in model.words.items()], "w string, w0 double, w1 double, w2 double")
     rows = _measured(docs, *keys).withColumn("w", _bare(F.col("__w"))).join(F.broadcast(table), "w", "left")
-    summed = rows.groupBy(*keys).agg(*_sums(), *[F.coalesce(F.sum(f"w{d}"), F.lit(0.0)).alias(f"s{d}") for d in range(3)])
-    summed = summed.select(*keys, F.greatest("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "s0", "s1", "s2", *[b.alias(f"b_{m}") for m, b in _bins().items()])
+    summed = rows.groupBy(*keys).agg(*_sums(), _rows().alias("n_rows"), *[F.coalesce(F.sum(f"w{d}") / _rows(), F.lit(0.0)).alias(f"s{d}") for d in range(3)])
+    summed = summed.select(*keys, "n_rows", F.greatest("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "s0", "s1", "s2", *[b.alias(f"b_{m}") for m, b in _bins().items()])
     logits = []
     for d in range(3):
         x = F.lit(model.prior[d]) + F.col(f"s{d}")
@@ -138,8 +148,8 @@ def posteriors(docs: DataFrame, model: Classifier, *keys: str) -> DataFrame:
             x = x + F.element_at(F.array(*[F.lit(v[d]) for v in model.bins[m]]), F.col(f"b_{m}") + 1)
         logits.append(x.alias(f"x{d}"))
     # one over the sum of the others' odds: no column is used more than a few times
-    odds = summed.select(*keys, "n_tokens", *logits)
-    return odds.select(*keys, "n_tokens", *[
+    odds = summed.select(*keys, "n_rows", "n_tokens", *logits)
+    return odds.select(*keys, "n_rows", "n_tokens", *[
         (1 / sum((F.exp(F.col(f"x{e}") - F.col(f"x{d}")) for e in range(3)), F.lit(0.0))).alias(f"p_{name}") for d, name in enumerate(DOMAINS)])
 
 
@@ -179,15 +189,16 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float
 
     * n_tokens counts words between white space; a null or empty text has none, weighs nothing and gets
       its rate like any other.  A null id is kept.
-    * Equal texts have equal posteriors and rates, copies may differ by one.
+    * Equal texts have equal posteriors and rates, copies may differ by one.  A row that stands k times is
+      judged as one, weighs k times in the mix and gets its copies k times there.
     * Targets that can't be met (a domain without documents) are met as near as the rates allow.
     * Columns other than doc_id and text are left out; no documents give no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
     members = written(posteriors(texts, fit(docs, labels), "doc_id", "text_hash"), "mix-members")
-    rate, _ = fit_rates(members, targets)
+    rate, _ = fit_rates(members.withColumn("n_tokens", F.col("n_tokens") * F.col("n_rows")), targets)
     luck = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit("mix")), 11) + 0.5) / float(1 << 53)
-    return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + luck).cast("int"))
+    return members.drop("n_rows").withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + luck).cast("int"))
 
 
 def text_hash() -> Column:

@@ -86,6 +86,24 @@ def test_mixing_meets_targets(spark, docs, nothing):
     assert mixing_rates(nothing, labels).count() == 0
 
 
+def test_repeated_rows_are_judged_as_one_and_weigh_as_many(spark):
+    df, labels = mixture(spark)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    again = [(i, texts[i], "x") for i in (1, 2, 3) for _ in range(60)] + [(7000 + i, texts[i], "x") for i in (1, 2, 3)]
+    both = df.unionByName(spark.createDataFrame(again, df.schema)).repartition(5)
+    targets = {"high": 0.7, "low": 0.28, "toxic": 0.02}
+    rates = {(r.doc_id, r.text_hash): r for r in mixing_rates(both, labels, targets).collect()}
+    one = {r.doc_id: r for r in rates.values() if r.doc_id is not None}
+    for i in (1, 2, 3):
+        assert one[i].n_tokens == one[7000 + i].n_tokens
+        assert all(abs(one[i][c] - one[7000 + i][c]) < 1e-9 for c in ("p_high", "p_low", "p_toxic", "rate"))
+    rows = both.select("doc_id", F.xxhash64("text").alias("h")).collect()
+    weigh = [rates[r.doc_id, r.h] for r in rows]
+    total = sum(r.n_tokens for r in weigh)
+    share = [sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in weigh) / total for d in targets]
+    assert max(abs(a - b) for a, b in zip(share, targets.values())) < 0.01
+
+
 def test_rates_stay_nonnegative(spark):
     members = spark.createDataFrame([(10, 1.0, 0.0, 0.0), (10, 0.0, 1.0, 0.0), (30, 0.0, 0.0, 1.0)], "n_tokens long, p_high double, p_low double, p_toxic double")
     rate, share = fit_rates(members, {"high": 0.5, "low": 0.5, "toxic": 0.0})
