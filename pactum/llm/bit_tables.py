@@ -51,23 +51,28 @@ def hashed_ids(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long")).mapInArrow(run, "key long")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, whose doc_id is not among the (non-null) ids of `gone`.
-
-    Only rows that the table can't clear are moved: about as many as are taken out.
-    """
-    gone = gone.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__gone")).distinct()
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(hashed_ids(gone.withColumnRenamed("__gone", "doc_id"))))
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+def parted(docs: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of `docs` whose long `key` is not among those of `keys`, rows whose key may be: to be joined)."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(hashed_ids(keys.select(F.col(key).alias("doc_id")))))
 
     def parts(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                mask = hit(table.value, id_hash(batch.column("__key").to_numpy())) == wanted
+                mask = hit(table.value, id_hash(batch.column(key).to_numpy())) == wanted
                 if mask.any():
                     yield batch.filter(pa.array(mask))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        return docs.mapInArrow(run, docs.schema)
+
+    return parts(False), parts(True)
 
-    unsure = parts(True)
-    return parts(False).unionByName(unsure.join(gone, unsure["__key"] == gone["__gone"], "left_anti")).drop("__key")
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, with all columns, whose key is not among the (non-null) keys of `gone`.
+
+    Only rows that the table can't clear are moved: about as many as are taken out.
+    """
+    gone = gone.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
+    cleared, unsure = parted(keyed, gone, "__key")
+    return cleared.unionByName(unsure.join(gone, "__key", "left_anti")).drop("__key")

@@ -125,3 +125,18 @@ def test_pipeline(spark):
     assert {r.shard for r in rows} <= set(range(16))
     assert docs.columns == corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).columns
     assert corpus_pipeline.ngram_join(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_judge_texts_without_an_id_and_repeated_rows(spark, tmp_path):
+    one, two, item = (" ".join(words(k, 60)) for k in (700, 701, 702))
+    rows = [(None, one), (3, one + " tail"), (2, one), (2, one), (None, two), (9, two + " end"), (8, two), (8, " ".join(words(703, 60)))]
+    rows += [(11, " ".join(words(704, 60)))] * 3 + [(12, " ")] * 2 + [(None, None)] * 2
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(4)
+    kept = corpus_pipeline.ngram_join(spark, df, "")
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, one), (None, two), rows[7], rows[8], (12, " "), (12, " "), (None, None), (None, None)])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "x " + item), (None, one), (5, item), (5, two), (6, two)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.decontamination(spark, df, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, one), (5, two), (6, two)])
