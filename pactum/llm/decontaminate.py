@@ -4,7 +4,8 @@ A seed is a fixed mask over SPAN tokens: the hash of a place takes the tokens wh
 ignores the others, so two passages that differ only in ignored places still share it.  Documents' places
 are looked up among the benchmark's; a hit fixes an alignment of a document with an item, and around
 the hit the alignment is verified token by token.  A document is contaminated where an aligned window of
-WINDOW tokens has at most MISSES substitutions (an item shorter than the window must match as a whole).
+WINDOW tokens has at most MISSES substitutions.  An item shorter than the window must match as a whole, with
+as many substitutions as its share of the window allows; its masks reach over all its words.
 """
 
 from __future__ import annotations
@@ -23,13 +24,26 @@ from pactum.llm.words import hash_words, mixed, owners
 # window of 16 tokens with up to 2 substitutions (a test tries all placements).
 WINDOW, MISSES = 16, 2
 MASKS = ("1111110011", "111010101011", "1100110011011")
-#: Shortest item that can be matched: shorter ones are too common to tell anything.
-LEAST_ITEM = 8
+#: Masks of an item shorter than the window: each ignores every SPLIT-th word, so one of them ignores any
+#: single substitution.  Where none is allowed, one mask takes all words.
+SPLIT = 4
 #: Benchmark bytes that are sent to every executor; a larger benchmark is searched in parts of this size.
 PART_BYTES = 16 << 20
 _U = np.uint64
 
 
+def misses(size: int) -> int:
+    """Substitutions that a match of so many words may have."""
+    return MISSES * size // WINDOW
+
+
+def short_masks(size: int) -> list[str]:
+    """Masks over all words of an item shorter than WINDOW."""
+    if not misses(size):
+        return ["1" * size]
+    return ["".join("0" if k % SPLIT == drop else "1" for k in range(size)) for drop in range(SPLIT)]
+
+
 def seeds(words: np.ndarray, owner: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word) of every place whose words all belong to one text."""
     m = len(words) - len(mask) + 1
@@ -55,32 +69,22 @@ class Benchmark:
         owner = owners(self.firsts)
         self.owner = owner
         sizes = np.diff(self.firsts)
-        self.seeds = []
-        for salt, mask in enumerate((*MASKS, "1" * LEAST_ITEM)):
-            h, at = seeds(self.words, owner, mask, salt)
-            if salt == len(MASKS):  # only for items that no mask covers
-                short = sizes[owner[at]] < WINDOW
-                h, at = h[short], at[short]
-            order = np.argsort(h, kind="stable")
-            h, at = h[order], at[order]
-            values, first = np.unique(h, return_index=True)
-            self.seeds.append((mask, values, first, np.append(first[1:], len(h)), at, _filter(values)))
+        self.seeds, self.short = [], {}
+        for salt, mask in enumerate(MASKS):
+            self.seeds.append(_index(*seeds(self.words, owner, mask, salt), mask, salt, lambda at: sizes[owner[at]] >= WINDOW))
+        for size in np.unique(sizes[(sizes > 0) & (sizes < WINDOW)]).tolist():
+            self.short[size] = [
+                _index(*seeds(self.words, owner, mask, salt), mask, salt, lambda at: sizes[owner[at]] == size)
+                for salt, mask in enumerate(short_masks(size), len(MASKS))]
 
     def hits(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, item, shift) rows as two columns of places: words of the documents and of the benchmark."""
         left, right = [], []
-        for salt, (mask, values, first, last, at, maybe) in enumerate(self.seeds):
-            if not len(values):
-                continue
-            h, places = seeds(words, owner, mask, salt)
-            likely = maybe[(h >> _U(44)).astype(np.int64)]
-            h, places = h[likely], places[likely]
-            k = np.minimum(np.searchsorted(values, h), len(values) - 1)
-            same = values[k] == h
-            k, places = k[same], places[same]
-            count = last[k] - first[k]
-            left.append(np.repeat(places, count))
-            right.append(at[np.repeat(first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())])
+        for seed in self.seeds:
+            places, k = _met(seed, words, owner)
+            a, b = _expanded(seed, places, k)
+            left.append(a)
+            right.append(b)
         if not left:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(left), np.concatenate(right)
@@ -88,28 +92,85 @@ class Benchmark:
     def overlaps(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, first word, words, matches) of every verified alignment, its windows joined."""
         owner = owners(firsts)
+        found = self.short_overlaps(words, firsts, owner)
         left, right = self.hits(words, owner)
         if not len(left):
-            return []
-        found = []
+            return found
         pairs = np.unique(np.stack([owner[left], self.owner[right], left - right]), axis=1)
         for text, item, shift in pairs.T:
             # the part of the alignment that lies in both
             lo = max(self.firsts[item], firsts[text] - shift)
             hi = min(self.firsts[item + 1], firsts[text + 1] - shift)
             same = self.words[lo:hi] == words[lo + shift : hi + shift]
-            size = int(self.firsts[item + 1] - self.firsts[item])
-            need = min(WINDOW, size)
-            if hi - lo < need or size < LEAST_ITEM:
+            if hi - lo < WINDOW:
                 continue
             total = np.concatenate([[0], np.cumsum(same)])
-            misses = MISSES * need // WINDOW
-            good = np.flatnonzero(total[need:] - total[:-need] >= need - misses)
+            good = np.flatnonzero(total[WINDOW:] - total[:-WINDOW] >= WINDOW - MISSES)
             if len(good):
-                a, b = int(good[0]), int(good[-1]) + need
+                a, b = int(good[0]), int(good[-1]) + WINDOW
                 found.append((int(text), int(self.ids[item]), int(lo + shift - firsts[text]) + a, b - a, int(total[b] - total[a])))
         return found
 
+    def short_overlaps(self, words: np.ndarray, firsts: np.ndarray, owner: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """As `overlaps`, of items shorter than WINDOW: for each text and item the best alignment."""
+        found = []
+        for size, of_size in self.short.items():
+            left, right = [], []
+            for seed in of_size:
+                places, k = _met(seed, words, owner)
+                if not misses(size):  # all hits match alike: a text's first is its best
+                    order = np.lexsort((places, k, owner[places]))
+                    places, k = places[order], k[order]
+                    new = np.ones(len(k), bool)
+                    new[1:] = (k[1:] != k[:-1]) | (owner[places[1:]] != owner[places[:-1]])
+                    places, k = places[new], k[new]
+                a, b = _expanded(seed, places, k)
+                same = sum((words[a + j] == self.words[b + j] for j in range(size)), np.zeros(len(a), np.int64))
+                good = same >= size - misses(size)
+                left.append(np.stack([a[good], same[good]]))
+                right.append(b[good])
+            (a, same), b = np.concatenate(left, axis=1), np.concatenate(right)
+            text, item = owner[a], self.owner[b]
+            order = np.lexsort((a, -same, item, text))
+            a, same, text, item = a[order], same[order], text[order], item[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+            a, same, text, item = a[new], same[new], text[new], item[new]
+            found += zip(text.tolist(), self.ids[item].tolist(), (a - firsts[text]).tolist(), [size] * len(a), same.tolist())
+        return found
+
+
+def _index(h: np.ndarray, at: np.ndarray, mask: str, salt: int, wanted) -> tuple:
+    """The wanted places of the benchmark by hash."""
+    keep = wanted(at)
+    h, at = h[keep], at[keep]
+    order = np.argsort(h, kind="stable")
+    h, at = h[order], at[order]
+    values, first = np.unique(h, return_index=True)
+    return mask, salt, values, first, np.append(first[1:], len(h)), at, _filter(values)
+
+
+def _met(seed: tuple, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose hash the benchmark has, and its number among the seed's values."""
+    mask, salt, values, _, _, _, maybe = seed
+    if not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h, places = seeds(words, owner, mask, salt)
+    likely = maybe[(h >> _U(44)).astype(np.int64)]
+    h, places = h[likely], places[likely]
+    k = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    same = values[k] == h
+    return places[same], k[same]
+
+
+def _expanded(seed: tuple, places: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place with all places of the benchmark that have its value."""
+    _, _, _, first, last, at, _ = seed
+    if not len(k):
+        return places, k
+    count = last[k] - first[k]
+    return np.repeat(places, count), at[np.repeat(first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
 
 def _filter(values: np.ndarray) -> np.ndarray:
     """A table of 2**20 bits by the top bits of a hash: nearly all places are ruled out by one look-up."""
@@ -127,8 +188,9 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The benchmark is read in parts of at most PART_BYTES (one item, if it is longer) and each part is sent
     to the executors: what is broadcast never grows beyond that, a larger benchmark takes more passes.
-    Null and empty texts on either side match nothing; an item shorter than LEAST_ITEM words matches
-    nothing; repeated items and rows are matched each; null ids are kept.  Other columns are left out.
+    Null and empty texts on either side match nothing; an item of fewer words than allow a substitution must
+    stand in the text as it is, even a single word; repeated items and rows are matched each; null ids are
+    kept.  Other columns are left out.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 from pactum.llm import decontaminate, language, language_model
 from pactum.llm.surrogates import replace_private
 from pactum.llm.token_counts import token_counts
+from pactum.llm.words import hash_words
 from tests.llm.conftest import texts_of, words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,6 +107,21 @@ def test_benchmark_overlaps(spark, docs, nothing, monkeypatch):
     assert decontaminate.benchmark_overlaps(both, bench.limit(0)).count() == 0
 
 
+def test_items_of_every_length_are_found_with_their_substitutions():
+    for size in range(1, decontaminate.WINDOW + 1):
+        item = words(600 + size, size)
+        for other in ([], [7]):  # a second item of the same words, then one with other words
+            bench = decontaminate.Benchmark([(1, " ".join(item)), (2, " ".join(words(650, size) if other else item))])
+            for misses in range(decontaminate.MISSES * size // decontaminate.WINDOW + 2):
+                for places in itertools.combinations(range(size), misses):
+                    text = " ".join(["lead", "in", *("other" if k in places else w for k, w in enumerate(item)), "tail"]).encode()
+                    got = bench.overlaps(*hash_words(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
+                    allowed = misses <= decontaminate.MISSES * size // decontaminate.WINDOW
+                    assert set(got) >= ({(0, 1, 2, size, size - misses)} if allowed else set()), (size, places)
+                    if not allowed:
+                        assert not got, (size, places)
+
+
 def test_surrogates(spark, docs, nothing):
     rows = [
         (1, "mail Ann.Lee@corp.example.com or ann.lee@corp.example.com from 10.20.30.40"), (2, "again ann.lee@corp.example.com; card 4532 0151 1283 0366, 4532-0151-1283-0366"),
