@@ -85,21 +85,27 @@ def _formatted(canonical: Column, stream: Column) -> Column:
 
 
 def _name(stream: Column) -> Column:
-    """A first name of the gender and a family name, from syllables of the script."""
+    """A first name of the gender and a family name, from syllables of the script; with every attempt the family
+    name is a syllable longer, so the space of names never ends."""
     cyrillic = F.col("canonical").rlike(r"\p{IsCyrillic}")
 
-    def syllables(parts: list[str], other: list[str], base: int, count: int) -> Column:
-        pick = [F.when(cyrillic, F.element_at(F.array(*map(F.lit, other)), _byte(stream, F.lit(base + k)) % len(other) + 1)).otherwise(
-            F.element_at(F.array(*map(F.lit, parts)), _byte(stream, F.lit(base + k)) % len(parts) + 1)) for k in range(count)]
-        return F.concat(*pick)
+    def syllable(at: Column) -> Column:
+        return F.when(cyrillic, F.element_at(F.array(*map(F.lit, cyr)), _byte(stream, at) % len(cyr) + 1)).otherwise(
+            F.element_at(F.array(*map(F.lit, latin)), _byte(stream, at) % len(latin) + 1))
+
+    def syllables(base: int, count: int) -> Column:
+        return F.concat(*[syllable(F.lit(base + k)) for k in range(count)])
 
     latin = ["ba", "de", "fi", "ga", "ho", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "za", "lu"]
     cyr = ["ба", "де", "фи", "га", "хо", "ка", "ле", "ми", "но", "па", "ро", "са", "те", "ви", "за", "лу"]
     male = F.when(cyrillic, "н").otherwise("n")
     female = F.when(cyrillic, "я").otherwise("ia")
     ending = F.when(F.col("gender") == "female", female).otherwise(male)
-    family = F.initcap(F.concat(syllables(latin, cyr, 8, 3), F.when(cyrillic & (F.col("gender") == "female"), "ва").when(cyrillic, "в").otherwise("s")))
-    first = F.initcap(F.concat(syllables(latin, cyr, 0, 2), ending))
+    # no syllable at attempt 0: a sequence from 1 to 0 would count down
+    tries = F.filter(F.sequence(F.lit(0), F.col("attempt")), lambda k: k > 0)
+    more = F.array_join(F.transform(tries, lambda k: syllable(k + 10)), "")
+    family = F.initcap(F.concat(syllables(8, 3), more, F.when(cyrillic & (F.col("gender") == "female"), "ва").when(cyrillic, "в").otherwise("s")))
+    first = F.initcap(F.concat(syllables(0, 2), ending))
     return F.when(F.col("canonical").contains(" "), F.concat(first, F.lit(" "), family)).otherwise(family)
 
 

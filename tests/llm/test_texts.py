@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pactum.llm import decontaminate, language, language_model
-from pactum.llm.surrogates import replace_private
+from pactum.llm.surrogates import replace_private, surrogate_table
 from pactum.llm.token_counts import token_counts
 from pactum.llm.words import hash_words
 from tests.llm.conftest import texts_of, words
@@ -146,3 +146,12 @@ def test_surrogates(spark, docs, nothing):
     assert {(r.doc_id, r.n_entities): r.text for r in replace_private(df, "k").collect()} == got
     assert {r.text for r in replace_private(df, "other").collect()} != {r.text for r in out}
     assert replace_private(nothing).count() == 0 and replace_private(docs).count() == docs.count()
+
+
+def test_more_names_than_three_syllables_give(spark):
+    names = [("name", "".join(chr(65 + 32 * (j > 0) + k // 26**j % 26) for j in range(4)) + end, "female")
+             for end in ("x", "ж") for k in range(5000)]
+    names = [(kind, n if n.endswith("x") else "".join(chr(ord(c) + 1040 - 65) for c in n[:-1]) + "ж", g) for kind, n, g in names]
+    rows = surrogate_table(spark.createDataFrame(names, "kind string, canonical string, gender string"), "k").collect()
+    assert len(rows) == len({r.canonical for r in rows}) == len({r.surrogate for r in rows}) == 10_000
+    assert not {r.surrogate for r in rows} & {n for _, n, _ in names}
