@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pactum.llm import centroids
 from pactum.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +72,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), 20)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pactum.llm.centroids import cluster_report
+
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing_rates": op1_mixing_rates,
     "op2_ngram_join": op2_ngram_join,
@@ -82,5 +89,6 @@ QUERIES = {
     "op8_benchmark_overlaps": op8_benchmark_overlaps,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_centroid_clusters": centroids.oracle_sql()}
