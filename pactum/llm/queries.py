@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import centroids
+from pactum.llm import centroids, merkle
 from pactum.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -78,6 +78,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verification(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing_rates": op1_mixing_rates,
     "op2_ngram_join": op2_ngram_join,
@@ -90,5 +94,9 @@ QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op13_merkle_manifest": op13_merkle_manifest,
+}
+ORACLES: dict[str, str] = {
+    "op11_centroid_clusters": centroids.oracle_sql(),
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
-ORACLES: dict[str, str] = {"op11_centroid_clusters": centroids.oracle_sql()}
