@@ -8,6 +8,7 @@ from pactum.llm import centroids, merkle
 from pactum.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,14 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pactum.llm.byte_pairs import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verification(table(spark, sf_dir, "documents"))
 
@@ -94,6 +103,7 @@ QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_byte_pair_round_trip": op12_byte_pair_round_trip,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
