@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum.functions import pii
 from pactum.functions.text import is_blank
+from pactum.types import Contract
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,14 +23,50 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def pii_counts(df: DataFrame, key: str, column: str) -> DataFrame:
     """Personal data found per row; rows without any are left out."""
-    value = F.col(column)
-    found = df.select(
-        key, pii.count_emails(value).alias("emails"), pii.count_ssns(value).alias("ssns"),
-        pii.count_phones(value).alias("phones"),
-    )
+    found = df.select(key, *[n.alias(f"{kind}s") for kind, n in pii.counts(F.col(column)).items()])
     return found.filter((F.col("emails") > 0) | (F.col("ssns") > 0) | (F.col("phones") > 0))
 
 
+def pii_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column: cells with a value, cells with personal data, and how often each kind occurs.
+
+    One scan; each task sends one row of sums, whatever the number of cells.
+    """
+    sums = []
+    for n, column in enumerate(columns):
+        value = F.col(f"`{column}`").cast("string")
+        found = pii.counts(value)
+        sums += [
+            F.count(value).alias(f"{n}_cells"), F.count_if(reduce(lambda a, b: a + b, found.values()) > 0).alias(f"{n}_cells_with_pii"),
+            *[F.sum(times).alias(f"{n}_{kind}s") for kind, times in found.items()],
+        ]
+    names = ["cells", "cells_with_pii", *[f"{kind.name}s" for kind in pii.KINDS]]
+    entries = [
+        F.struct(F.lit(column).alias("column"), *[F.coalesce(F.col(f"`{n}_{name}`"), F.lit(0)).cast("long").alias(name) for name in names])
+        for n, column in enumerate(columns)
+    ]
+    return df.agg(*sums).select(F.explode(F.array(*entries)).alias("c")).select("c.*")
+
+
+def pii_review(df: DataFrame, contract: Contract, dataset: Column) -> DataFrame:
+    """What the contract says about personal data, beside what is in its columns.
+
+    ``verdict``: ``declared`` (flagged, and there is some), ``undeclared`` (not flagged, and there is some; to be
+    flagged or cleaned before the data goes on), ``unseen`` (flagged, but of no kind that is known), ``none``.
+    Contract columns that the data doesn't have are left out.
+    """
+    received = {f.lower(): f for f in df.columns}
+    rules = {received[r.column.lower()]: r for r in contract.rules if r.column.lower() in received}
+    flagged = F.col("column").isin([name for name, rule in rules.items() if rule.pii])
+    there = F.col("cells_with_pii") > 0
+    verdict = (
+        F.when(flagged & there, F.lit("declared")).when(there, F.lit("undeclared"))
+        .when(flagged, F.lit("unseen")).otherwise(F.lit("none"))
+    )
+    return pii_by_column(df, list(rules)).select(
+        dataset.alias("dataset"), F.lit(contract.name).alias("contract"), "*", flagged.alias("flagged"), verdict.alias("verdict"))
+
+
 def profile_columns(df: DataFrame, columns: list[str], keys: list[str] = (), exact: bool = True) -> DataFrame:
     """Rows, blanks, distinct values, least and greatest text of each column.
 

@@ -190,7 +190,18 @@ def mask_pii(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: pii.mask(F.col(c)) for c in columns})
 
 
+def flagged_columns(df: DataFrame, contract: Contract) -> list[str]:
+    """Received columns that the contract flags as personal data."""
+    flagged = {r.column.lower() for r in contract.rules if r.pii}
+    return [c for c in df.columns if c.lower() in flagged]
+
+
+def mask_flagged(df: DataFrame, contract: Contract) -> DataFrame:
+    """Mask the columns the contract flags as personal data, as texts: known kinds by their word, and any
+    other value as a whole."""
+    return df.withColumns({c: pii.mask_flagged(F.col(f"`{c}`").cast("string")) for c in flagged_columns(df, contract)})
+
+
 def drop_pii(df: DataFrame, contract: Contract) -> DataFrame:
     """Drop the columns the contract flags as personal data."""
-    flagged = {r.column.lower() for r in contract.rules if r.pii}
-    return df.drop(*[c for c in df.columns if c.lower() in flagged])
+    return df.drop(*flagged_columns(df, contract))

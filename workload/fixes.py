@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pactum.operators import profile, remediate
 from pactum.sources import schemas
 from pactum.plans import validate
-from pactum.functions import pii
+from pactum.types import Contract
 from workload import inputs, oracle
 
 QUERIES: dict = {}
@@ -153,24 +153,72 @@ _register("apply_plan", apply_plan, oracle.query(
 
 # -- personal data -----------------------------------------------------------------------------------
 
+# what the queries must find, said in the checking engine's own way (it never goes back in a text)
+_LOCAL, _LABEL = "[a-zA-Z0-9._%+-]", "[a-zA-Z0-9-]"
+_EMAIL = f"{_LOCAL}+@{_LABEL}+([.]{_LABEL}+)*[.][a-zA-Z][a-zA-Z]+"
+_SSN = r"\b\d\d\d-\d\d-\d\d\d\d\b"
+_PHONE = r"([+]\d\d?\d?[ .-]?)?([(]\d\d\d[)]|\b\d\d\d)[ .-]\d\d\d[ .-]\d\d\d\d\b"
+
+
+def _found(column: str) -> str:
+    return ", ".join(
+        f"coalesce(len(regexp_extract_all({column}, '{pattern}')), 0) AS {name}"
+        for name, pattern in [("emails", _EMAIL), ("ssns", _SSN), ("phones", _PHONE)])
+
+
+def _masked(column: str) -> str:
+    for word, pattern in [("<email>", _EMAIL), ("<ssn>", _SSN), ("<phone>", _PHONE)]:
+        column = f"regexp_replace({column}, '{pattern}', '{word}', 'g')"
+    return column
+
+
 _register(
     "detect_pii",
     lambda spark, sf: profile.pii_counts(inputs.table(spark, sf, "documents"), "doc_id", "text"),
-    f"""
-    SELECT * FROM (
-      SELECT doc_id, len(regexp_extract_all(text, '{pii.EMAIL}')) AS emails,
-        len(regexp_extract_all(text, '{pii.SSN}')) AS ssns, len(regexp_extract_all(text, '{pii.PHONE}')) AS phones
-      FROM documents)
-    WHERE emails > 0 OR ssns > 0 OR phones > 0
-    """)
+    f"SELECT * FROM (SELECT doc_id, {_found('text')} FROM documents) WHERE emails > 0 OR ssns > 0 OR phones > 0")
 _register(
     "mask_pii",
     lambda spark, sf: remediate.mask_pii(inputs.table(spark, sf, "documents"), ["text"]).select("doc_id", "text"),
-    "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, "
-    f"'{pii.EMAIL}', '<email>', 'g'), '{pii.SSN}', '<ssn>', 'g'), '{pii.PHONE}', '<phone>', 'g') AS text "
-    "FROM documents")
+    f"SELECT doc_id, {_masked('text')} AS text FROM documents")
 _register(
     "mask_pii_events",
     lambda spark, sf: remediate.mask_pii(inputs.deliveries(spark, sf), ["mail"]).select("row", "mail"),
-    oracle.query(f"SELECT \"row\", regexp_replace(mail, '{pii.EMAIL}', '<email>', 'g') AS mail FROM deliveries",
-                 "deliveries"))
+    oracle.query(f"SELECT \"row\", {_masked('mail')} AS mail FROM deliveries", "deliveries"))
+
+
+def _review(contract: Contract, source: str, columns: list[str]) -> str:
+    flags = {r.column: r.pii for r in contract.rules}
+    return " UNION ALL ".join(
+        f"SELECT '{source}' AS dataset, '{contract.name}' AS contract, '{c}' AS \"column\", count(v) AS cells, "
+        f"count(*) FILTER (emails + ssns + phones > 0) AS cells_with_pii, CAST(coalesce(sum(emails), 0) AS bigint) AS emails, "
+        f"CAST(coalesce(sum(ssns), 0) AS bigint) AS ssns, CAST(coalesce(sum(phones), 0) AS bigint) AS phones, {flags[c]} AS flagged, "
+        f"CASE WHEN count(*) FILTER (emails + ssns + phones > 0) > 0 THEN '{'declared' if flags[c] else 'undeclared'}' "
+        f"ELSE '{'unseen' if flags[c] else 'none'}' END AS verdict "
+        f"FROM (SELECT CAST({c} AS varchar) AS v, {_found(f'CAST({c} AS varchar)')} FROM {source})" for c in columns)
+
+
+_register(
+    "pii_review",
+    lambda spark, sf: profile.pii_review(inputs.deliveries(spark, sf), inputs.PERSONAL, F.lit("deliveries")),
+    oracle.query(_review(inputs.PERSONAL, "deliveries", ["customer_id", "mail", "birth_date", "amount", "priority", "seen_at"]), "deliveries"))
+_register(
+    "pii_review_documents",
+    lambda spark, sf: profile.pii_review(inputs.table(spark, sf, "documents"), inputs.DOCUMENTS, F.lit("documents")),
+    _review(inputs.DOCUMENTS, "documents", ["doc_id", "text", "source", "lang"]))
+
+
+def _flagged(column: str) -> str:
+    blank = f"coalesce({_strip(column)}, '') = ''"
+    return f"CASE WHEN NOT ({blank}) AND {_masked(column)} = {column} THEN '<masked>' ELSE {_masked(column)} END AS {column}"
+
+
+_register(
+    "mask_flagged",
+    lambda spark, sf: remediate.mask_flagged(inputs.deliveries(spark, sf), inputs.PERSONAL).select(
+        "row", "customer_id", "mail", "birth_date", "amount", "priority"),
+    oracle.query(
+        f'SELECT "row", {_flagged("customer_id")}, {_flagged("mail")}, {_flagged("birth_date")}, amount, priority FROM deliveries', "deliveries"))
+_register(
+    "drop_flagged",
+    lambda spark, sf: remediate.drop_pii(inputs.deliveries(spark, sf), inputs.PERSONAL),
+    oracle.query('SELECT k, "row", dataset, contract, amount, opt_in, seen_at, priority FROM deliveries', "deliveries"))

@@ -55,6 +55,16 @@ DELIVERY = Contract("delivery_contract", [
     Rule("priority", "string", allowed_values=["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]),
 ], "1.0.0", "delivery")
 
+# the flags that say which columns are personal
+PERSONAL = Contract("personal_contract", [
+    Rule("customer_id", "long", True, pii=True), Rule("mail", "string", True, pii=True), Rule("birth_date", "date", pii=True),
+    Rule("amount", "double"), Rule("priority", "string"), Rule("seen_at", "timestamp"), Rule("nowhere", "string", pii=True),
+])
+
+DOCUMENTS = Contract("documents_contract", [
+    Rule("doc_id", "long", True, unique=True), Rule("text", "string", True), Rule("source", "string", pii=True), Rule("lang", "string"),
+])
+
 # typed tables
 LINEITEM = Contract("lineitem_contract", [
     Rule("l_orderkey", "long", True),
