@@ -19,8 +19,12 @@ from pactum.llm.frames import written
 _TITLES = {"male": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "female": ("Mrs", "Ms", "Frau", "Señora", "Madame", "Госпожа")}
 _ALL_TITLES = "|".join(t for ts in _TITLES.values() for t in sorted(ts, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: An address with the signs that stand before its first letter or digit (they are kept, and no part of it).  An
+#: attempt starts only at the head of such a run or behind the last match, and nothing taken is given back: a long
+#: run is walked through once, and a possessive group is a loop, not a recursion.
+_LEAD = "[._%+-]"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)" + _LEAD + r"*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
     "secret": r"(?<=\b(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-]{8,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3,7}\b",
@@ -60,7 +64,8 @@ def luhn(digits: Column) -> Column:
 def _canonical() -> Column:
     e = F.col("entity")
     return F.when(F.col("kind").isin("card", "phone", "ssn"), F.regexp_replace(e, r"\D", "")).when(
-        F.col("kind") == "iban", F.regexp_replace(e, " ", "")).when(F.col("kind") == "email", F.lower(e)).otherwise(e)
+        F.col("kind") == "iban", F.regexp_replace(e, " ", "")).when(
+        F.col("kind") == "email", F.lower(F.regexp_replace(e, "^" + _LEAD + "+", ""))).otherwise(e)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -156,7 +161,8 @@ def _poured() -> Column:
         chars, F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
         lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(F.concat(a["out"], F.substring(s, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(
             F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))))
-    return F.when(F.col("kind").isin("card", "phone", "ssn", "iban"), at["out"]).otherwise(s)
+    lead = F.regexp_extract(e, "^" + _LEAD + "*", 0)
+    return F.when(F.col("kind").isin("card", "phone", "ssn", "iban"), at["out"]).when(F.col("kind") == "email", F.concat(lead, s)).otherwise(s)
 
 
 def _count(kinds: Column, name: str) -> Column:
