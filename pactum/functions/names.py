@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactum import fixed
 from pactum.functions.text import strip
 
-ANCHOR = 8          # longest piece of a name used as a containment key
 EDIT_DISTANCE = 2   # names this close count as similar ...
 EDIT_MIN_LENGTH = 4  # ... when both have at least this many characters
 PIECES = EDIT_DISTANCE + 1
+ANCHORS = (8, 4, 2, 1)  # sizes of a contained name's key: the largest that fits into it
 
 
 def match_key(name: Column) -> Column:
@@ -57,52 +57,73 @@ def rename_score(left: Column, right: Column) -> Column:
 # Two similar names always share at least one key, so an equi-join on the keys followed by
 # ``is_similar`` is exact and never compares every missing column with every extra one.
 #
-# containment: the first ANCHOR characters of the contained name are a window of the other.
-# edit distance <= 2: cut one name into three pieces; at least one piece survives two edits
-#   (the pigeonhole argument of the PASS-JOIN paper, Li et al., VLDB 2011), so its first ANCHOR
-#   characters are a window of the other name.
+# containment: the beginning of the contained name, in the largest anchor size that fits, is a window of the other
+#   name.  A name emits windows only in the sizes that anchors on the other side have, mostly one or two.
+# edit distance <= 2: cut the received name into three pieces; one of them survives two edits, and stands in the
+#   expected name at a place that the piece's number and the difference in length bound (multi-match-aware
+#   selection of the PASS-JOIN paper, Li et al., VLDB 2011).  A key holds the piece's number, the received name's
+#   length and the piece, so a received name has three of them and an expected one at most 19.
 
 
-def add_windows(df: DataFrame, form: str) -> DataFrame:
-    """One row per window (``start``, ``size``, ``window``) of up to ANCHOR characters."""
-    length = F.length(form)
-    starts = df.withColumn("start", F.explode(F.sequence(F.lit(1), length))).filter(F.col(form) != "")
-    sizes = F.sequence(F.lit(1), F.least(F.lit(ANCHOR), length - F.col("start") + 1))
-    sized = starts.withColumn("size", F.explode(sizes))
-    return sized.withColumn("window", F.substring(F.col(form), F.col("start"), F.col("size")))
+def anchor_size(form: Column) -> Column:
+    size = F.lit(ANCHORS[-1])
+    for n in reversed(ANCHORS[:-1]):
+        size = F.when(F.length(form) >= n, n).otherwise(size)
+    return size
 
 
-def _is_anchor(form: Column) -> Column:
-    return (F.col("start") == 1) & (F.col("size") == F.least(F.lit(ANCHOR), F.length(form)))
+def anchor_key(form: Column, mark: str) -> Column:
+    """The one key of a name that another may contain."""
+    return F.concat(F.lit(mark), F.substring(form, F.lit(1), anchor_size(form)))
 
 
-def _is_piece(form: Column) -> Column:
-    """Is the window the beginning of one of the three pieces of the name?"""
-    rest = F.length(form) % PIECES
-    base = ((F.length(form) - rest) / PIECES).cast("int")
-    second = base + F.when(rest == 2, 1).otherwise(0)
-    third = base + F.when(rest >= 1, 1).otherwise(0)
-    places = [(F.lit(1), base), (base + 1, second), (base + second + 1, third)]
-    test = F.lit(False)
-    for start, size in places:
-        test = test | ((F.col("start") == start) & (F.col("size") == F.least(F.lit(ANCHOR), size)))
-    return (F.length(form) >= EDIT_MIN_LENGTH) & test
+def window_keys(form: Column, sizes: Column, mark: str) -> Column:
+    """Different keys of a name that may contain others, whose anchors have these sizes."""
+    fitting = F.filter(sizes, lambda size: size <= F.length(form))
+    windows = F.transform(fitting, lambda size: F.transform(
+        F.sequence(F.lit(1), F.length(form) - size + 1), lambda start: F.concat(F.lit(mark), F.substring(form, start, size))))
+    return F.array_distinct(F.flatten(windows))
 
 
-def with_expected_keys(df: DataFrame, form: str) -> DataFrame:
-    """Blocking keys of missing contract columns: all windows, and the anchor."""
-    anchor = F.when(_is_anchor(F.col(form)), F.concat(F.lit("<"), "window"))
-    return _explode_keys(add_windows(df, form), F.concat(F.lit(">"), "window"), anchor)
+def _pieces(length: Column) -> list[tuple[Column, Column]]:
+    """(start, size) of the three pieces of a name of this length."""
+    base, rest = F.floor(length / PIECES).cast("int"), (length % PIECES).cast("int")
+    second, third = base + F.when(rest == 2, 1).otherwise(0), base + F.when(rest >= 1, 1).otherwise(0)
+    return [(F.lit(1), base), (base + 1, second), (base + second + 1, third)]
 
 
-def with_received_keys(df: DataFrame, form: str) -> DataFrame:
-    """Blocking keys of undeclared received columns: anchor and pieces, and all windows."""
-    own = F.when(_is_anchor(F.col(form)) | _is_piece(F.col(form)), F.concat(F.lit(">"), "window"))
-    return _explode_keys(add_windows(df, form), own, F.concat(F.lit("<"), "window"))
+def _piece_key(number: int, length: Column, piece: Column) -> Column:
+    return F.concat(F.lit(f"={number}:"), length.cast("string"), F.lit(":"), piece)
 
 
-def _explode_keys(df: DataFrame, *keys: Column) -> DataFrame:
-    """One row per key; a name that repeats a window repeats its key, which later steps absorb."""
-    return df.withColumn("block", F.explode(F.array(*keys))).filter(F.col("block").isNotNull()).drop(
-        "start", "size", "window"
-    )
+def piece_keys(form: Column) -> Column:
+    """The three keys of a received name; none where it is too short for the edit rule."""
+    length = F.length(form)
+    keys = [_piece_key(n, length, F.substring(form, start, size)) for n, (start, size) in enumerate(_pieces(length))]
+    return F.when(length >= EDIT_MIN_LENGTH, F.array(*keys)).otherwise(F.array().cast("array<string>"))
+
+
+def _cut(form: Column, starts: Column, size: Column, number: int, length: Column) -> Column:
+    return F.transform(starts, lambda at: _piece_key(number, length, F.substring(form, at, size)))
+
+
+def selected_keys(form: Column) -> Column:
+    """The keys of all received names within the edit distance of an expected one, and few others."""
+    length, found = F.length(form), []
+    for longer in range(-EDIT_DISTANCE, EDIT_DISTANCE + 1):
+        other = length - longer  # the received name's length
+        for n, (start, size) in enumerate(_pieces(other)):
+            tail = EDIT_DISTANCE - n
+            first = F.greatest(F.lit(1), start - n, start + longer - tail)
+            last = F.least(length - size + 1, start + n, start + longer + tail)
+            starts = F.when((other >= EDIT_MIN_LENGTH) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            found.append(_cut(form, starts, size, n, other))
+    return F.when(length >= EDIT_MIN_LENGTH, F.array_distinct(F.flatten(F.array(*found)))).otherwise(F.array().cast("array<string>"))
+
+
+def expected_keys(form: Column, received_sizes: Column) -> Column:
+    return F.concat(F.array(anchor_key(form, "<")), window_keys(form, received_sizes, ">"), selected_keys(form))
+
+
+def received_keys(form: Column, expected_sizes: Column) -> Column:
+    return F.concat(F.array(anchor_key(form, ">")), window_keys(form, expected_sizes, "<"), piece_keys(form))

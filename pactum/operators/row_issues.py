@@ -1,175 +1,185 @@
-"""From cells to issues: melt, count, sample."""
+"""From cells to issues: melt, count, sample.
+
+The rules of all contracts that a table's rows fall under are compiled together (``Compiled``): rules alike on
+one received column are one test, however many contracts have them.  A row of a table with many contracts meets
+a small table that says which test each contract has on which column, so contracts are data and not branches,
+and the table is scanned once.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactum import fixed
 from pactum.functions.text import redact
 from pactum.operators import catalog
-from pactum.operators.cell_checks import Cell, cell_check, expected_text, locate_cells, stage_cells
-from pactum.types import Contract
+from pactum.operators.cell_checks import Cell, cell_check, expected_text, has_format, locate_cells, stage_cells
+from pactum.types import Contract, Rule
 
 ROW_CHECKS = [
     fixed.REQUIRED, fixed.ALLOWED, fixed.PATTERN, fixed.FORMAT, fixed.VALUE_TYPE, fixed.MINIMUM, fixed.MAXIMUM,
 ]
 
 
-def _located(df: DataFrame, contracts: list[Contract]) -> tuple[DataFrame, dict[str, list[Cell]]]:
-    """Cells of every contract, with their texts and numbers staged in ``df``."""
-    found = [(c.name, cell) for c in contracts for cell in locate_cells(df, c)]
-    staged, cells = stage_cells(df, [cell for _, cell in found])
-    by_contract: dict[str, list[Cell]] = {c.name: [] for c in contracts}
-    for (name, _), cell in zip(found, cells):
-        by_contract[name].append(cell)
-    return staged, by_contract
-
-
-def _with_checks(cells: list[Cell]) -> list[tuple[Cell, Column]]:
-    pairs = [(cell, cell_check(cell)) for cell in cells]
-    return [(cell, check) for cell, check in pairs if check is not None]
-
-
-def first_failures(df: DataFrame, contract: Contract, keep: list[str]) -> DataFrame:
-    """One ``check_<column>`` per contract column, beside the columns in ``keep``."""
-    staged, cells = _located(df, [contract])
-    return staged.select(
-        *keep, *[check.alias(f"check_{cell.rule.column}") for cell, check in _with_checks(cells[contract.name])]
+def _test_key(rule: Rule) -> tuple:
+    """Rules with the same key on the same column pass and fail the same cells."""
+    return (
+        rule.normal, rule.required, rule.format if has_format(rule) else "", rule.pattern, tuple(rule.allowed_values),
+        rule.min_value, rule.max_value,
     )
 
 
-def _route(contracts: list[Contract], contract_col: str | None, build) -> Column:
-    """``build(contract)`` of the row's own contract: one expression, hence one scan per table.
+@dataclass
+class Slot:
+    """One received column and the different tests that contracts have on it.  A contract with several rules
+    on one column has a slot for each."""
 
-    Without a contract column all rows fall under the single contract given.
-    """
-    if contract_col is None:
-        (contract,) = contracts
-        return build(contract)
-    return reduce(
-        lambda chain, c: chain.when(F.col(contract_col) == c.name, build(c)), contracts, F
-    )
+    source: str
+    tests: dict[tuple, Column | None] = field(default_factory=dict)
+    cell: Cell | None = None
 
 
-def _explode_marks(
-    df: DataFrame, contracts: list[Contract], marks: dict[str, list[tuple[Cell, Column]]], keep: list[Column],
-    contract_col: str | None, with_value: bool,
-) -> DataFrame:
-    """One row (keep, contract, pos, check[, value]) per non-null mark, from one scan.
+class Compiled:
+    """Contracts compiled against one table.
 
-    The marks are worked out once, in a projection; a row without any gives the explode a null
-    instead of an array and ends there, so a clean row costs its checks and nothing more.  Only
-    the contracts' columns are read.  The value is picked after the explode, for bad cells alone.
+    ``staged`` is the table with stripped texts and numbers worked out once a column.  ``contract_col`` names
+    the column with a row's contract; without it all rows fall under the single contract given.
     """
-    names = {
-        c.name: [f"__mark_{n}_{m}" for m in range(len(marks[c.name]))] for n, c in enumerate(contracts)
-    }
-    own = {c.name: F.lit(True) if contract_col is None else F.col(contract_col) == c.name for c in contracts}
-    printed = list({cell.source: cell for cells in marks.values() for cell, _ in cells}.values())
-    sources = {cell.source: f"__source_{n}" for n, cell in enumerate(printed)}
-    contract_name = F.lit(contracts[0].name) if contract_col is None else F.col(contract_col)
-    marked = df.select(
-        *keep, contract_name.alias("contract"),
-        *[
-            (mark if contract_col is None else F.when(own[c.name], mark)).alias(name)
-            for c in contracts for name, (_, mark) in zip(names[c.name], marks[c.name])
-        ],
-        *([F.col(cell.text_as or f"`{cell.source}`").alias(sources[cell.source]) for cell in printed]
-          if with_value else []),
-    )
-    kept = [c for c in marked.columns if not c.startswith(("__mark_", "__source_"))]
 
-    def entries(contract: Contract) -> Column:
-        found = [
-            F.struct(F.lit(cell.pos).alias("pos"), F.col(name).alias("check"))
-            for name, (cell, _) in zip(names[contract.name], marks[contract.name])
+    def __init__(
+        self, df: DataFrame, contracts: list[Contract], contract_col: str | None,
+        test: Callable[[Cell], Column | None] = cell_check, key: Callable[[Rule], tuple] = _test_key,
+        applies: Callable[[Rule], bool] = lambda rule: True,
+    ):
+        if contract_col is None and len(contracts) != 1:
+            raise ValueError("rows of several contracts need a column that names their contract")
+        self.contracts, self.contract_col, self.session = contracts, contract_col, df.sparkSession
+        found = [(c.name, cell) for c in contracts for cell in locate_cells(df, c) if applies(cell.rule)]
+        self.staged, cells = stage_cells(df, [cell for _, cell in found])
+        self.slots: list[Slot] = []
+        self.vectors: dict[str, dict[int, int]] = {c.name: {} for c in contracts}
+        self.rules: list[tuple[str, int, int, Rule]] = []  # contract, slot, position, rule
+        by_source: dict[str, list[int]] = {}
+        for (name, _), cell in zip(found, cells):
+            taken, own = self.vectors[name], by_source.setdefault(cell.source, [])
+            slot = next((n for n in own if n not in taken), None)
+            if slot is None:
+                slot = len(self.slots)
+                own.append(slot)
+                self.slots.append(Slot(cell.source))
+            tests = self.slots[slot].tests
+            if key(cell.rule) not in tests:
+                tests[key(cell.rule)] = test(cell)
+            # bounds need a number, which only some rules have staged
+            if self.slots[slot].cell is None or cell.number_as:
+                self.slots[slot].cell = cell
+            taken[slot] = list(tests).index(key(cell.rule))
+            self.rules.append((name, slot, cell.pos, cell.rule))
+
+    def marks(self) -> list[Column]:
+        """By slot, the check that a row's cell fails, null for a good cell."""
+        found = []
+        for n, slot in enumerate(self.slots):
+            mark = F
+            for number, verdict in enumerate(slot.tests.values()):
+                if verdict is None:
+                    continue
+                if self.contract_col is None:
+                    mark = verdict
+                else:
+                    mark = mark.when(F.col(f"__test_{n}") == number, verdict)
+            found.append(F.lit(None).cast("string") if mark is F else mark)
+        return found
+
+    def routed(self) -> DataFrame:
+        """The table, each row with its contract's number of a test for each slot.
+
+        The joined table has a row for each contract; contracts are on the driver already, behind a check of
+        their number (``types.collect_contracts``), so it is small enough for a broadcast.
+        """
+        if self.contract_col is None:
+            return self.staged
+        names = [c.name for c in self.contracts]
+        columns = {"__contract": pa.array(names, pa.string())} | {
+            f"__test_{n}": pa.array([self.vectors[name].get(n) for name in names], pa.int32()) for n in range(len(self.slots))
+        }
+        vectors = self.session.createDataFrame(pa.table(columns))
+        return self.staged.join(F.broadcast(vectors), F.col(self.contract_col) == F.col("__contract"), "left")
+
+    def lookup(self) -> DataFrame:
+        """contract, slot, pos, column, expected (by check) and accepted values of every rule."""
+        expected = [
+            {check: text for check in ROW_CHECKS if (text := expected_text(rule, check)) is not None} for _, _, _, rule in self.rules
         ]
-        if not found:
-            return F.lit(None).cast("array<struct<pos:int,check:string>>")
-        return F.when(F.coalesce(*names[contract.name]).isNotNull(), F.array(*found))
-
-    def value(contract: Contract) -> Column:
-        picked = F.lit(None).cast("string")
-        for cell, _ in marks[contract.name]:
-            shown = F.col(sources[cell.source])
-            picked = F.when(
-                F.col("cell.pos") == cell.pos, shown if cell.is_text else shown.cast("string")
-            ).otherwise(picked)
-        return picked
-
-    by_contract = None if contract_col is None else "contract"
-    cells = marked.withColumn("cell", F.explode(_route(contracts, by_contract, entries))).filter(
-        F.col("cell.check").isNotNull()
-    )
-    if with_value:
-        cells = cells.withColumn("value", _route(contracts, by_contract, value))
-    return cells.select(
-        *kept, F.col("cell.pos").alias("pos"), F.col("cell.check").alias("check"),
-        *(["value"] if with_value else []),
-    )
-
-
-def _rule_lookup(contracts: list[Contract], value) -> dict[str, str]:
-    found = {}
-    for contract in contracts:
-        for pos, rule in enumerate(contract.rules):
-            for check in ROW_CHECKS:
-                item = value(rule, check)
-                if item is not None:
-                    found[f"{contract.name}|{pos}|{check}"] = item
-    return found
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
+        return self.session.createDataFrame(pa.table({
+            "contract": pa.array([name for name, _, _, _ in self.rules], pa.string()),
+            "slot": pa.array([slot for _, slot, _, _ in self.rules], pa.int32()),
+            "pos": pa.array([pos for _, _, pos, _ in self.rules], pa.int32()),
+            "column": pa.array([rule.column for _, _, _, rule in self.rules], pa.string()),
+            "__expected": pa.array([list(e.items()) for e in expected], pa.map_(pa.string(), pa.string())),
+            "__allowed": pa.array([list(rule.allowed_values) for _, _, _, rule in self.rules], pa.list_(pa.string())),
+        }))
+
+    def bad_cells(self, keep: list[Column], with_value: bool) -> DataFrame:
+        """One row (keep, contract, slot, check[, value]) per bad cell, from one scan.
+
+        The marks are worked out once, in a projection; a row without any gives the explode a null instead
+        of an array and ends there, so a clean row costs its checks and nothing more.  Only the contracts'
+        columns are read, and a value is printed for bad cells alone.
+        """
+        names = [f"__mark_{n}" for n in range(len(self.slots))]
+        contract = F.lit(self.contracts[0].name) if self.contract_col is None else F.col(self.contract_col)
+        printed = {slot.source: f"__source_{n}" for n, slot in enumerate(self.slots)}
+        shown = {slot.source: slot.cell for slot in self.slots}
+        marked = self.routed().select(
+            *keep, contract.alias("contract"), *[mark.alias(name) for name, mark in zip(names, self.marks())],
+            *([F.col(cell.text_as or f"`{source}`").alias(printed[source]) for source, cell in shown.items()] if with_value else []),
+        )
+        kept = [c for c in marked.columns if not c.startswith(("__mark_", "__source_"))]
+        entries = []
+        for n, (slot, name) in enumerate(zip(self.slots, names)):
+            value = F.col(printed[slot.source])
+            entries.append(F.when(F.col(name).isNotNull(), F.struct(
+                F.lit(n).alias("slot"), F.col(name).alias("check"),
+                *([(value if slot.cell.is_text else value.cast("string")).alias("value")] if with_value else []))))
+        if not entries:
+            empty = "array<struct<slot:int,check:string,value:string>>" if with_value else "array<struct<slot:int,check:string>>"
+            cells = F.lit(None).cast(empty)
+        else:
+            cells = F.when(F.coalesce(*names).isNotNull() if len(names) > 1 else F.col(names[0]).isNotNull(), F.array(*entries))
+        return marked.select(*kept, F.explode(cells).alias("cell")).filter(F.col("cell").isNotNull()).select(*kept, "cell.*")
+
+    def described(self, cells: DataFrame) -> DataFrame:
+        """Add position, column name, expected value and severity, by contract and slot; only bad cells, or
+        their counts, come this far.  The rules are on the driver already, as in ``routed``."""
+        allowed = (F.col("check") == fixed.ALLOWED) & (F.size("__allowed") > 0)
+        return (
+            cells.join(F.broadcast(self.lookup()), ["contract", "slot"])
+            .withColumn("severity", F.lit(fixed.FAIL))
+            .withColumn("expected", F.try_element_at("__expected", F.col("check")))
+            .withColumn("expected_values", F.when(allowed, F.col("__allowed")))
+            .drop("__expected", "__allowed", "slot")
+        )
 
-def _literal_map(items: dict, kind: str) -> Column:
-    """A constant map as one SQL expression."""
-    if not items:
-        return F.expr(f"CAST(NULL AS map<string,{kind}>)")
-    entries = ", ".join(
-        f"{_quoted(key)}, " + (f"array({', '.join(map(_quoted, item))})" if isinstance(item, list) else _quoted(item))
-        for key, item in items.items()
-    )
-    return F.expr(f"map({entries})")
-
-
-def _describe(cells: DataFrame, contracts: list[Contract]) -> DataFrame:
-    """Add column name, expected value and severity; only bad cells come this far."""
-    rule_key = F.concat_ws("|", "contract", F.col("pos").cast("string"))
-    check_key = F.concat_ws("|", "contract", F.col("pos").cast("string"), "check")
-    columns = {f"{c.name}|{pos}": rule.column for c in contracts for pos, rule in enumerate(c.rules)}
-    expected = _rule_lookup(contracts, expected_text)
-    domains = _rule_lookup(
-        contracts, lambda r, check: list(r.allowed_values) if check == fixed.ALLOWED and r.allowed_values else None
-    )
-    return (
-        cells.withColumn("column", F.try_element_at(_literal_map(columns, "string"), rule_key))
-        .withColumn("severity", F.lit(fixed.FAIL))
-        .withColumn("expected", F.try_element_at(_literal_map(expected, "string"), check_key))
-        .withColumn("expected_values", F.try_element_at(_literal_map(domains, "array<string>"), check_key))
-    )
 
-
-def bad_cells(
-    df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
-) -> DataFrame:
-    """Every bad cell of the whole table: dataset, contract, row, pos, check, stripped value."""
-    staged, found = _located(df, contracts)
-    marks = {name: _with_checks(cells) for name, cells in found.items()}
-    keep = [dataset.alias("dataset"), row.cast("long").alias("row")]
-    return _explode_marks(staged, contracts, marks, keep, contract_col, with_value=True)
+def first_failures(df: DataFrame, contract: Contract, keep: list[str]) -> DataFrame:
+    """One ``check_<column>`` per contract column, beside the columns in ``keep``."""
+    staged, cells = stage_cells(df, locate_cells(df, contract))
+    checks = [(cell, cell_check(cell)) for cell in cells]
+    return staged.select(*keep, *[check.alias(f"check_{cell.rule.column}") for cell, check in checks if check is not None])
 
 
 def row_issues(
     df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
 ) -> DataFrame:
     """One issue per bad cell, blank required cells included, over the whole table (no cap)."""
-    cells = _describe(bad_cells(df, contracts, row, dataset, contract_col), contracts)
+    compiled = Compiled(df, contracts, contract_col)
+    cells = compiled.described(compiled.bad_cells([dataset.alias("dataset"), row.cast("long").alias("row")], with_value=True))
     return cells.select(
         "dataset", "contract", "pos", "row", "severity", "check", "column", "expected", "expected_values",
         redact(F.col("value")).alias("actual"),
@@ -184,16 +194,10 @@ def violation_counts(
     Counts are combined on the map side: one row per (dataset, column, check) and task is
     shuffled, however many cells are bad and however unevenly they are spread.
     """
-    staged, found = _located(df, contracts)
-    marks = {name: _with_checks(cells) for name, cells in found.items()}
-    cells = _explode_marks(staged, contracts, marks, [dataset.alias("dataset")], contract_col, with_value=False)
-    counts = cells.groupBy("dataset", "contract", "pos", "check").agg(F.count(F.lit(1)).alias("violations"))
-    columns = {f"{c.name}|{pos}": rule.column for c in contracts for pos, rule in enumerate(c.rules)}
-    key = F.concat_ws("|", "contract", F.col("pos").cast("string"))
-    return counts.select(
-        "dataset", "contract", "pos",
-        F.try_element_at(_literal_map(columns, "string"), key).alias("column"), "check", "violations",
-    )
+    compiled = Compiled(df, contracts, contract_col)
+    counts = compiled.bad_cells([dataset.alias("dataset")], with_value=False).groupBy("dataset", "contract", "slot", "check").agg(
+        F.count(F.lit(1)).alias("violations"))
+    return compiled.described(counts).select("dataset", "contract", "pos", "column", "check", "violations")
 
 
 def required_issues(
@@ -203,17 +207,14 @@ def required_issues(
 
     Reads the required columns only; the count and minimum are combined on the map side.
     """
-    staged, located = _located(df, contracts)
-    marks = {
-        name: [(cell, F.when(cell.blank, F.lit(fixed.REQUIRED))) for cell in cells if cell.rule.required]
-        for name, cells in located.items()
-    }
+    compiled = Compiled(
+        df, contracts, contract_col, test=lambda cell: F.when(cell.blank, F.lit(fixed.REQUIRED)), key=lambda rule: (),
+        applies=lambda rule: rule.required)
     keep = [dataset.alias("dataset"), row.cast("long").alias("row")]
-    blanks = _explode_marks(staged, contracts, marks, keep, contract_col, with_value=False)
-    found = blanks.groupBy("dataset", "contract", "pos", "check").agg(
+    found = compiled.bad_cells(keep, with_value=False).groupBy("dataset", "contract", "slot", "check").agg(
         F.count(F.lit(1)).alias("blank_count"), F.min("row").alias("row")
     )
-    return _describe(found, contracts).select(
+    return compiled.described(found).select(
         "dataset", "contract", "pos", "row", "severity", "check", "column", "expected", "expected_values",
         F.concat(F.col("blank_count").cast("string"), F.lit(" empty values")).alias("actual"),
     )
@@ -248,26 +249,33 @@ def issue_sample(
     return first.select("dataset", "contract", F.explode(listed).alias("i")).select("dataset", "contract", "i.*")
 
 
-def issue_summary(
+def cell_totals(
     df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
 ) -> DataFrame:
-    """Exact row findings of the whole table as ``issues``: one per dataset, column and check,
-    with the number of cells in ``n`` and the first of them as example.
+    """Exact row findings of the whole table: one per dataset, contract, column and check, with the number of
+    cells in ``n`` and the first of them as example.
 
     Nothing is capped and nothing is collected: counts and first rows are combined on the map
     side.  Reports and remediation plans built from it cover every violation.
     """
-    cells = bad_cells(df, contracts, row, dataset, contract_col)
-    first = cells.groupBy("dataset", "contract", "pos", "check").agg(
+    compiled = Compiled(df, contracts, contract_col)
+    cells = compiled.bad_cells([dataset.alias("dataset"), row.cast("long").alias("row")], with_value=True)
+    first = cells.groupBy("dataset", "contract", "slot", "check").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("row"), F.min_by("value", "row").alias("value")
     )
     blank = F.col("check") == fixed.REQUIRED
-    issues = _describe(first, contracts).withColumn(
-        "actual", F.when(blank, F.concat(F.col("n").cast("string"), F.lit(" empty values"))).otherwise(
-            redact(F.col("value")))
-    )
-    order = Window.partitionBy("dataset", "contract").orderBy("pos", blank.cast("int"), "row", "check")
-    return catalog.describe_issues(issues.withColumn("ord", F.row_number().over(order).cast("long")), "n")
+    actual = F.when(blank, F.concat(F.col("n").cast("string"), F.lit(" empty values"))).otherwise(redact(F.col("value")))
+    return compiled.described(first).withColumn("actual", actual).drop("value")
+
+
+def issue_summary(
+    df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
+) -> DataFrame:
+    """``cell_totals`` as ``issues``, numbered per dataset and contract."""
+    late = (F.col("check") == fixed.REQUIRED).cast("int")
+    order = Window.partitionBy("dataset", "contract").orderBy("pos", late, "row", "check")
+    totals = cell_totals(df, contracts, row, dataset, contract_col)
+    return catalog.describe_issues(totals.withColumn("ord", F.row_number().over(order).cast("long")), "n")
 
 
 def quality_report(

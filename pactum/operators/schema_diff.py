@@ -29,28 +29,28 @@ def expected_columns(assignments: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def received_columns(received: DataFrame) -> DataFrame:
-    """Received columns; of names that differ only in case the last one is matched."""
-    last = Window.partitionBy("dataset", "key")
     return received.select(
         "dataset", F.col("pos").alias("src_pos"), F.col("column").alias("src_column"),
         F.col("type").alias("src_type"), names.type_form(F.col("type")).alias("src_norm"), names.match_key(F.col("column")).alias("key"),
-    ).withColumn("is_last", F.col("src_pos") == F.max("src_pos").over(last))
+    )
 
 
 def aligned(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
     """Contract and received columns side by side: matched, only expected, or only received.
 
     Received columns stand once under each contract of their dataset; datasets without a contract
-    drop out.
+    drop out.  Of received names that differ only in case the last one is matched; the window has the join's
+    keys, so it needs no shuffle of its own.
     """
     judged = received_columns(received).join(assignments.select("dataset", "contract"), "dataset")
     both = expected_columns(assignments, rules).join(judged, ["dataset", "contract", "key"], "full_outer")
-    return both.filter(F.col("exp_pos").isNull() | F.col("src_pos").isNull() | F.col("is_last"))
+    last = F.max("src_pos").over(Window.partitionBy("dataset", "contract", "key"))
+    return both.withColumn("__last", last).filter(
+        F.col("exp_pos").isNull() | F.col("src_pos").isNull() | (F.col("src_pos") == F.col("__last"))).drop("__last")
 
 
 def matched_columns(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
-    both = expected_columns(assignments, rules).join(received_columns(received), ["dataset", "key"])
-    return both.filter("is_last").select(
+    return aligned(assignments, rules, received).filter(F.col("exp_pos").isNotNull() & F.col("src_pos").isNotNull()).select(
         "dataset", "contract", "exp_pos", "exp_column", "exp_type", "exp_norm", "src_pos", "src_column", "src_type",
         "src_norm",
     )
@@ -61,23 +61,44 @@ def _scope(align: DataFrame) -> list[str]:
     return [c for c in ("dataset", "contract") if c in align.columns]
 
 
+def _with_sizes(forms: DataFrame, others: DataFrame) -> DataFrame:
+    """Names with the anchor sizes that occur among the other side's names: at most one of each size."""
+    sizes = others.groupBy("contract").agg(F.collect_set(names.anchor_size(F.col("form"))).alias("sizes"))
+    return forms.join(sizes, "contract")
+
+
+def similar_names(wanted: DataFrame, received: DataFrame) -> DataFrame:
+    """Different (contract, exp_form, src_form) with similar name forms.
+
+    Both inputs hold different (contract, form).  A fleet repeats few names many times, so names are compared
+    once and not once a dataset.  Candidates come from an equi-join on shared keys, never from all pairs.
+    """
+    left = _with_sizes(wanted, received).select(
+        "contract", F.col("form").alias("exp_form"), F.explode(names.expected_keys(F.col("form"), F.col("sizes"))).alias("block"))
+    right = _with_sizes(received, wanted).select(
+        "contract", F.col("form").alias("src_form"), F.explode(names.received_keys(F.col("form"), F.col("sizes"))).alias("block"))
+    return left.join(right, ["contract", "block"]).filter(
+        names.is_similar(F.col("exp_form"), F.col("src_form"))).select("contract", "exp_form", "src_form").distinct()
+
+
 def similar_columns(align: DataFrame) -> DataFrame:
     """Pairs (missing contract column, undeclared received column) that look like a rename.
 
-    Candidates come from an equi-join on shared blocking keys, never from all pairs.
+    A received column meets the contract's similar names first, of which there are few, and then the missing
+    columns of its own dataset.
     """
-    missing = align.filter(F.col("src_pos").isNull()).select(
-        *_scope(align), "exp_pos", "exp_column", F.col("key").alias("exp_key"),
-        names.name_form(F.col("exp_column")).alias("exp_form"),
-    )
-    extra = align.filter(F.col("exp_pos").isNull()).select(
-        *_scope(align), "src_pos", "src_column", F.col("key").alias("src_key"),
-        names.name_form(F.col("src_column")).alias("src_form"),
-    )
-    left, right = names.with_expected_keys(missing, "exp_form"), names.with_received_keys(extra, "src_form")
-    return left.join(right, [*_scope(align), "block"]).filter(
-        names.is_similar(F.col("exp_form"), F.col("src_form"))
-    ).drop("block")
+    scope = _scope(align)
+    side = align if "contract" in scope else align.withColumn("contract", F.lit(""))
+    missing = side.filter(F.col("src_pos").isNull()).select(
+        "dataset", "contract", "exp_pos", "exp_column", F.col("key").alias("exp_key"), names.name_form(F.col("exp_column")).alias("exp_form"))
+    extra = side.filter(F.col("exp_pos").isNull()).select(
+        "dataset", "contract", "src_pos", "src_column", F.col("key").alias("src_key"), names.name_form(F.col("src_column")).alias("src_form"))
+    forms = [
+        rows.select("contract", F.col(form).alias("form")).filter(F.col("form") != "").distinct()
+        for rows, form in ((missing, "exp_form"), (extra, "src_form"))
+    ]
+    found = extra.join(similar_names(*forms), ["contract", "src_form"]).join(missing, ["dataset", "contract", "exp_form"])
+    return found if "contract" in scope else found.drop("contract")
 
 
 def renamed_columns(align: DataFrame) -> DataFrame:
@@ -118,6 +139,15 @@ def type_issues(matched: DataFrame, check: str, allow_safe_promotion: bool = Tru
     return matched.withColumn("check", _type_check(allow_safe_promotion)).filter(F.col("check") == check)
 
 
+def _offers(assignments: DataFrame, rules: DataFrame, received: DataFrame) -> DataFrame:
+    """For each contract and received name form: the contract's name forms that it may be the new name of."""
+    wanted = rules.select("contract", names.name_form(F.col("column")).alias("form"))
+    arrived = received.select("dataset", names.name_form(F.col("column")).alias("form")).join(
+        assignments.select("dataset", "contract"), "dataset").select("contract", "form")
+    pairs = similar_names(*[forms.filter(F.col("form") != "").distinct() for forms in (wanted, arrived)])
+    return pairs.groupBy("contract", F.col("src_form").alias("own_form")).agg(F.collect_set("exp_form").alias("offers"))
+
+
 def schema_findings(
     assignments: DataFrame, rules: DataFrame, received: DataFrame,
     allow_safe_promotion: bool = True, warn_extra_columns: bool = True,
@@ -126,27 +156,40 @@ def schema_findings(
 
     ``phase`` 0 holds findings on contract columns (by contract position), 1 undeclared columns
     (by source position).
+
+    The alignment is worked out once.  An undeclared column offers itself, by an extra row, to each similar
+    name of the contract; a missing column takes the first offer in source order, and the offers taken go
+    back to their columns.  Both meetings are windows keyed by dataset, contract and name or place.
     """
     align = aligned(assignments, rules, received)
-    # what the renames say about either side, keyed like the alignment: one join brings it back
-    marks = renamed_columns(align).select("dataset", "contract", F.explode(F.array(
-        F.struct(F.col("exp_key").alias("key"), F.col("src_column").alias("new_name")),
-        F.struct(F.col("src_key").alias("key"), F.lit(None).cast("string").alias("new_name")),
-    )).alias("m")).groupBy("dataset", "contract", F.col("m.key").alias("key")).agg(
-        F.max("m.new_name").alias("new_name"), F.lit(True).alias("renamed")
-    )
     declared, absent = F.col("exp_pos").isNotNull(), F.col("src_pos").isNull()
-    renamed = F.coalesce("renamed", F.lit(False))
+    form = names.name_form(F.coalesce("exp_column", "src_column"))
+    # a matched column has nothing to offer; its own key, marked, keeps it from meeting others in one task
+    alone = F.concat(F.lit("#"), "key")
+    offering = align.withColumn("own_form", F.when(declared, alone).otherwise(form)).join(
+        _offers(assignments, rules, received), ["contract", "own_form"], "left")
+    itself = F.array(F.when(absent, form).otherwise(alone))
+    links = offering.withColumn("offers", F.coalesce("offers", F.array().cast("array<string>"))).select(
+        *[c for c in offering.columns if c not in ("own_form", "offers")], F.posexplode(F.concat(itself, "offers")).alias("at", "link"))
+    is_offer = F.col("at") > 0
+    same_name = Window.partitionBy("dataset", "contract", "link")
+    met = links.withColumn("first", F.min(F.when(is_offer, F.struct("src_pos", "src_column"))).over(same_name)).withColumn(
+        "wanted", F.max((absent & ~is_offer)).over(same_name))
+    taken = is_offer & F.col("wanted") & (F.col("src_pos") == F.col("first.src_pos"))
     check = (
-        F.when(absent & renamed, F.lit(fixed.RENAMED))
+        F.when(absent & F.col("first").isNotNull(), F.lit(fixed.RENAMED))
         .when(absent, F.lit(fixed.MISSING))
         .when(declared, _type_check(allow_safe_promotion))
-        .when(F.lit(warn_extra_columns) & ~renamed, F.lit(fixed.EXTRA))
-    )
-    # findings only
-    found = align.join(marks, ["dataset", "contract", "key"], "left").withColumn("check", check).filter(
-        F.col("check").isNotNull()
+        .when(F.lit(warn_extra_columns), F.lit(fixed.EXTRA))
     )
+    found = met.withColumn("check", F.when(~is_offer, check)).withColumn("taken", taken).filter(
+        F.col("check").isNotNull() | F.col("taken"))
+    if warn_extra_columns:
+        same_place = Window.partitionBy("dataset", "contract", F.col("exp_pos").isNull(), F.coalesce("exp_pos", "src_pos"))
+        found = found.withColumn("renamed", F.max("taken").over(same_place)).filter(
+            F.col("check").isNotNull() & ((F.col("check") != fixed.EXTRA) | ~F.col("renamed")))
+    else:
+        found = found.filter(F.col("check").isNotNull())
     is_rename = F.col("check") == fixed.RENAMED
     optional = (F.col("check") == fixed.MISSING) & ~F.col("exp_required")
     warns = F.col("check").isin(fixed.PROMOTION, fixed.EXTRA) | optional
@@ -155,7 +198,7 @@ def schema_findings(
         "check", F.when(warns, F.lit(fixed.WARN)).otherwise(F.lit(fixed.FAIL)).alias("severity"),
         F.coalesce("exp_column", "src_column").alias("column"),
         F.when(is_rename, F.col("exp_column")).otherwise(F.col("exp_type")).alias("expected"),
-        F.when(is_rename, F.col("new_name")).otherwise(F.col("src_type")).alias("actual"),
+        F.when(is_rename, F.col("first.src_column")).otherwise(F.col("src_type")).alias("actual"),
     )
 
 

@@ -178,3 +178,33 @@ def test_apply_plan_leaves_valid_rows_under_the_contract(spark):
         "row": "bigint", "customer_id": "bigint", "email": "string", "birth_date": "date", "amount": "double"}
     assert valid.filter("amount < 0").count() == 0
     assert report.status_of(F.lit(0)) is not None
+
+
+def test_many_contracts_are_few_tests_in_one_scan(spark):
+    """Contracts that share rules share tests; one with two rules on a column has both; rows of no contract pass."""
+    contracts = [
+        Contract(f"c{k}", [Rule("a", "int", k % 2 == 0, max_value=str(k % 3)), Rule("A", "string", pattern="[0-9]+"), Rule("gone", "int")])
+        for k in range(60)
+    ]
+    df = spark.createDataFrame([(n, f"c{n % 61}", v) for n, v in enumerate(["1", "x", None, " 2 ", "", "7"] * 61)] + [(999, None, "x")], "row int, contract string, a string")
+    compiled = row_issues.Compiled(df, contracts, "contract")
+    assert [len(slot.tests) for slot in compiled.slots] == [6, 1]
+    got = {(r.row, r.pos, r.check, r.expected) for r in row_issues.row_issues(df, contracts, F.col("row"), F.lit("d"), "contract").collect()}
+    want = set()
+    for row, name, v in [tuple(r) for r in df.collect()]:
+        k = int(name[1:]) if name else 60
+        v = (v or "").strip()
+        if k == 60:
+            continue
+        if not v:
+            want |= {(row, 0, "value.required", "non-empty value")} if k % 2 == 0 else set()
+        elif not v.isdigit():
+            want |= {(row, 0, "value.type", "int"), (row, 1, "value.pattern", "[0-9]+")}
+        elif int(v) > k % 3:
+            want.add((row, 0, "value.max", f"<= {k % 3}"))
+    assert got == want
+    counts = row_issues.violation_counts(df, contracts, F.lit("d"), "contract")
+    assert counts.agg(F.sum("violations")).first()[0] == len(want)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + counts._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 2
+    with pytest.raises(ValueError, match="several contracts"):
+        row_issues.row_issues(df, contracts, F.col("row"), F.lit("d"))

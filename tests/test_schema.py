@@ -124,6 +124,21 @@ def test_blocking_on_edited_long_names(spark):
     assert {r["dataset"] for r in sd.renamed_columns(align).collect()} == expected
 
 
+def test_few_keys_a_name_and_one_alignment(spark):
+    from pactum.functions import names
+
+    forms = ["customerid", "email", "birthdate", "amount", "optin", "visits", "country", "custid", "mail", "contact", "emial", "amounteur"]
+    sizes = F.array(F.lit(8), F.lit(4))  # of the anchors on the other side
+    keys = spark.createDataFrame([(f,) for f in forms], "form string").select(
+        F.size(names.received_keys(F.col("form"), sizes)).alias("n")).agg(F.avg("n")).first()[0]
+    assert keys <= 12
+    rules = rules_frame(spark, Contract("c", [Rule("a", "long", True)]))
+    received = spark.createDataFrame([("d", 0, "b", "string", False)], COLUMNS_META)
+    plan = sd.schema_findings(spark.createDataFrame([("d", "c")], "dataset string, contract string"), rules, received)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join FullOuter") == 1 and "Cross" not in text
+
+
 def test_naming_and_versions(spark):
     received = spark.createDataFrame([("d", n, c, "string", False) for n, c in enumerate(
         ["ok_name", "BadName", "9x", "a__b", "x1"])], COLUMNS_META)

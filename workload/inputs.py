@@ -55,6 +55,22 @@ DELIVERY = Contract("delivery_contract", [
     Rule("priority", "string", allowed_values=["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]),
 ], "1.0.0", "delivery")
 
+#: Customers' feeds fall under so many contracts, which share most of their rules.
+MANY = 300
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def numbered_contract(k: int) -> Contract:
+    return Contract(f"rules-{k}", [
+        Rule("customer_id", "long", k % 2 == 1, min_value=str(1 + k % 3)),
+        Rule("mail", "string", k % 4 == 0, pattern=EMAIL_PATTERN),
+        Rule("birth_date", "date", format="%Y-%m-%d" if k % 3 == 0 else ""),
+        Rule("amount", "double", min_value="0", max_value=str(100_000 + 10_000 * (k % 30))),
+        *([Rule("opt_in", "boolean", True)] if k % 5 else []),
+        Rule("priority", "string", allowed_values=[p for n, p in enumerate(PRIORITIES) if n != k % 5]),
+    ])
+
+
 # the flags that say which columns are personal
 PERSONAL = Contract("personal_contract", [
     Rule("customer_id", "long", True, pii=True), Rule("mail", "string", True, pii=True), Rule("birth_date", "date", pii=True),

@@ -211,6 +211,44 @@ ORACLES["redact_mail"] = oracle.query(
     f"SELECT \"row\", {oracle.REDACTED.format(v='mail')} AS redacted FROM deliveries", "deliveries")
 
 
+def many_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table whose rows fall under hundreds of contracts: the violations of each, from one scan."""
+    number = F.substring("dataset", 6, 20).cast("long") % inputs.MANY
+    df = inputs.deliveries(spark, sf_dir).withColumn("contract", F.concat(F.lit("rules-"), number.cast("string")))
+    contracts = [inputs.numbered_contract(k) for k in range(inputs.MANY)]
+    return row_issues.violation_counts(df, contracts, F.lit("deliveries"), "contract").select(
+        "contract", "pos", "column", "check", "violations")
+
+
+def _many(column: str, pos: str, *cases: str, where: str = "true") -> str:
+    v = oracle.STRIP.format(v=column)
+    whens = " ".join(f"WHEN {c}" for c in cases).replace("{v}", v)
+    return (
+        f"SELECT k, {pos} AS pos, '{column}' AS \"column\", CASE {whens} END AS \"check\" FROM d WHERE {where}"
+    )
+
+
+_blank, _num = "coalesce({v}, '') = ''", "try_cast(replace({v}, '_', '') AS double)"
+QUERIES["many_contracts"] = many_contracts
+ORACLES["many_contracts"] = oracle.query(
+    "SELECT 'rules-' || k AS contract, CAST(pos AS integer) AS pos, \"column\", \"check\", count(*) AS violations FROM ("
+    + " UNION ALL ".join([
+        _many("customer_id", "0", f"{_blank} THEN CASE WHEN k % 2 = 1 THEN 'value.required' END",
+              f"NOT {oracle.type_ok('long', '{v}')} THEN 'value.type'", f"{_num} < 1 + k % 3 THEN 'value.min'"),
+        _many("mail", "1", f"{_blank} THEN CASE WHEN k % 4 = 0 THEN 'value.required' END",
+              f"NOT regexp_full_match({{v}}, '{inputs.EMAIL_PATTERN}') THEN 'value.pattern'"),
+        _many("birth_date", "2", f"{_blank} THEN NULL",
+              "k % 3 = 0 THEN CASE WHEN try_strptime({v}, '%Y-%m-%d') IS NULL THEN 'value.format' END",
+              f"NOT {oracle.type_ok('date', '{v}')} THEN 'value.type'"),
+        _many("amount", "3", f"{_blank} THEN NULL", f"NOT {oracle.type_ok('double', '{v}')} THEN 'value.type'",
+              f"isnan({_num}) THEN 'value.type'", f"{_num} < 0 THEN 'value.min'", f"{_num} > 100000 + 10000 * (k % 30) THEN 'value.max'"),
+        _many("opt_in", "4", f"{_blank} THEN 'value.required'", f"NOT {oracle.type_ok('boolean', '{v}')} THEN 'value.type'", where="k % 5 <> 0"),
+        _many("priority", "CASE WHEN k % 5 = 0 THEN 4 ELSE 5 END", f"{_blank} THEN NULL",
+              "{v} = ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][k % 5 + 1] THEN 'value.allowed'"),
+    ]) + ") WHERE \"check\" IS NOT NULL GROUP BY ALL",
+    "deliveries", d=f"SELECT * EXCLUDE (k), CAST(substr(dataset, 6) AS bigint) % {inputs.MANY} AS k FROM deliveries")
+
+
 # -- uniqueness, profile, naming of columns is in schema.py ------------------------------------------
 
 
