@@ -1,7 +1,7 @@
-"""The check catalogue: texts, corrections, causes, plan lines and fixes of every check.
+"""The check catalogue: what is said about every check, and what is done about it.
 
-Every text is a template over an issue's own fields.  It becomes one SQL expression, so a report
-is derived by projections over the issues and needs no lookup join.
+Every text is a template over the fields of an issue.  It becomes one SQL expression over columns, or over the
+elements of an array of issues (``of`` names the element), so reports need no lookup join.
 """
 
 from __future__ import annotations
@@ -15,62 +15,67 @@ from pactum import fixed
 
 # what a template may name; a null field prints as nothing
 _FIELDS = {
-    "column": "coalesce(`column`, '')",
-    "expected": "coalesce(expected, '')",
-    "actual": "coalesce(actual, '')",
-    "message": "coalesce(message, '')",
-    "bound": "regexp_replace(coalesce(expected, ''), '^[<>]= ', '')",
-    "domain": "coalesce(array_join(expected_values, ', '), '')",
-    "number": "regexp_extract(coalesce(actual, ''), '^([0-9]+)', 1)",
-    "count": "line_count",
+    "column": "coalesce({of}`column`, '')",
+    "expected": "coalesce({of}expected, '')",
+    "actual": "coalesce({of}actual, '')",
+    "message": "coalesce({of}message, '')",
+    "bound": "regexp_replace(coalesce({of}expected, ''), '^[<>]= ', '')",
+    "domain": "coalesce(array_join({of}expected_values, ', '), '')",
+    "number": "regexp_extract(coalesce({of}actual, ''), '^([0-9]+)', 1)",
+    "cells": "{of}cells",
 }
 
 
-def _sql(template: str) -> str:
+def _sql(template: str, of: str) -> str:
     parts = [
-        _FIELDS[part[1:-1]] if part.startswith("{") else "'" + part.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        _FIELDS[part[1:-1]].replace("{of}", of) if part.startswith("{") else "'" + part.replace("\\", "\\\\").replace("'", "\\'") + "'"
         for part in re.split(r"(\{\w+\})", template) if part
     ]
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def by_check(templates: dict[str, str], subject: str = "`check`", otherwise: str | None = None) -> Column:
+def by_check_sql(templates: dict[str, str], of: str = "", otherwise: str | None = None) -> str:
     """Text by check name; null (or ``otherwise``) for a check without one."""
-    cases = " ".join(f"WHEN '{check}' THEN {_sql(template)}" for check, template in templates.items())
-    last = f" ELSE {_sql(otherwise)}" if otherwise else ""
-    return F.expr(f"CASE {subject} {cases}{last} END")
+    prefix = f"{of}." if of else ""
+    cases = " ".join(f"WHEN '{check}' THEN {_sql(template, prefix)}" for check, template in templates.items())
+    last = f" ELSE {_sql(otherwise, prefix)}" if otherwise else ""
+    return f"CASE {prefix}`check` {cases}{last} END"
+
+
+def by_check(templates: dict[str, str], otherwise: str | None = None) -> Column:
+    return F.expr(by_check_sql(templates, otherwise=otherwise))
 
 
 MESSAGES = {
-    fixed.RENAMED: "An expected column seems to arrive under another name.",
-    fixed.MISSING: "The contract column does not occur in the received schema.",
-    fixed.PROMOTION: "The received type is wider than the contract type and safe to read.",
-    fixed.TYPE_CHANGE: "The received type does not fit the contract type.",
-    fixed.EXTRA: "The received column is not part of the contract.",
-    fixed.REQUIRED: "{number} mandatory values are empty.",
-    fixed.ALLOWED: "The value is not one of the accepted values.",
-    fixed.PATTERN: "The value does not follow the required pattern.",
-    fixed.FORMAT: "The date or time is not written in the contract format.",
-    fixed.VALUE_TYPE: "The value cannot be read as the contract type.",
-    fixed.MINIMUM: "The number lies below the contract minimum.",
-    fixed.MAXIMUM: "The number lies above the contract maximum.",
-    fixed.ISSUE_LIMIT: "Only the first issues are listed; the sample limit was reached.",
+    fixed.RENAMED: "not delivered under its name; another column resembles it",
+    fixed.MISSING: "not delivered",
+    fixed.PROMOTION: "delivered in a wider type that holds all agreed values",
+    fixed.TYPE_CHANGE: "delivered in another type",
+    fixed.EXTRA: "delivered without being agreed",
+    fixed.REQUIRED: "{number} cells empty that must be filled",
+    fixed.ALLOWED: "value outside the agreed list",
+    fixed.PATTERN: "value outside the agreed pattern",
+    fixed.FORMAT: "date or time in another notation",
+    fixed.VALUE_TYPE: "value unreadable in the agreed type",
+    fixed.MINIMUM: "number under the agreed range",
+    fixed.MAXIMUM: "number over the agreed range",
+    fixed.ISSUE_LIMIT: "list of issues cut at its limit",
 }
 
 ISSUE_IMPACTS = {
-    fixed.RENAMED: "Readers of the old name get nulls or stop with an error.",
-    fixed.MISSING: "Jobs and dashboards built on this column fail or stay incomplete.",
-    fixed.PROMOTION: "Loads keep working; the contract should follow the new type on purpose.",
-    fixed.TYPE_CHANGE: "Writers and models may fail or convert values wrongly.",
-    fixed.EXTRA: "Undeclared fields let the schema drift and need an explicit decision.",
-    fixed.REQUIRED: "Empty mandatory fields break joins, keys and metrics.",
-    fixed.ALLOWED: "Unknown values distort aggregates, filters and business rules.",
-    fixed.PATTERN: "Consumers may reject the value or join it wrongly.",
-    fixed.FORMAT: "Dates may fail to parse or swap day and month.",
-    fixed.VALUE_TYPE: "Casting fails or produces invalid data.",
-    fixed.MINIMUM: "Values that are too small distort financial figures and controls.",
-    fixed.MAXIMUM: "Values that are too large distort metrics and alerts.",
-    fixed.ISSUE_LIMIT: "More rows may be invalid than the sample shows.",
+    fixed.RENAMED: "queries by the agreed name find nothing",
+    fixed.MISSING: "whatever reads the column comes to a halt or runs without it",
+    fixed.PROMOTION: "none today; agreement and data should be brought in line",
+    fixed.TYPE_CHANGE: "implicit conversion on write, or a refused write",
+    fixed.EXTRA: "an undocumented field that someone will come to rely on",
+    fixed.REQUIRED: "keys without a match and totals that are too low",
+    fixed.ALLOWED: "groups that no rule or filter knows",
+    fixed.PATTERN: "lookups by this value miss",
+    fixed.FORMAT: "dates read as null, or as another day",
+    fixed.VALUE_TYPE: "the cell is lost when it is converted",
+    fixed.MINIMUM: "sums and averages pulled down",
+    fixed.MAXIMUM: "sums and averages pulled up",
+    fixed.ISSUE_LIMIT: "what comes after the limit is unknown",
 }
 
 
@@ -85,19 +90,21 @@ def describe_issues(issues: DataFrame, *also: str) -> DataFrame:
 # -- corrections -------------------------------------------------------------------------------
 
 SUGGESTIONS = {
-    fixed.RENAMED: "Rename `{actual}` back to `{expected}`, or change the contract if this was intended.",
-    fixed.MISSING: "Deliver `{column}` as `{expected}`, or make it optional in the contract.",
-    fixed.PROMOTION: "Change `{column}` in the contract from `{expected}` to `{actual}` if accepted.",
-    fixed.TYPE_CHANGE: "Cast `{column}` from `{actual}` to `{expected}` before publishing.",
-    fixed.EXTRA: "Declare `{column}` as `{actual}` in the contract if the new field is intended.",
-    fixed.REQUIRED: "Quarantine rows in which `{column}` is empty, or fill it before delivery.",
-    fixed.ALLOWED: "Map `{column}` to an accepted value: {domain}.",
-    fixed.PATTERN: "Clean `{column}` so that it follows `{expected}`.",
-    fixed.FORMAT: "Write `{column}` as `{expected}`, or change the contract on purpose.",
-    fixed.VALUE_TYPE: "Clean or cast `{column}` so that every value reads as `{expected}`.",
-    fixed.MINIMUM: "Reject rows in which `{column}` is below `{bound}`, or fix the producer.",
-    fixed.MAXIMUM: "Reject rows in which `{column}` is above `{bound}`, or fix the producer.",
+    fixed.RENAMED: "give `{actual}` its agreed name `{expected}` again",
+    fixed.MISSING: "send `{column}` ({expected}), or agree that it may be left out",
+    fixed.PROMOTION: "agree on {actual} for `{column}` in place of {expected}",
+    fixed.TYPE_CHANGE: "turn `{column}` from {actual} into {expected} before it is sent",
+    fixed.EXTRA: "agree on `{column}` ({actual}), or stop sending it",
+    fixed.REQUIRED: "fill `{column}`, or hold back the rows without it",
+    fixed.ALLOWED: "bring `{column}` to one of: {domain}",
+    fixed.PATTERN: "bring `{column}` into the form {expected}",
+    fixed.FORMAT: "write `{column}` as {expected}",
+    fixed.VALUE_TYPE: "send only {expected} in `{column}`",
+    fixed.MINIMUM: "hold back rows with `{column}` under {bound}, or mend their source",
+    fixed.MAXIMUM: "hold back rows with `{column}` over {bound}, or mend their source",
 }
+#: A rename is addressed to the received column, everything else to the contract column.
+TARGETS, OTHER_TARGET = {fixed.RENAMED: "{actual}"}, "{column}"
 
 
 def correction_action() -> Column:
@@ -105,8 +112,7 @@ def correction_action() -> Column:
 
 
 def correction_target() -> Column:
-    """A rename is addressed to the received column, everything else to the contract column."""
-    return by_check({fixed.RENAMED: "{actual}"}, otherwise="{column}")
+    return by_check(TARGETS, otherwise=OTHER_TARGET)
 
 
 def correction_text() -> Column:
@@ -116,64 +122,50 @@ def correction_text() -> Column:
 # -- explanations ------------------------------------------------------------------------------
 
 PROBLEMS = {
-    fixed.RENAMED: 'Required column "{column}" is absent; the similar column "{actual}" is present.',
-    fixed.MISSING: 'Expected column "{column}" is absent from the delivery.',
-    fixed.EXTRA: 'Column "{column}" is present but not declared in the contract.',
-    fixed.TYPE_CHANGE: 'The type of "{column}" changed: expected `{expected}`, received `{actual}`.',
-    fixed.REQUIRED: '{count} empty value(s) in the mandatory column "{column}".',
-    fixed.FORMAT: '"{column}" has {count} value(s) in another format than `{expected}`, such as `{actual}`.',
-    fixed.VALUE_TYPE: '"{column}" has {count} value(s) that do not read as `{expected}`, such as `{actual}`.',
-    fixed.PATTERN: '"{column}" has {count} value(s) that break the expected pattern.',
-    fixed.MINIMUM: '"{column}" has {count} value(s) below the minimum `{bound}`.',
-    fixed.MAXIMUM: '"{column}" has {count} value(s) above the maximum `{bound}`.',
+    fixed.RENAMED: "`{column}` is not there, `{actual}` may be its new name",
+    fixed.MISSING: "`{column}` is not there",
+    fixed.EXTRA: "`{column}` was never agreed",
+    fixed.TYPE_CHANGE: "`{column}` comes as {actual}, agreed is {expected}",
+    fixed.REQUIRED: "`{column}`: {cells} cells empty",
+    fixed.FORMAT: "`{column}`: {cells} cells not in the notation {expected} (first: {actual})",
+    fixed.VALUE_TYPE: "`{column}`: {cells} cells that are no {expected} (first: {actual})",
+    fixed.PATTERN: "`{column}`: {cells} cells outside the pattern",
+    fixed.MINIMUM: "`{column}`: {cells} cells under {bound}",
+    fixed.MAXIMUM: "`{column}`: {cells} cells over {bound}",
 }
+OTHER_PROBLEM = "`{column}`: {message}"
 CAUSES = {
-    fixed.RENAMED: 'The producer probably renamed "{expected}" to "{actual}".',
-    fixed.FORMAT: 'The producer probably changed the format of "{column}" without a new version.',
-    fixed.MINIMUM: 'The lower bound of "{column}" is not enforced upstream.',
-    fixed.REQUIRED: 'The producer sends incomplete rows for the mandatory field "{column}".',
-    fixed.TYPE_CHANGE: 'The type of "{column}" drifted between source and contract.',
+    fixed.RENAMED: "schema: `{expected}` goes by `{actual}` at its source",
+    fixed.FORMAT: "notation: the source of `{column}` follows another convention",
+    fixed.MINIMUM: "range: low values of `{column}` pass the source unchecked",
+    fixed.REQUIRED: "completeness: rows leave the source before `{column}` is known",
+    fixed.TYPE_CHANGE: "schema: source and agreement differ in the type of `{column}`",
 }
 PLAN = {
-    fixed.RENAMED: 'Rename "{actual}" to "{expected}", or update the contract if intended.',
-    fixed.MISSING: 'Add "{column}" to the delivery, or make it optional in the contract.',
-    fixed.TYPE_CHANGE: 'Cast "{column}" to `{expected}` before publishing.',
-    fixed.REQUIRED: 'Reject or quarantine rows in which "{column}" is empty.',
-    fixed.FORMAT: 'Convert "{column}" to the format `{expected}` before ingestion.',
-    fixed.VALUE_TYPE: 'Clean or cast "{column}" until it always reads as `{expected}`.',
-    fixed.MINIMUM: 'Enforce a minimum on "{column}" and reject values below `{bound}`.',
-    fixed.MAXIMUM: 'Enforce a maximum on "{column}" and reject values above `{bound}`.',
-    fixed.EXTRA: 'Add "{column}" to the contract only if the field is intended.',
+    fixed.RENAMED: "map `{actual}` to `{expected}`",
+    fixed.MISSING: "obtain `{column}`, or make it optional",
+    fixed.TYPE_CHANGE: "convert `{column}` to {expected}",
+    fixed.REQUIRED: "set rows without `{column}` aside",
+    fixed.FORMAT: "rewrite `{column}` as {expected}",
+    fixed.VALUE_TYPE: "cleanse `{column}` down to {expected}",
+    fixed.MINIMUM: "set rows with `{column}` under {bound} aside",
+    fixed.MAXIMUM: "set rows with `{column}` over {bound} aside",
+    fixed.EXTRA: "decide on `{column}`: agree or drop",
 }
 
-
-def problem_text() -> Column:
-    """Text of a group of issues alike; reads ``line_count``."""
-    return by_check(PROBLEMS, otherwise="{message} Column: `{column}`.")
-
-
-def cause_text() -> Column:
-    return by_check(CAUSES)
-
-
-def plan_text() -> Column:
-    return by_check(PLAN)
-
-
 # (checks that trigger it, column names that trigger it, text), in report order
 IMPACT_RULES = [
-    ([fixed.RENAMED], [], "Broken mapping: downstream jobs may read nulls or fail."),
-    ([fixed.MISSING], [], "Processing that depends on mandatory columns may fail."),
-    ([fixed.TYPE_CHANGE], [], "Casts may be wrong or writes may fail."),
-    ([fixed.FORMAT], [], "Dates may fail to parse or swap day and month."),
-    ([fixed.VALUE_TYPE], [], "Rows may be rejected or turn invalid after casting."),
-    ([fixed.MINIMUM, fixed.MAXIMUM], [], "Business figures may be wrong because of values out of bounds."),
-    ([fixed.REQUIRED], [], "Empty keys, wrong joins and incomplete metrics."),
-    ([fixed.MISSING, fixed.RENAMED, fixed.TYPE_CHANGE, fixed.VALUE_TYPE, fixed.FORMAT], [],
-     "The load job or the table append may fail."),
-    ([], ["customer_id"], "Joins on `customer_id` and customer metrics may be wrong."),
-    ([], ["amount"], "Finance dashboards and amount totals may be wrong."),
-    ([], ["email", "mail"], "Privacy controls may no longer cover the right field."),
+    ([fixed.RENAMED], [], "readers of an agreed name come away empty"),
+    ([fixed.MISSING], [], "steps that need an absent column cannot run"),
+    ([fixed.TYPE_CHANGE], [], "writes convert silently or are refused"),
+    ([fixed.FORMAT], [], "days and months may trade places"),
+    ([fixed.VALUE_TYPE], [], "cells get lost in conversion"),
+    ([fixed.MINIMUM, fixed.MAXIMUM], [], "figures are off by values out of range"),
+    ([fixed.REQUIRED], [], "joins and totals miss the rows with empty cells"),
+    ([fixed.MISSING, fixed.RENAMED, fixed.TYPE_CHANGE, fixed.VALUE_TYPE, fixed.FORMAT], [], "the load itself may break off"),
+    ([], ["customer_id"], "rows may end up with the wrong customer"),
+    ([], ["amount"], "money totals are not to be relied on"),
+    ([], ["email", "mail"], "address protection may look at the wrong field"),
 ]
 
 # fixes that can be carried out on the data
@@ -183,19 +175,11 @@ FIX_OPERATIONS = {
     fixed.EXTRA: "drop",
 }
 FIX_TITLES = {
-    fixed.RENAMED: "Rename {actual} to {expected}",
-    fixed.TYPE_CHANGE: "Cast {column} to {expected}",
-    fixed.REQUIRED: "Quarantine rows with empty {column}",
-    fixed.FORMAT: "Normalize {column} format",
-    fixed.VALUE_TYPE: "Clean or cast {column}",
-    fixed.MINIMUM: "Reject {column} below minimum",
-    fixed.EXTRA: "Drop unexpected column {column}",
+    fixed.RENAMED: "{actual} -> {expected}",
+    fixed.TYPE_CHANGE: "{column} as {expected}",
+    fixed.REQUIRED: "{column} filled",
+    fixed.FORMAT: "{column} in one notation",
+    fixed.VALUE_TYPE: "{column} readable",
+    fixed.MINIMUM: "{column} within range",
+    fixed.EXTRA: "without {column}",
 }
-
-
-def fix_operation() -> Column:
-    return by_check(FIX_OPERATIONS)
-
-
-def fix_title() -> Column:
-    return by_check(FIX_TITLES)

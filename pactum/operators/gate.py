@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum import fixed
@@ -21,9 +21,9 @@ def gate(statuses: DataFrame, fail_on_warning: bool = False) -> DataFrame:
 
 
 def enforce_gate(statuses: DataFrame, fail_on_warning: bool = False, name: int = 10) -> None:
-    """Stop the job if any dataset is blocked; the error names some of them."""
+    """Stop the job if any dataset is blocked under any of its contracts; the error names some of them."""
     blocked = gate(statuses, fail_on_warning).filter(F.col("decision") == "block")
-    shown = [row["dataset"] for row in blocked.select("dataset").orderBy("dataset").limit(name).collect()]
+    shown = [row["dataset"] for row in blocked.select("dataset").distinct().orderBy("dataset").limit(name).collect()]
     if shown:
         raise ContractViolation(f"contract violated by {', '.join(shown)}")
 
@@ -67,43 +67,31 @@ def budget_check(
     return costs.withColumn("breach", breach)
 
 
-def evaluate_cases(cases: DataFrame, statuses: DataFrame, issues: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Compare golden cases with results: name, passed, failures.
+def evaluate_cases(cases: DataFrame, reports: DataFrame) -> DataFrame:
+    """Compare golden cases with the reports of their datasets: name, passed, failures.
 
-    ``cases``: name, dataset, expected_status, expected_checks, expected_corrections.  Expected
-    checks and corrections must occur; others may.
+    ``cases``: name, dataset, contract, expected_status, expected_checks, expected_corrections.  Expected checks
+    and corrections must occur; others may.  An expected status that is null, empty or NONE is not looked at.  A
+    case meets its report once, by dataset and contract (by dataset alone where cases name no contract), and is
+    judged inside the row.
     """
-    wanted = cases.select("name", "dataset", F.explode(F.concat(
-        F.transform("expected_checks", lambda x, i: F.struct(
-            F.lit(1).alias("part"), i.alias("at"), F.lit("check").alias("kind"), x.alias("item"))),
-        F.transform("expected_corrections", lambda x, i: F.struct(
-            F.lit(2).alias("part"), i.alias("at"), F.lit("correction").alias("kind"), x.alias("item"))),
-    )).alias("w")).select("name", "dataset", "w.*")
-    found = (
-        issues.select("dataset", F.lit("check").alias("kind"), F.col("check").alias("item"))
-        .unionByName(corrections.select("dataset", F.lit("correction").alias("kind"), F.col("action").alias("item")))
-        .distinct()
-    )
-    absent = wanted.join(found, ["dataset", "kind", "item"], "left_anti").select(
-        "name", "part", "at", F.concat(F.lit("missing "), "kind", F.lit(" "), "item").alias("failure")
-    )
-    judged = cases.select("name", "dataset", "expected_status").join(
-        statuses.select("dataset", "status"), "dataset", "left"
-    )
-    wrong = judged.filter(
-        F.coalesce(F.col("expected_status"), F.lit("")).isin("", "NONE") == F.lit(False)
-    ).filter(~F.col("expected_status").eqNullSafe(F.col("status"))).select(
-        "name", F.lit(0).alias("part"), F.lit(0).alias("at"),
-        F.concat(F.lit("status expected "), "expected_status", F.lit(" got "),
-                 F.coalesce("status", F.lit("none"))).alias("failure"),
-    )
-    failures = wrong.unionByName(absent).groupBy("name").agg(
-        F.sort_array(F.collect_list(F.struct("part", "at", "failure")))["failure"].alias("failures")
-    )
-    return cases.select("name").join(failures, "name", "left").select(
-        "name", F.col("failures").isNull().alias("passed"),
-        F.coalesce("failures", F.array().cast("array<string>")).alias("failures"),
-    )
+    by = ["dataset", "contract"] if "contract" in cases.columns else ["dataset"]
+    kept = reports.select(
+        "dataset", "contract", "status", F.col("issues.check").alias("checks"), F.col("corrections.action").alias("actions"))
+    met = cases.join(kept.select(*by, "status", "checks", "actions"), by, "left")
+    wanted = F.coalesce("expected_status", F.lit("NONE"))
+    wrong = ~wanted.isin("", "NONE") & ~F.col("status").eqNullSafe(wanted)
+    said = F.concat(F.lit("status expected "), wanted, F.lit(" got "), F.coalesce("status", F.lit("none")))
+
+    def absent(expected: str, found: str, kind: str) -> Column:
+        none = F.array().cast("array<string>")
+        lost = F.filter(F.coalesce(expected, none), lambda x: ~F.array_contains(F.coalesce(found, none), x))
+        return F.transform(lost, lambda x: F.concat(F.lit(f"missing {kind} "), x))
+
+    failures = F.concat(
+        F.array_compact(F.array(F.when(wrong, said))), absent("expected_checks", "checks", "check"),
+        absent("expected_corrections", "actions", "correction"))
+    return met.select("name", (F.size(failures) == 0).alias("passed"), failures.alias("failures"))
 
 
 def all_passed(results: DataFrame) -> DataFrame:

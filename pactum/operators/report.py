@@ -1,299 +1,310 @@
 """From issues to reports.
 
-Input is the merged issue list of each dataset: schema findings (bounded by its columns) plus
-the row-issue sample (bounded by the cap).  All derived lists come from one pass: every issue is
-fanned out to the lists it contributes to, one aggregation removes duplicates for all lists at
-once, a second one puts a dataset's lists together.
+A dataset is judged under each of its contracts by itself: everything here is keyed by (dataset, contract).
+
+The issues of a dataset under a contract are few (schema findings, bounded by its columns, and one row finding a
+column and check), so one aggregation brings them together as a sorted array (``issue_lists``), and all lists of a
+report are worked out inside that row by array expressions: no join, no second shuffle, no sort of single issues.
+Status and counts alone need no lists at all (``severity_counts``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactum import fixed
-from pactum.functions.text import first_word_number
 from pactum.operators import catalog
 
 ISSUE_FIELDS = ["severity", "check", "column", "message", "expected", "expected_values", "actual", "row", "impact"]
-_NO_TEXT = "array<string>"
+_GIVEN = ["severity", "check", "column", "expected", "expected_values", "actual", "row"]
+_BY = ["dataset", "contract"]
+
+
+# -- bringing issues together ------------------------------------------------------------------
+
+
+def placed(schema_findings: DataFrame, cell_totals: DataFrame | None = None) -> DataFrame:
+    """Schema findings and row findings of many datasets in one table, with their order in ``ord``: contract
+    columns, undeclared columns, then rows by contract column, the empty cells of a column last."""
+    late = (F.col("check") == fixed.REQUIRED).cast("int")
+
+    def fields(phase: Column, last: Column) -> list[Column | str]:
+        place = F.struct(
+            phase.alias("phase"), F.col("pos").cast("int").alias("pos"), last.alias("late"), F.col("row").cast("long").alias("row"),
+            F.col("check").alias("name"))
+        return [*_BY, place.alias("ord"), *_GIVEN, F.coalesce("n", F.lit(1)).cast("long").alias("n")]
 
+    missing = {"row": "long", "n": "long", "expected_values": "array<string>"}
+    schema = schema_findings.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()}).select(*fields(F.col("phase"), F.lit(0)))
+    if cell_totals is None:
+        return schema
+    return schema.unionByName(cell_totals.select(*fields(F.lit(2), late)))
 
-def merge_issues(schema_issues: DataFrame, quality_issues: DataFrame) -> DataFrame:
-    """Schema findings first, then row issues, numbered per dataset."""
-    both = schema_issues.withColumn("phase", F.lit(0)).unionByName(
-        quality_issues.withColumn("phase", F.lit(1)), allowMissingColumns=True
+
+def issue_lists(issues: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
+    """One row per dataset and contract with its ``issues``, in order and numbered from 1.
+
+    ``issues`` has the order of a dataset's issues in ``ord``, of whatever type, and may have the number of cells
+    that an issue stands for in ``n``.  With ``assignments`` all of these have a row, and no others; they come
+    along in the same aggregation.
+    """
+    n = F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
+    rows = issues.select(*_BY, F.struct("ord", *_GIVEN, n.cast("long").alias("n")).alias("found"))
+    if assignments is not None:
+        asked = assignments.select(*_BY, F.lit(None).cast(rows.schema["found"].dataType).alias("found"), F.lit(True).alias("asked"))
+        rows = rows.withColumn("asked", F.lit(False)).unionByName(asked)
+    lists = rows.groupBy(*_BY).agg(
+        F.sort_array(F.collect_list("found")).alias("found"), *([F.max("asked").alias("asked")] if assignments is not None else []))
+    if assignments is not None:
+        lists = lists.filter("asked")
+    fields = ", ".join(f"'{c}', x.`{c}`" for c in ("severity", "check", "column"))
+    rest = ", ".join(f"'{c}', x.`{c}`" for c in ("expected", "expected_values", "actual", "row"))
+    numbered = (
+        f"transform(found, (x, i) -> named_struct('ord', CAST(i + 1 AS BIGINT), {fields}, "
+        f"'message', {catalog.by_check_sql(catalog.MESSAGES, 'x')}, {rest}, "
+        f"'impact', {catalog.by_check_sql(catalog.ISSUE_IMPACTS, 'x')}, 'n', x.n))"
     )
-    order = Window.partitionBy("dataset").orderBy("phase", "ord")
-    return both.withColumn("ord", F.row_number().over(order).cast("long")).drop("phase")
+    return lists.select(*_BY, F.expr(numbered).alias("issues"))
 
 
-# -- status ------------------------------------------------------------------------------------
+def numbered_issues(lists: DataFrame) -> DataFrame:
+    """The issues of ``issue_lists``, a row each."""
+    return lists.select(*_BY, F.inline("issues")).select(*_BY, "ord", *ISSUE_FIELDS, "n")
 
 
-def _rank() -> Column:
-    return F.when(F.col("severity") == fixed.FAIL, 2).when(F.col("severity") == fixed.WARN, 1).otherwise(0)
+def _lists(issues: DataFrame) -> DataFrame:
+    return issues if "issues" in issues.columns else issue_lists(issues)
 
 
-def status_of(rank: Column) -> Column:
-    return F.when(rank >= 2, F.lit(fixed.FAIL)).when(rank == 1, F.lit(fixed.WARN)).otherwise(F.lit(fixed.PASS))
+# -- status ------------------------------------------------------------------------------------
 
 
-def status_rollup(assignments: DataFrame, issues: DataFrame) -> DataFrame:
-    """Worst severity per dataset; a dataset without issues passes."""
-    worst = issues.groupBy("dataset").agg(F.max(_rank()).alias("rank"))
-    return assignments.join(worst, "dataset", "left").select(
-        "dataset", "contract", status_of(F.coalesce("rank", F.lit(0))).alias("status")
-    )
+def status_of(rank: Column) -> Column:
+    return F.when(rank >= 2, F.lit(fixed.FAIL)).when(rank == 1, F.lit(fixed.WARN)).otherwise(F.lit(fixed.PASS))
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:
-    """Cells by severity: an issue that sums up many cells counts as many."""
-    return issues.groupBy("dataset").agg(
-        *[F.sum(F.when(F.col("severity") == s, _weight(issues)).otherwise(0)).cast("long").alias(s)
-          for s in (fixed.FAIL, fixed.WARN, fixed.INFO)]
-    )
-
+    """Cells by severity: an issue that sums up many cells counts as many.
 
-def _weight(issues: DataFrame) -> Column:
-    return F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
+    Reads dataset, contract, severity (and ``n``): sums of numbers, combined on the map side.
+    """
+    n = F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
+    return issues.groupBy(*_BY).agg(
+        *[F.sum(F.when(F.col("severity") == s, n).otherwise(0)).cast("long").alias(s) for s in (fixed.FAIL, fixed.WARN, fixed.INFO)])
 
 
-# -- derived lists -----------------------------------------------------------------------------
+def _status(fails: Column, warns: Column) -> Column:
+    return status_of(F.when(fails > 0, 2).when(warns > 0, 1).otherwise(0))
 
 
-def derived_lines(issues: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Lines of every derived list: dataset, kind, ord, n, the first issue's fields, text, action, target.
+def status_counts(assignments: DataFrame, issues: DataFrame) -> DataFrame:
+    """Status, fail_count and warn_count of every dataset under each of its contracts; one without issues passes.
 
-    Kinds: issue, correction, problem, cause, plan, fix.  Within a kind, issues with the same key
-    form one line; the first issue gives its position and texts.  ``n`` counts the issues, or adds
-    up their own ``n`` where the issues are summaries.
+    Assignments come along in the same aggregation, as rows without a severity.
     """
-    weight = _weight(issues)
-    group_key = F.expr(
-        "concat_ws('\u0001', `check`, `column`, coalesce(expected, '\u0002'), "
-        "coalesce(array_join(expected_values, '\u0003'), '\u0002'))"
-    )
-    action = catalog.correction_action()
-    keys = {
-        "issue": F.col("ord").cast("string"),
-        "correction": F.when(action.isNotNull(), F.concat_ws("\u0001", action, catalog.correction_target())),
-        "problem": group_key,
-        "cause": catalog.cause_text(),
-        "plan": catalog.plan_text(),
-        "fix": catalog.fix_title(),
-    }
-    wanted = {kind: key for kind, key in keys.items() if kinds is None or kind in kinds}
-    entries = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in wanted.items()])
-    lines = issues.select(
-        "dataset", "contract", "ord", *ISSUE_FIELDS, weight.alias("weight"), F.explode(entries).alias("line")
-    ).filter(F.col("line.key").isNotNull())
-    first = lines.groupBy("dataset", "contract", F.col("line.kind").alias("kind"), F.col("line.key").alias("key")).agg(
-        F.sum("weight").alias("n"), F.min_by(F.struct("ord", *ISSUE_FIELDS), "ord").alias("first")
-    ).select("dataset", "contract", "kind", "n", "first.*")
-    leading = first_word_number(F.coalesce("actual", F.lit("")), F.col("n"))
-    counted = first.withColumn(
-        "line_count", F.when(F.col("check") == fixed.REQUIRED, leading).otherwise(F.col("n").cast("string"))
-    )
-    texts = {
-        "problem": catalog.problem_text(), "cause": catalog.cause_text(), "plan": catalog.plan_text(),
-        "fix": catalog.fix_title(), "correction": catalog.correction_text(),
-    }
-    kind, text = F.col("kind"), F
-    for name, made in texts.items():
-        if name in wanted:
-            text = text.when(kind == name, made)
-    done = F.when(kind == "correction", action).when(kind == "fix", catalog.fix_operation())
-    return counted.select(
-        "*", (F.lit(None).cast("string") if text is F else text).alias("text"), done.alias("action"),
-        F.when(kind == "correction", catalog.correction_target()).alias("target"),
-    )
+    n = F.coalesce("n", F.lit(1)) if "n" in issues.columns else F.lit(1)
+    rows = issues.select(*_BY, "severity", n.cast("long").alias("n"), F.lit(False).alias("asked")).unionByName(
+        assignments.select(*_BY, F.lit(None).cast("string").alias("severity"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+    counts = rows.groupBy(*_BY).agg(
+        *[F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).cast("long").alias(name)
+          for s, name in ((fixed.FAIL, "fail_count"), (fixed.WARN, "warn_count"))],
+        F.max("asked").alias("asked"))
+    return counts.filter("asked").select(*_BY, _status(F.col("fail_count"), F.col("warn_count")).alias("status"), "fail_count", "warn_count")
+
+
+def status_rollup(assignments: DataFrame, issues: DataFrame) -> DataFrame:
+    """Worst severity per dataset and contract; a dataset without issues passes."""
+    return status_counts(assignments, issues).select(*_BY, "status")
+
+
+# -- lists inside a row ------------------------------------------------------------------------
+
+
+def _first(array: str, key: str) -> str:
+    """Elements whose key has not been seen before in the array; ``key`` is SQL over the element ``y``."""
+    return f"filter({array}, (y, j) -> array_position(transform({array}, y -> {key}), {key}) = j + 1)"
+
+
+def _texts_sql(templates: dict[str, str]) -> str:
+    lines = f"transform(issues, x -> named_struct('ord', x.ord, 'text', {catalog.by_check_sql(templates, 'x')}))"
+    return f"filter({lines}, y -> y.text IS NOT NULL)"
+
+
+_GROUP_KEY = (
+    "concat_ws('\u0001', y.`check`, y.`column`, coalesce(y.expected, '\u0002'), "
+    "coalesce(array_join(y.expected_values, '\u0003'), '\u0002'))"
+)
+# columns that a report row gets on the way to its lists, each step over those before it
+_STEPS: list[dict[str, str]] = [
+    {
+        "correction_list": "filter(transform(issues, x -> named_struct('ord', x.ord, "
+                           f"'action', {catalog.by_check_sql(fixed.ACTIONS, 'x')}, "
+                           f"'target', {catalog.by_check_sql(catalog.TARGETS, 'x', catalog.OTHER_TARGET)}, "
+                           f"'suggestion', {catalog.by_check_sql(catalog.SUGGESTIONS, 'x')})), y -> y.action IS NOT NULL)",
+        "cause_list": _texts_sql(catalog.CAUSES),
+        "plan_list": _texts_sql(catalog.PLAN),
+        "fix_list": "filter(transform(issues, x -> named_struct('ord', x.ord, "
+                    f"'operation', {catalog.by_check_sql(catalog.FIX_OPERATIONS, 'x')}, "
+                    f"'title', {catalog.by_check_sql(catalog.FIX_TITLES, 'x')}, 'column', x.`column`, 'expected', x.expected, "
+                    "'actual', x.actual, 'check', x.`check`)), y -> y.operation IS NOT NULL)",
+        "group_list": f"transform(issues, y -> named_struct('key', {_GROUP_KEY}, 'n', y.n))",
+    },
+    {
+        "correction_list": _first("correction_list", "concat_ws('\u0001', y.action, y.target)"),
+        "cause_list": _first("cause_list", "y.text"),
+        "plan_list": _first("plan_list", "y.text"),
+        "fix_list": _first("fix_list", "y.title"),
+        # the first issue of a group, and the group's cells; empty cells say their number themselves
+        "problem_list": "transform(filter(issues, (y, j) -> array_position(group_list.key, group_list[j].key) = j + 1), "
+                        "x -> named_struct('ord', x.ord, 'check', x.`check`, 'column', x.`column`, 'expected', x.expected, "
+                        "'expected_values', x.expected_values, 'actual', x.actual, 'message', x.message, 'n', "
+                        "aggregate(group_list, 0L, (sum, g) -> sum + if(g.key = group_list[CAST(x.ord - 1 AS INT)].key, g.n, 0L))))",
+    },
+    {
+        "problem_list": "transform(problem_list, x -> named_struct('ord', x.ord, 'check', x.`check`, 'column', x.`column`, "
+                        "'expected', x.expected, 'expected_values', x.expected_values, 'actual', x.actual, 'message', x.message, 'n', x.n, "
+                        f"'cells', if(x.`check` = '{fixed.REQUIRED}' AND x.actual RLIKE '^[0-9]+ ', split(x.actual, ' ')[0], CAST(x.n AS STRING))))",
+    },
+    {
+        "problem_list": "transform(problem_list, x -> named_struct('ord', x.ord, 'check', x.`check`, 'column', x.`column`, 'n', x.n, "
+                        f"'text', {catalog.by_check_sql(catalog.PROBLEMS, 'x', catalog.OTHER_PROBLEM)}))",
+    },
+]
+
+
+def _with_lists(lists: DataFrame, *wanted: str) -> DataFrame:
+    """Add the named lists (all without names), step by step."""
+    for step in _STEPS:
+        needed = {
+            name: F.expr(sql) for name, sql in step.items()
+            if not wanted or name in wanted or (name == "group_list" and "problem_list" in wanted)
+        }
+        if needed:
+            lists = lists.withColumns(needed)
+    return lists.drop("group_list")
+
+
+def _lines(issues: DataFrame, name: str) -> DataFrame:
+    return _with_lists(_lists(issues), name).select(*_BY, F.inline(name))
 
 
 def issue_corrections(issues: DataFrame) -> DataFrame:
     """One correction per issue that has one, duplicates included."""
-    return issues.withColumn("action", catalog.correction_action()).filter(F.col("action").isNotNull()).select(
-        "dataset", "ord", "action", catalog.correction_target().alias("target"),
-        catalog.correction_text().alias("suggestion"),
+    flat = numbered_issues(issues) if "issues" in issues.columns else issues
+    return flat.withColumn("action", catalog.correction_action()).filter(F.col("action").isNotNull()).select(
+        *_BY, "ord", "action", catalog.correction_target().alias("target"), catalog.correction_text().alias("suggestion"),
     )
 
 
-def dedupe_corrections(corrections: DataFrame) -> DataFrame:
-    """First correction per (dataset, action, target)."""
-    return corrections.groupBy("dataset", "action", "target").agg(
-        F.min("ord").alias("ord"), F.min_by("suggestion", "ord").alias("suggestion")
-    )
+def dedupe_corrections(issues: DataFrame) -> DataFrame:
+    """First correction per dataset, contract, action and target.  Reads issues, or the corrections of issues."""
+    if "action" not in issues.columns:
+        return _lines(issues, "correction_list")
+    entry = F.struct("ord", "action", "target", "suggestion")
+    lists = issues.groupBy(*_BY).agg(F.sort_array(F.collect_list(entry)).alias("correction_list"))
+    return lists.select(*_BY, F.inline(F.expr(_STEPS[1]["correction_list"])))
 
 
 def problems(issues: DataFrame) -> DataFrame:
-    return derived_lines(issues, ["problem"]).select("dataset", "ord", "check", "column", "n", "text")
+    return _lines(issues, "problem_list")
 
 
 def probable_causes(issues: DataFrame) -> DataFrame:
-    return derived_lines(issues, ["cause"]).select("dataset", "ord", "text")
+    return _lines(issues, "cause_list")
 
 
 def correction_plan(issues: DataFrame) -> DataFrame:
-    return derived_lines(issues, ["plan"]).select("dataset", "ord", "text")
+    return _lines(issues, "plan_list")
 
 
 def remediation_plan(issues: DataFrame) -> DataFrame:
     """Fixes to carry out, each once, in order of the first issue that asks for it."""
-    return derived_lines(issues, ["fix"]).select(
-        "dataset", "ord", F.col("action").alias("operation"), F.col("text").alias("title"), "column", "expected",
-        "actual", "check",
-    )
+    return _lines(issues, "fix_list")
 
 
-def _impact_flags(where: Column | None = None) -> list[Column]:
-    flags = []
-    for checks, columns, _ in catalog.IMPACT_RULES:
-        test = F.col("check").isin(checks) if checks else F.lower(F.col("column")).isin(columns)
-        flags.append(F.bool_or(test if where is None else where & test))
-    return flags
+def _impact_texts() -> Column:
+    """Impacts of a row's ``issues``; they depend on which checks and columns occur at all."""
+    def told(checks: list[str], columns: list[str], text: str) -> Column:
+        found = F.exists("issues", lambda x: x["check"].isin(checks) if checks else F.lower(x["column"]).isin(columns))
+        return F.when(found, F.lit(text))
 
-
-def _impact_texts(flags: list[Column]) -> Column:
-    texts = [F.when(flag, F.lit(text)) for flag, (_, _, text) in zip(flags, catalog.IMPACT_RULES)]
-    return F.array_distinct(F.array_compact(F.array(*texts)))
+    return F.array_distinct(F.array_compact(F.array(*[told(*rule) for rule in catalog.IMPACT_RULES])))
 
 
 def impacts(issues: DataFrame) -> DataFrame:
-    """Impact lines per dataset; they depend on which checks and columns occur at all."""
-    names = [f"__impact_{n}" for n in range(len(catalog.IMPACT_RULES))]
-    flagged = issues.groupBy("dataset").agg(*[f.alias(n) for f, n in zip(_impact_flags(), names)])
-    texts = _impact_texts([F.col(n) for n in names])
-    return flagged.select("dataset", F.posexplode(texts).alias("pos", "text"))
+    return _lists(issues).select(*_BY, F.posexplode(_impact_texts()).alias("pos", "text"))
 
 
 # -- whole report ------------------------------------------------------------------------------
 
 
-def _sentences(items: Column, default: Column | str) -> Column:
-    default = F.lit(default) if isinstance(default, str) else default
-    joined = F.array_join(F.transform(items, lambda x: F.concat(F.rtrim(x, F.lit(".")), F.lit("."))), " ")
-    return F.when(F.size(items) > 0, joined).otherwise(default)
-
-
-def _numbered(items: Column, default: str) -> Column:
-    top = F.slice(items, 1, fixed.TOP_K)
-    lines = F.transform(top, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.rtrim(x, F.lit("."))))
-    return F.when(F.size(items) > 0, F.array_join(lines, "\n")).otherwise(F.lit(default))
+def _cells(severity: str) -> Column:
+    return F.expr(f"aggregate(issues, 0L, (sum, x) -> sum + if(x.severity = '{severity}', x.n, 0L))")
 
 
 def validation_report(assignments: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row per dataset with its whole report."""
-    lines = derived_lines(issues)
-    kind = F.col("kind")
-    is_issue = kind == "issue"
-
-    def gather(wanted: str, *fields: Column | str) -> Column:
-        return F.sort_array(F.collect_list(F.when(kind == wanted, F.struct("ord", *fields))))
-
-    flag_names = [f"__impact_{n}" for n in range(len(catalog.IMPACT_RULES))]
-    per_dataset = lines.groupBy("dataset").agg(
-        F.sum(F.when(is_issue & (F.col("severity") == fixed.FAIL), F.col("n")).otherwise(0)).cast("long").alias("fail_count"),
-        F.sum(F.when(is_issue & (F.col("severity") == fixed.WARN), F.col("n")).otherwise(0)).cast("long").alias("warn_count"),
-        F.sum(F.when(is_issue & (F.col("severity") == fixed.INFO), F.col("n")).otherwise(0)).cast("long").alias("info_count"),
-        gather("issue", *ISSUE_FIELDS).alias("issue_list"),
-        gather("correction", "action", "target", F.col("text").alias("suggestion")).alias("correction_list"),
-        gather("problem", "text").alias("problem_list"),
-        gather("cause", "text").alias("cause_list"),
-        gather("plan", "text").alias("plan_list"),
-        gather("fix", "action", "text").alias("fix_list"),
-        *[flag.alias(name) for flag, name in zip(_impact_flags(is_issue), flag_names)],
-    )
-    zero = F.lit(0).cast("long")
-
-    def texts(column: str) -> Column:
-        return F.coalesce(F.col(column)["text"], F.array().cast(_NO_TEXT))
-
-    report = assignments.select("dataset", "contract").join(per_dataset, "dataset", "left").select(
-        "dataset", "contract",
-        status_of(F.when(F.col("fail_count") > 0, 2).when(F.col("warn_count") > 0, 1).otherwise(0)).alias("status"),
-        F.coalesce("fail_count", zero).alias("fail_count"),
-        F.coalesce("warn_count", zero).alias("warn_count"),
-        F.coalesce("info_count", zero).alias("info_count"),
-        F.transform("issue_list", lambda x: F.struct(*[x[f].alias(f) for f in ISSUE_FIELDS])).alias("issues"),
-        F.transform(
-            "correction_list", lambda x: F.struct(*[x[f].alias(f) for f in ("action", "target", "suggestion")])
-        ).alias("corrections"),
-        texts("problem_list").alias("problems"),
-        texts("cause_list").alias("causes"),
-        _impact_texts([F.col(n) for n in flag_names]).alias("impacts"),
-        texts("plan_list").alias("plan"),
-        texts("fix_list").alias("fixes"),
-    )
-    empty_issues = F.array().cast(report.schema["issues"].dataType)
-    empty_corrections = F.array().cast(report.schema["corrections"].dataType)
-    report = report.withColumn("issues", F.coalesce("issues", empty_issues)).withColumn(
-        "corrections", F.coalesce("corrections", empty_corrections)
+    """One row per dataset and contract with its whole report."""
+    lists = _with_lists(issue_lists(issues, assignments)).withColumns({
+        "fail_count": _cells(fixed.FAIL), "warn_count": _cells(fixed.WARN), "info_count": _cells(fixed.INFO)})
+    report = lists.select(
+        *_BY, _status(F.col("fail_count"), F.col("warn_count")).alias("status"), "fail_count", "warn_count", "info_count",
+        F.transform("issues", lambda x: F.struct(*[x[f].alias(f) for f in ISSUE_FIELDS])).alias("issues"),
+        F.transform("correction_list", lambda x: F.struct(*[x[f].alias(f) for f in ("action", "target", "suggestion")])).alias("corrections"),
+        F.col("problem_list.text").alias("problems"), F.col("cause_list.text").alias("causes"), _impact_texts().alias("impacts"),
+        F.col("plan_list.text").alias("plan"), F.col("fix_list.title").alias("fixes"),
     )
     return _with_texts(report)
 
 
 def summary_text() -> Column:
-    """Reads status, fail_count, warn_count, dataset."""
-    return F.when(F.col("status") == fixed.PASS, F.lit("The delivery keeps to its contract.")).otherwise(F.concat(
-        F.col("fail_count").cast("string"), F.lit(" blocking problem(s) and "), F.col("warn_count").cast("string"),
-        F.lit(" warning(s) found in `"), F.col("dataset"), F.lit("`."),
-    ))
+    """Reads status, fail_count, warn_count."""
+    return F.when(F.col("status") == fixed.PASS, F.lit("as agreed")).otherwise(F.concat(
+        F.lit("blocking: "), F.col("fail_count").cast("string"), F.lit(", to note: "), F.col("warn_count").cast("string")))
 
 
-STATUS_LABELS = {fixed.PASS: "Success", fixed.WARN: "Warning", fixed.FAIL: "Failure"}
+STATUS_LABELS = {fixed.PASS: "accepted", fixed.WARN: "accepted with remarks", fixed.FAIL: "refused"}
 
 
 def status_label() -> Column:
-    return catalog.by_check(STATUS_LABELS, "status")
+    pairs = [F.lit(part) for item in STATUS_LABELS.items() for part in item]
+    return F.try_element_at(F.create_map(*pairs), F.col("status"))
 
 
 def report_summary(assignments: DataFrame, issues: DataFrame) -> DataFrame:
-    counts = severity_counts(issues).select(
-        "dataset", F.col(fixed.FAIL).alias("fail_count"), F.col(fixed.WARN).alias("warn_count")
-    )
-    zero = F.lit(0).cast("long")
-    rows = assignments.select("dataset", "contract").join(counts, "dataset", "left").select(
-        "dataset", "contract", F.coalesce("fail_count", zero).alias("fail_count"),
-        F.coalesce("warn_count", zero).alias("warn_count"),
-    )
-    status = status_of(F.when(F.col("fail_count") > 0, 2).when(F.col("warn_count") > 0, 1).otherwise(0))
-    return rows.withColumn("status", status).withColumn("label", status_label()).withColumn(
-        "summary", summary_text()
-    )
+    return status_counts(assignments, issues).withColumn("label", status_label()).withColumn("summary", summary_text())
+
+
+def _joined(items: Column, none: str) -> Column:
+    return F.when(F.size(items) > 0, F.concat(F.array_join(items, "; "), F.lit("."))).otherwise(F.lit(none))
+
+
+def _listed(items: Column, none: str) -> Column:
+    lines = F.transform(F.slice(items, 1, fixed.TOP_K), lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x))
+    return F.when(F.size(items) > 0, F.array_join(lines, "\n")).otherwise(F.lit(f"1) {none}"))
 
 
 def _with_texts(report: DataFrame) -> DataFrame:
     """Explanation, business impact, proposed correction and message to the supplier.
 
-    The texts follow from the status; nothing here can change it.
+    The texts follow from the status; nothing here can change it.  Where no check of the report has a line in
+    the plan, the suggestions of its corrections stand in for it.
     """
     passed = F.col("status") == fixed.PASS
-    name = F.col("dataset")
-    explanation = F.when(
-        passed, F.concat(F.lit("`"), name, F.lit("` keeps to its contract. No blocking deviation was found."))
-    ).otherwise(_sentences(
-        F.col("problems"), F.concat(F.lit("`"), name, F.lit("` does not keep to its data contract."))
-    ))
-    impact = F.when(
-        passed, F.lit("The pipeline can go on; the checked rules show little quality risk.")
-    ).otherwise(_sentences(F.col("impacts"), "Ingestion, analytical tables or business controls may be affected."))
-    correction = F.when(
-        passed, F.lit("Nothing to correct. Keep the contract and its checks in the delivery process.")
-    ).otherwise(_sentences(
-        F.col("plan"), "Correct the deviations, or version the contract if the change was intended."
-    ))
-    message = F.when(
-        passed, F.concat(F.lit("Hello, `"), name, F.lit("` keeps to the data contract. Please go on delivering."))
-    ).otherwise(F.concat(
-        F.lit("Hello,\n\n`"), name, F.lit("` was held back because it does not keep to the agreed contract.\n\n"),
-        F.lit("Problems found:\n"), _numbered(F.col("problems"), "1. deviations from the agreed contract"),
-        F.lit("\n\nCorrections expected:\n"), _numbered(F.col("plan"), "1. correct or version the contract"),
-        F.lit("\n\nPlease send a corrected file or confirm that the contract is meant to change."),
+    subject = F.concat(F.lit("`"), F.col("dataset"), F.lit("` under `"), F.col("contract"), F.lit("`"))
+    report = report.withColumn("advice", F.when(F.size("plan") > 0, F.col("plan")).otherwise(F.col("corrections")["suggestion"]))
+    explanation = F.when(passed, F.concat(subject, F.lit(": all as agreed."))).otherwise(_joined(F.col("problems"), "The delivery departs from its contract."))
+    impact = F.when(passed, F.lit("None by the rules of the contract.")).otherwise(_joined(F.col("impacts"), "Not known for these checks."))
+    correction = F.when(passed, F.lit("None.")).otherwise(_joined(F.col("advice"), "Mend the delivery, or agree on a new version of the contract."))
+    message = F.when(passed, F.concat(F.lit("Delivery accepted: "), subject, F.lit("."))).otherwise(F.concat(
+        F.lit("Delivery "), status_label(), F.lit(": "), subject, F.lit("\n\nWhat we found\n"), _listed(F.col("problems"), "departures from the contract"),
+        F.lit("\n\nWhat we ask for\n"), _listed(F.col("advice"), "a delivery, or a contract, that fits"),
+        F.lit("\n\nIf this is how it is meant to be, tell us and we will change the contract together."),
     ))
     return (
         report.withColumn("label", status_label()).withColumn("summary", summary_text())
         .withColumn("explanation", explanation).withColumn("business_impact", impact)
-        .withColumn("proposed_correction", correction).withColumn("supplier_message", message)
+        .withColumn("proposed_correction", correction).withColumn("supplier_message", message).drop("advice")
     )
 
 

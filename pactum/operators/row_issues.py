@@ -200,6 +200,16 @@ def violation_counts(
     return compiled.described(counts).select("dataset", "contract", "pos", "column", "check", "violations")
 
 
+def bad_cell_counts(
+    df: DataFrame, contracts: list[Contract], dataset: Column, contract_col: str | None = None,
+) -> DataFrame:
+    """How many bad cells a dataset has under its contract, as issues (severity and ``n``) for a status: no values,
+    no rows, one sum a dataset and task."""
+    compiled = Compiled(df, contracts, contract_col)
+    counts = compiled.bad_cells([dataset.alias("dataset")], with_value=False).groupBy("dataset", "contract").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("severity", F.lit(fixed.FAIL))
+
+
 def required_issues(
     df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
 ) -> DataFrame:

@@ -13,13 +13,39 @@ from pactum.types import ASSIGNMENTS, Contract, rules_frame
 
 
 def merged_issues(
-    assignments: DataFrame, rules: DataFrame, received: DataFrame, quality_issues: DataFrame | None = None,
+    assignments: DataFrame, rules: DataFrame, received: DataFrame, cell_totals: DataFrame | None = None,
     allow_safe_promotion: bool = True, warn_extra_columns: bool = True,
 ) -> DataFrame:
-    """Schema findings and row issues of every dataset, numbered; ``n`` is the number of cells of each."""
-    found = schema_diff.schema_diff(assignments, rules, received, allow_safe_promotion, warn_extra_columns)
-    both = found if quality_issues is None else report.merge_issues(found, quality_issues)
-    return both.withColumn("n", F.coalesce("n", F.lit(1)) if "n" in both.columns else F.lit(1).cast("long"))
+    """Schema findings and row findings of every dataset under each of its contracts; ``ord`` is their order and
+    ``n`` the number of cells of each."""
+    found = schema_diff.schema_findings(assignments, rules, received, allow_safe_promotion, warn_extra_columns)
+    return report.placed(found, cell_totals)
+
+
+def statuses(
+    assignments: DataFrame, rules: DataFrame, received: DataFrame, bad_cells: DataFrame | None = None,
+    allow_safe_promotion: bool = True, warn_extra_columns: bool = True,
+) -> DataFrame:
+    """Status and counts alone, from ``row_issues.bad_cell_counts``: no lists, no texts, no example values."""
+    found = schema_diff.schema_findings(assignments, rules, received, allow_safe_promotion, warn_extra_columns).select("dataset", "contract", "severity")
+    if bad_cells is not None:
+        found = found.unionByName(bad_cells.select("dataset", "contract", "severity", "n"), allowMissingColumns=True)
+    return report.status_counts(assignments, found)
+
+
+def _issues(
+    spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column | None,
+    received: DataFrame | None, cap: int | None, **options: bool,
+) -> tuple[DataFrame, DataFrame]:
+    assignments = spark.createDataFrame([(name, contract.name)], ASSIGNMENTS)
+    received = schemas.schema_of(spark, {name: df}) if received is None else received
+    found = None
+    if row is not None and cap is None:
+        found = row_issues.cell_totals(df, [contract], row, F.lit(name))
+    elif row is not None:
+        # one cell each, in the order of the sample
+        found = row_issues.issue_sample(df, [contract], row, F.lit(name), cap=cap).withColumn("pos", F.col("n")).withColumn("n", F.lit(1))
+    return assignments, merged_issues(assignments, rules_frame(spark, contract), received, found, **options)
 
 
 def dataset_issues(
@@ -32,14 +58,8 @@ def dataset_issues(
     dataset's schema when it is not simply that of ``df`` (a CSV's inferred types).  The row
     issues are one per column and check with exact counts; with a ``cap`` they are the first ``cap``.
     """
-    assignments = spark.createDataFrame([(name, contract.name)], ASSIGNMENTS)
-    received = schemas.schema_of(spark, {name: df}) if received is None else received
-    quality = None
-    if row is not None and cap is None:
-        quality = row_issues.issue_summary(df, [contract], row, F.lit(name))
-    elif row is not None:
-        quality = row_issues.quality_report(df, [contract], row, F.lit(name), cap=cap)
-    return merged_issues(assignments, rules_frame(spark, contract), received, quality, **options)
+    _, issues = _issues(spark, name, df, contract, row, received, cap, **options)
+    return report.numbered_issues(report.issue_lists(issues))
 
 
 def validate_dataset(
@@ -47,8 +67,7 @@ def validate_dataset(
     received: DataFrame | None = None, cap: int | None = None, **options: bool,
 ) -> DataFrame:
     """Report row of one dataset; arguments as in ``dataset_issues``."""
-    issues = dataset_issues(spark, name, df, contract, row, received, cap, **options)
-    return report.validation_report(spark.createDataFrame([(name, contract.name)], ASSIGNMENTS), issues)
+    return report.validation_report(*_issues(spark, name, df, contract, row, received, cap, **options))
 
 
 def remediate_dataset(
@@ -56,7 +75,7 @@ def remediate_dataset(
     received: DataFrame | None = None, also_formats: dict[str, list[str]] | None = None, **options: bool,
 ) -> tuple[DataFrame, DataFrame]:
     """Validate a whole table exactly and carry out the fixes: (valid rows, rejected rows)."""
-    issues = dataset_issues(spark, name, df, contract, row, received, cap=None, **options)
+    _, issues = _issues(spark, name, df, contract, row, received, None, **options)
     return remediate.apply_plan(df, contract, report.remediation_plan(issues), also_formats)
 
 
@@ -70,10 +89,11 @@ def validate_fleet(
     assignments = spark.createDataFrame([(name, c.name) for name, _, c, _ in members], ASSIGNMENTS)
     received = schemas.schema_of(spark, {name: df for name, df, _, _ in members})
     contracts = {c.name: c for _, _, c, _ in members}
-    quality = reduce(DataFrame.unionByName, [
-        row_issues.issue_summary(df, [contract], row, F.lit(name)) for name, df, contract, row in members
+    totals = reduce(DataFrame.unionByName, [
+        row_issues.cell_totals(df, [contract], row, F.lit(name)) for name, df, contract, row in members
     ])
-    issues = merged_issues(assignments, rules_frame(spark, *contracts.values()), received, quality, **options)
+    # a table that is checked under several contracts has one schema
+    issues = merged_issues(assignments, rules_frame(spark, *contracts.values()), received, totals, **options)
     return report.validation_report(assignments, issues)
 
 

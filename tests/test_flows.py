@@ -28,9 +28,9 @@ def test_report_row(reports):
     (row,) = reports.collect()
     assert (row["status"], row["fail_count"], row["warn_count"]) == ("FAIL", 14, 0)
     assert len(row["problems"]) == 9 and len(row["corrections"]) == 9
-    assert row["problems"][5].startswith("4 empty") and " 3 value(s)" in row["problems"][6]
-    assert len(row["causes"]) == 7 and row["impacts"][-1].startswith("Privacy")
-    assert row["supplier_message"].count("\n3. ") == 2 and "\n4. " not in row["supplier_message"]
+    assert "4 cells empty" in row["problems"][5] and " 3 cells" in row["problems"][6]
+    assert len(row["causes"]) == 7 and row["impacts"][-1].startswith("address protection")
+    assert row["supplier_message"].count("\n3) ") == 2 and "\n4) " not in row["supplier_message"]
 
 
 def test_json_report_leaves_out_what_is_absent(reports, tmp_path):
@@ -51,13 +51,14 @@ def test_json_report_keeps_lists(spark):
 
 def test_markdown_report(reports):
     text = sinks.report_markdown(reports).first()["markdown"]
-    assert text.startswith("# Data Contract Report: customers_contract\n") and "  - row: `5`" in text
+    assert text.startswith("# `F2`: refused\n\nChecked against `customers_contract`. Status FAIL (blocking: 14, to note: 0).")
+    assert "\n| 5 | FAIL | value.type | customer_id | value unreadable in the agreed type | long | customer_id | 5 | " in text
 
 
 def test_exact_report_counts_every_cell(spark):
     df = rows_frame(spark, [("1", "a@b.c", "1990-01-01", "bad")] * 90, ["customer_id", "email", "birth_date", "amount"])
     row = validate.validate_dataset(spark, "d", df, C2, F.col("row"), cap=None, warn_extra_columns=False).first()
-    assert any(" 90 value(s)" in p for p in row["problems"])
+    assert any(" 90 cells" in p for p in row["problems"])
 
 
 def test_alerts_and_history_append(spark, reports, tmp_path):
@@ -65,7 +66,7 @@ def test_alerts_and_history_append(spark, reports, tmp_path):
     for _ in range(2):
         sinks.append_alerts(alerts, str(tmp_path / "alerts"))
     assert spark.read.json(str(tmp_path / "alerts")).count() == 2
-    units = spark.createDataFrame([("F2", 44)], "dataset string, estimated_units long")
+    units = spark.createDataFrame([("F2", C2.name, 44), ("F2", "other", 1)], "dataset string, contract string, estimated_units long")
     seen = sinks.append_runs(sinks.run_history(reports, units, "t"), str(tmp_path / "runs"))
     assert seen.get == {"reports": 1, "failed": 1, "issues": 14}
 

@@ -121,8 +121,9 @@ def test_golden_cases(spark):
         ("wrong", "F1", "PASS", ["value.max"], ["ENFORCE_MAX_VALUE"]),
     ], "name string, dataset string, expected_status string, expected_checks array<string>, "
        "expected_corrections array<string>")
-    results = gate.evaluate_cases(
-        cases, report.status_rollup(assigned, issues), issues, report.issue_corrections(issues))
+    results = gate.evaluate_cases(cases, report.validation_report(assigned, issues))
+    named = cases.join(assigned, "dataset")
+    assert sorted(gate.evaluate_cases(named, report.validation_report(assigned, issues)).collect()) == sorted(results.collect())
     found = {r["name"]: r["failures"] for r in results.collect()}
     assert found == {
         "breaking": [], "drift": [], "full": [],

@@ -236,6 +236,20 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "customer", feeds_sql(SPARK))
 
 
+def both(assignments: DataFrame) -> DataFrame:
+    """Every dataset under both contracts."""
+    names = F.array(*[F.lit(c.name) for c in CONTRACTS])
+    return assignments.select("dataset", F.explode(names).alias("contract"))
+
+
+BOTH_FEEDS = (
+    f"SELECT dataset, contract FROM ({feeds_sql(DUCK)}) AS f(dataset, own), "
+    f"(VALUES {', '.join(f'({chr(39)}{c.name}{chr(39)})' for c in CONTRACTS)}) AS c(contract)")
+BOTH_DELIVERIES = (
+    f"SELECT d.* REPLACE (c.contract AS contract) FROM ({deliveries_sql(DUCK)}) AS d, "
+    f"(VALUES {', '.join(f'({chr(39)}{c.name}{chr(39)})' for c in CONTRACTS)}) AS c(contract)")
+
+
 def feed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array_compact(F.array(*[
         F.when(F.expr(present), F.struct(F.lit(pos).alias("pos"), F.expr(name).alias("column"),

@@ -138,25 +138,25 @@ PARTS = {
     "received": 'SELECT dataset, pos AS src_pos, "column" AS src_column, type AS src_type, lower("column") AS key '
                 "FROM feed_columns",
     "matched": "SELECT e.*, r.src_pos, r.src_column, r.src_type FROM expected e JOIN received r USING (dataset, key) "
-               "QUALIFY row_number() OVER (PARTITION BY dataset, exp_pos ORDER BY r.src_pos DESC) = 1",
+               "QUALIFY row_number() OVER (PARTITION BY dataset, e.contract, exp_pos ORDER BY r.src_pos DESC) = 1",
     "absent": "SELECT e.* FROM expected e ANTI JOIN received r USING (dataset, key)",
     "surplus": "SELECT r.*, f.contract FROM received r JOIN feeds f USING (dataset) "
-               "ANTI JOIN expected e ON r.dataset = e.dataset AND r.key = e.key",
-    "forms": f"SELECT a.dataset, a.exp_pos, a.exp_column, s.src_pos, s.src_column, s.key AS src_key, "
+               "ANTI JOIN expected e ON r.dataset = e.dataset AND f.contract = e.contract AND r.key = e.key",
+    "forms": f"SELECT a.dataset, a.contract, a.exp_pos, a.exp_column, s.src_pos, s.src_column, s.key AS src_key, "
              f"{name_form('a.exp_column')} AS l, {name_form('s.src_column')} AS r "
-             "FROM absent a JOIN surplus s USING (dataset)",
+             "FROM absent a JOIN surplus s USING (dataset, contract)",
     "lookalikes": "SELECT * FROM forms WHERE l <> '' AND r <> '' AND (contains(l, r) OR contains(r, l) OR "
                "(levenshtein(l, r) <= 2 AND least(length(l), length(r)) >= 4))",
-    "renamed": "SELECT * FROM lookalikes QUALIFY row_number() OVER (PARTITION BY dataset, exp_pos ORDER BY src_pos) = 1",
+    "renamed": "SELECT * FROM lookalikes QUALIFY row_number() OVER (PARTITION BY dataset, contract, exp_pos ORDER BY src_pos) = 1",
     "typed": f"SELECT *, {norm_type('exp_type')} AS want, {norm_type('src_type')} AS got FROM matched",
     "findings": """
         SELECT a.dataset, a.contract, 0 AS phase, a.exp_pos AS pos, 'column.renamed' AS "check", 'FAIL' AS severity,
           a.exp_column AS "column", a.exp_column AS expected, r.src_column AS actual
-          FROM absent a JOIN renamed r ON a.dataset = r.dataset AND a.exp_pos = r.exp_pos
+          FROM absent a JOIN renamed r ON a.dataset = r.dataset AND a.contract = r.contract AND a.exp_pos = r.exp_pos
         UNION ALL
         SELECT a.dataset, a.contract, 0, a.exp_pos, 'column.missing',
           CASE WHEN a.required THEN 'FAIL' ELSE 'WARN' END, a.exp_column, a.exp_type, NULL
-          FROM absent a ANTI JOIN renamed r ON a.dataset = r.dataset AND a.exp_pos = r.exp_pos
+          FROM absent a ANTI JOIN renamed r ON a.dataset = r.dataset AND a.contract = r.contract AND a.exp_pos = r.exp_pos
         UNION ALL
         SELECT dataset, contract, 0, exp_pos,
           CASE WHEN (want = 'int' AND got = 'long') OR (want = 'float' AND got = 'double')
@@ -165,7 +165,7 @@ PARTS = {
           exp_column, exp_type, src_type FROM typed WHERE want <> got
         UNION ALL
         SELECT s.dataset, s.contract, 1, s.src_pos, 'column.extra', 'WARN', s.src_column, NULL, s.src_type
-          FROM surplus s ANTI JOIN renamed r ON s.dataset = r.dataset AND s.key = r.src_key
+          FROM surplus s ANTI JOIN renamed r ON s.dataset = r.dataset AND s.contract = r.contract AND s.src_pos = r.src_pos
         """,
     # row issues of the fleet: sample of the first twenty
     "fleet_candidates": f"""
@@ -176,7 +176,7 @@ PARTS = {
           concat(CAST(count(*) AS varchar), ' empty values')
           FROM fleet_cells WHERE "check" = 'value.required' GROUP BY dataset, contract, pos, "column"
         """,
-    "fleet_first": 'SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos, late, "row") AS n '
+    "fleet_first": 'SELECT *, row_number() OVER (PARTITION BY dataset, contract ORDER BY pos, late, "row") AS n '
                    "FROM fleet_candidates QUALIFY n <= 20",
     "fleet_sample": """
         SELECT dataset, contract, n, 'FAIL' AS severity, "check", "column", expected, domain, actual, "row"
@@ -194,13 +194,13 @@ PARTS = {
         FROM fleet_cells GROUP BY dataset, contract, pos, "check", "column"
         """,
     "merged": """
-        SELECT dataset, contract, row_number() OVER (PARTITION BY dataset ORDER BY part, a, b) AS ord, severity,
+        SELECT dataset, contract, row_number() OVER (PARTITION BY dataset, contract ORDER BY part, a, b) AS ord, severity,
           "check", "column", expected, domain, actual, "row", weight FROM (
           SELECT dataset, contract, 0 AS part, phase AS a, pos AS b, severity, "check", "column", expected,
             CAST(NULL AS varchar) AS domain, actual, CAST(NULL AS bigint) AS "row", 1 AS weight FROM findings
           UNION ALL
           SELECT dataset, contract, 1, row_number() OVER (
-              PARTITION BY dataset ORDER BY pos, "check" = 'value.required', "row", "check"), 0, 'FAIL', "check",
+              PARTITION BY dataset, contract ORDER BY pos, "check" = 'value.required', "row", "check"), 0, 'FAIL', "check",
             "column", expected, domain, actual, "row", n FROM fleet_totals)
         """,
     "states": """
@@ -208,9 +208,9 @@ PARTS = {
           CASE WHEN coalesce(x.fails, 0) > 0 THEN 'FAIL' WHEN coalesce(x.warns, 0) > 0 THEN 'WARN' ELSE 'PASS' END
             AS status, coalesce(x.fails, 0) AS fail_count, coalesce(x.warns, 0) AS warn_count
         FROM feeds f LEFT JOIN (
-          SELECT dataset, CAST(sum(weight) FILTER (severity = 'FAIL') AS bigint) AS fails,
+          SELECT dataset, contract, CAST(sum(weight) FILTER (severity = 'FAIL') AS bigint) AS fails,
             CAST(sum(weight) FILTER (severity = 'WARN') AS bigint) AS warns
-          FROM merged GROUP BY dataset) x USING (dataset)
+          FROM merged GROUP BY dataset, contract) x USING (dataset, contract)
         """,
 }
 
@@ -232,9 +232,11 @@ def _order(names: list[str], seen: list[str]) -> list[str]:
     return seen
 
 
-def query(final: str, *parts: str, **more: str) -> str:
-    """``WITH`` the parts (and what they need), extra named parts, then the final select."""
-    ctes = [(name, PARTS[name]) for name in _order(list(parts), [])] + list(more.items())
+def query(final: str, *parts: str, over: dict[str, str] | None = None, **more: str) -> str:
+    """``WITH`` the parts (and what they need), extra named parts, then the final select.  ``over`` puts other
+    inputs in the place of parts of the same name."""
+    held = PARTS | (over or {})
+    ctes = [(name, held[name]) for name in _order(list(parts), [])] + list(more.items())
     if not ctes:
         return final
     return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in ctes) + " " + final

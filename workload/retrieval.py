@@ -61,23 +61,23 @@ def reference_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("dataset", r"(\d+)\z", 1).cast("long")
     listed = F.array(*[F.lit(t) for t in topics])
     with_topic = all_reports.select(
-        "dataset", "status", report.query_text().alias("query_text"),
+        "dataset", "contract", "status", report.query_text().alias("query_text"),
         F.get(listed, (number % len(topics)).cast("int")).alias("topic"))
     return retrieve.reference_excerpts(with_topic, knn_hits(spark, sf_dir), chunks).select(
-        "dataset", "status", "topic", "references", "query_text")
+        "dataset", "contract", "status", "topic", "references", "query_text")
 
 
 QUERIES["reference_excerpts"] = reference_excerpts
 ORACLES["reference_excerpts"] = oracle.query(
     """
-    SELECT s.dataset, s.status, t.query_id AS topic,
+    SELECT s.dataset, s.contract, s.status, t.query_id AS topic,
       CASE WHEN s.status = 'PASS' THEN f.sources ELSE f.excerpts END AS references,
       CASE WHEN p.lines IS NULL THEN 'data contract guidelines'
         ELSE concat(p.lines, coalesce(chr(10) || c.lines, '')) END AS query_text
     FROM states s
       JOIN numbered t ON t.n = CAST(regexp_extract(s.dataset, '[0-9]+$') AS bigint) % (SELECT count(*) FROM numbered)
       LEFT JOIN found f ON f.query_id = t.query_id
-      LEFT JOIN every_problem p ON p.dataset = s.dataset LEFT JOIN every_plan c ON c.dataset = s.dataset
+      LEFT JOIN every_problem p USING (dataset, contract) LEFT JOIN every_plan c USING (dataset, contract)
     """,
     "states", "hits", "problem_lines", "plan_lines",
     numbered="SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS n FROM topics",
@@ -86,5 +86,5 @@ ORACLES["reference_excerpts"] = oracle.query(
         string_agg(concat('(', CAST(doc_id AS varchar), ') ', rtrim(substring(trim(substring(text, 1, 1000)), 1, 400))),
           concat(chr(10), '---', chr(10)) ORDER BY rank) AS excerpts
       FROM hits JOIN documents ON doc_id = vec_id GROUP BY query_id""",
-    every_problem="SELECT dataset, string_agg(text, chr(10) ORDER BY ord) AS lines FROM problem_lines GROUP BY dataset",
-    every_plan="SELECT dataset, string_agg(text, chr(10) ORDER BY ord) AS lines FROM plan_lines GROUP BY dataset")
+    every_problem="SELECT dataset, contract, string_agg(text, chr(10) ORDER BY ord) AS lines FROM problem_lines GROUP BY dataset, contract",
+    every_plan="SELECT dataset, contract, string_agg(text, chr(10) ORDER BY ord) AS lines FROM plan_lines GROUP BY dataset, contract")
