@@ -84,6 +84,7 @@ FORMAT = "value.format"
 VALUE_TYPE = "value.type"
 MINIMUM = "value.min"
 MAXIMUM = "value.max"
+UNIQUE = "value.unique"
 ISSUE_LIMIT = "quality.issue_limit"
 
 EXPECTED_NON_EMPTY = "non-empty value"
@@ -102,4 +103,5 @@ ACTIONS = {
     "value.type": "CAST_OR_CLEAN_VALUE",
     "value.min": "ENFORCE_MIN_VALUE",
     "value.max": "ENFORCE_MAX_VALUE",
+    "value.unique": "REMOVE_DUPLICATES",
 }

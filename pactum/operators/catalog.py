@@ -59,6 +59,7 @@ MESSAGES = {
     fixed.VALUE_TYPE: "value unreadable in the agreed type",
     fixed.MINIMUM: "number under the agreed range",
     fixed.MAXIMUM: "number over the agreed range",
+    fixed.UNIQUE: "{number} cells share a value that only one may have",
     fixed.ISSUE_LIMIT: "list of issues cut at its limit",
 }
 
@@ -75,6 +76,7 @@ ISSUE_IMPACTS = {
     fixed.VALUE_TYPE: "the cell is lost when it is converted",
     fixed.MINIMUM: "sums and averages pulled down",
     fixed.MAXIMUM: "sums and averages pulled up",
+    fixed.UNIQUE: "joins by the column multiply rows",
     fixed.ISSUE_LIMIT: "what comes after the limit is unknown",
 }
 
@@ -102,6 +104,7 @@ SUGGESTIONS = {
     fixed.VALUE_TYPE: "send only {expected} in `{column}`",
     fixed.MINIMUM: "hold back rows with `{column}` under {bound}, or mend their source",
     fixed.MAXIMUM: "hold back rows with `{column}` over {bound}, or mend their source",
+    fixed.UNIQUE: "send each `{column}` once",
 }
 #: A rename is addressed to the received column, everything else to the contract column.
 TARGETS, OTHER_TARGET = {fixed.RENAMED: "{actual}"}, "{column}"
@@ -132,6 +135,7 @@ PROBLEMS = {
     fixed.PATTERN: "`{column}`: {cells} cells outside the pattern",
     fixed.MINIMUM: "`{column}`: {cells} cells under {bound}",
     fixed.MAXIMUM: "`{column}`: {cells} cells over {bound}",
+    fixed.UNIQUE: "`{column}`: {cells} cells share a value",
 }
 OTHER_PROBLEM = "`{column}`: {message}"
 CAUSES = {

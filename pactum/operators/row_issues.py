@@ -278,6 +278,35 @@ def cell_totals(
     return compiled.described(first).withColumn("actual", actual).drop("value")
 
 
+def unique_totals(
+    df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
+) -> DataFrame:
+    """Columns flagged ``unique`` in which values repeat, as ``cell_totals``: one finding a dataset, contract and
+    column, ``n`` being the cells that share their value with another cell, ``row`` the first of them.
+
+    Values are compared as stripped texts; blank cells are none.  First only hashes meet, eight bytes a cell,
+    combined on the map side; cells whose hash occurs once go no further.  Of the others the values themselves
+    are compared, so a chance hit of two hashes is no finding.  A value held by a third of all rows is one row a
+    task in both steps.
+    """
+    compiled = Compiled(
+        df, contracts, contract_col, test=lambda cell: F.when(~cell.blank, F.lit(fixed.UNIQUE)), key=lambda rule: (),
+        applies=lambda rule: rule.unique)
+    if not compiled.slots:
+        return compiled.described(compiled.bad_cells([dataset.alias("dataset"), row.cast("long").alias("row")], True)).select(
+            "dataset", "contract", "pos", "column", "check", "severity", "expected", "expected_values", F.col("value").alias("actual"), "row",
+            F.lit(0).cast("long").alias("n"))
+    by = ["dataset", "contract", "slot"]
+    cells = compiled.bad_cells([dataset.alias("dataset"), row.cast("long").alias("row")], with_value=True).withColumn("hash", F.xxhash64("value"))
+    repeated = cells.groupBy(*by, "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
+    shared = cells.join(repeated, [*by, "hash"], "left_semi").groupBy(*by, "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).filter(F.col("n") > 1)
+    found = shared.groupBy(*by).agg(F.sum("n").alias("n"), F.min("row").alias("row")).withColumn("check", F.lit(fixed.UNIQUE))
+    return compiled.described(found).withColumn("expected", F.lit("unique values")).withColumn(
+        "actual", F.concat(F.col("n").cast("string"), F.lit(" cells with shared values"))).select(
+        "dataset", "contract", "pos", "column", "check", "severity", "expected", "expected_values", "actual", "row", "n")
+
+
 def issue_summary(
     df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None,
 ) -> DataFrame:

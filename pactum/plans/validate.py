@@ -33,6 +33,14 @@ def statuses(
     return report.status_counts(assignments, found)
 
 
+def all_totals(df: DataFrame, contracts: list[Contract], row: Column, dataset: Column, contract_col: str | None = None) -> DataFrame:
+    """Row findings of a table; repeated values too, where a contract asks for unique ones."""
+    totals = row_issues.cell_totals(df, contracts, row, dataset, contract_col)
+    if any(rule.unique for contract in contracts for rule in contract.rules):
+        totals = totals.unionByName(row_issues.unique_totals(df, contracts, row, dataset, contract_col))
+    return totals
+
+
 def _issues(
     spark: SparkSession, name: str, df: DataFrame, contract: Contract, row: Column | None,
     received: DataFrame | None, cap: int | None, **options: bool,
@@ -41,7 +49,7 @@ def _issues(
     received = schemas.schema_of(spark, {name: df}) if received is None else received
     found = None
     if row is not None and cap is None:
-        found = row_issues.cell_totals(df, [contract], row, F.lit(name))
+        found = all_totals(df, [contract], row, F.lit(name))
     elif row is not None:
         # one cell each, in the order of the sample
         found = row_issues.issue_sample(df, [contract], row, F.lit(name), cap=cap).withColumn("pos", F.col("n")).withColumn("n", F.lit(1))
@@ -90,7 +98,7 @@ def validate_fleet(
     received = schemas.schema_of(spark, {name: df for name, df, _, _ in members})
     contracts = {c.name: c for _, _, c, _ in members}
     totals = reduce(DataFrame.unionByName, [
-        row_issues.cell_totals(df, [contract], row, F.lit(name)) for name, df, contract, row in members
+        all_totals(df, [contract], row, F.lit(name)) for name, df, contract, row in members
     ])
     # a table that is checked under several contracts has one schema
     issues = merged_issues(assignments, rules_frame(spark, *contracts.values()), received, totals, **options)

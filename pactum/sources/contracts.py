@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pactum import fixed
 from pactum.functions.text import strip
-from pactum.sources.schemas import truthy
+from pactum.sources.schemas import flag
 
 try:
     import yaml
@@ -135,7 +135,11 @@ def contract_rules(documents: DataFrame, strict: bool = True) -> DataFrame:
         rows = rows.join(bad, "source", "left_anti")
 
     def bound(side: str) -> Column:
-        return F.coalesce(F.col(f"c.{side}"), F.col(f"c.{side}_value"), F.col(f"c.{side}Value"), F.lit(""))
+        """Of the key that comes first in this order among those present, be it null."""
+        keys, found = F.json_object_keys("item"), F
+        for key in (side, f"{side}_value", f"{side}Value"):
+            found = found.when(F.array_contains(keys, key), F.coalesce(F.col(f"c.{key}"), F.lit("")))
+        return found.otherwise("")
 
     def text(field: str) -> Column:
         return F.coalesce(F.col(f"c.{field}"), F.lit(""))
@@ -143,12 +147,12 @@ def contract_rules(documents: DataFrame, strict: bool = True) -> DataFrame:
     return rows.select(
         "contract", "version", "owner", "dataset", "pos", name.alias("column"),
         F.coalesce(_filled(F.col("c.type")), F.lit(fixed.DEFAULT_TYPE)).alias("type"),
-        truthy(F.col("c.required")).alias("required"), text("description").alias("description"),
+        flag(F.col("item"), "required").alias("required"), text("description").alias("description"),
         text("format").alias("format"), _full_pattern(F.col("c")).alias("pattern"),
         _list(F.coalesce(F.when(~F.col("c.allowed_values").isin("", "[]"), F.col("c.allowed_values")),
                          F.col("c.allowedValues"))).alias("allowed_values"),
         bound("min").alias("min_value"), bound("max").alias("max_value"),
-        truthy(F.col("c.unique")).alias("unique"), truthy(F.col("c.pii")).alias("pii"), "criticality",
+        flag(F.col("item"), "unique").alias("unique"), flag(F.col("item"), "pii").alias("pii"), "criticality",
     )
 
 

@@ -45,6 +45,12 @@ def row_sample(df: DataFrame, row: Column, n: int = fixed.MAX_DATA_ROWS + 1) ->
 MAX_BLOCKS = 200_000  # block tables up to this many rows are broadcast
 
 
+def _before(table: DataFrame, within: str, order: str, rows: str, name: str) -> DataFrame:
+    """Add the rows of what comes earlier in `order`, inside its own `within`."""
+    earlier = F.sum(rows).over(Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return table.withColumn(name, F.coalesce(earlier, F.lit(0).cast("long")))
+
+
 def with_row_parquet(df: DataFrame) -> DataFrame:
     """Row number within each Parquet file, from the reader itself."""
     return df.select("*", (F.col("_metadata.row_index") + fixed.FIRST_ROW).alias("row"))
@@ -55,12 +61,13 @@ def with_row_csv(df: DataFrame, across_files: bool = False) -> DataFrame:
 
     The rows of one file block keep their order within a task, so a row's number is its place in
     the block plus the sizes of the blocks before it.  Only the block table (one row per file
-    split) is gathered for the running total.  The totals come back by a join on the block: as a
+    split) is gathered for the running totals.  The totals come back by a join on the block: as a
     broadcast while the number of splits, known before the job runs, is within ``MAX_BLOCKS``, so
     that the data is not shuffled; as an ordinary join beyond that.  Call it on the scan itself,
     before any filter.
 
-    Counts restart with every file; ``across_files`` goes on through the files in name order.
+    Counts restart with every file; ``across_files`` goes on through the files by folder and name.  Totals are
+    then summed in three levels, blocks of a file, files of a folder, folders, so that no task orders all files.
     """
     placed = df.select(
         "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
@@ -69,13 +76,19 @@ def with_row_csv(df: DataFrame, across_files: bool = False) -> DataFrame:
     blocks = placed.groupBy("__file", "__block").agg(
         F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    order = Window.partitionBy("__file").orderBy("__block")
-    before = F.sum("__rows").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.withColumn("__before", F.coalesce(before, F.lit(0).cast("long")))
+    offsets = _before(blocks, "__file", "__block", "__rows", "__before")
     if across_files:
-        files = blocks.groupBy("__file").agg(F.sum("__rows").alias("__rows"))
-        earlier = F.sum("__rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
-        files = files.select("__file", F.coalesce(earlier, F.lit(0).cast("long")).alias("__earlier"))
+        folder = F.regexp_replace("__file", r"/[^/]*\z", "/")
+        files = blocks.groupBy("__file").agg(F.sum("__rows").alias("__rows")).withColumn("__folder", folder)
+        files = _before(files, "__folder", "__file", "__rows", "__in_folder")
+        # a row for each folder, held in one sorted array
+        listed = F.sort_array(F.collect_list(F.struct(F.col("__folder").alias("folder"), F.col("__rows").alias("rows"))))
+        totals = files.groupBy("__folder").agg(F.sum("__rows").alias("__rows")).agg(listed.alias("all"))
+        summed = F.expr(
+            "aggregate(all, named_struct('sum', 0L, 'out', CAST(array() AS array<struct<folder:string,earlier:bigint>>)), "
+            "(a, x) -> named_struct('sum', a.sum + x.rows, 'out', array_append(a.out, named_struct('folder', x.folder, 'earlier', a.sum)))).out")
+        folders = totals.select(F.inline(summed)).select(F.col("folder").alias("__folder"), F.col("earlier").alias("__earlier"))
+        files = files.join(folders, "__folder").select("__file", (F.col("__in_folder") + F.col("__earlier")).alias("__earlier"))
         offsets = offsets.join(files, "__file").withColumn("__before", F.col("__before") + F.col("__earlier"))
     offsets = offsets.select("__file", "__block", "__first", "__before")
     if len(df.inputFiles()) + df.rdd.getNumPartitions() <= MAX_BLOCKS:

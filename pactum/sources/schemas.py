@@ -113,24 +113,59 @@ def truthy(value: Column) -> Column:
     return F.coalesce(F.lower(strip(value)).isin(fixed.TRUTHY_WORDS), F.lit(False))
 
 
-def schema_from_json(documents: DataFrame, source: str, text: str) -> DataFrame:
-    """Declared schemas, one JSON document per row: ``{name?, columns: [...]}`` or a bare list.
-
-    The dataset is named by the document, else by the source column.  Items that are no objects
-    are passed over.
-    """
+def flag(item: Column, field: str) -> Column:
+    """A field of a JSON object as yes or no: a boolean as it is, a text by its word, a number unless it is 0, a
+    list or object unless it is empty; null or absent is no."""
+    value = F.from_json(item, f"{field} variant")[field]
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    number = F.coalesce(text.try_cast("double") != 0, F.lit(False))
+    return F.coalesce(
+        F.when(kind == "STRING", truthy(text)).when(kind == "BOOLEAN", text == "true").when(kind == "VOID", F.lit(False))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(value).isin("[]", "{}")).otherwise(number),
+        F.lit(False))
+
+
+def _declared(documents: DataFrame, source: str, text: str) -> DataFrame:
+    """origin (the source column), name, items (column objects as JSON texts) and error of schema documents."""
     plain = strip(F.col(text))
     wrapped = F.when(plain.startswith("["), F.concat(F.lit('{"columns":'), plain, F.lit("}"))).otherwise(plain)
-    parsed = F.from_json(wrapped, "name string, columns array<string>")
-    items = documents.select(
-        F.coalesce(F.when(parsed["name"] != "", parsed["name"]), F.col(source).cast("string")).alias("dataset"),
-        F.posexplode(F.filter(
-            F.transform(parsed["columns"], lambda x: F.from_json(x, "name string, type string, required string")),
-            lambda c: c["name"].isNotNull(),
-        )).alias("pos", "c"),
+    parsed = F.from_json(wrapped, "name string, columns string")
+    rows = documents.select(
+        F.col(source).cast("string").alias("origin"), F.try_parse_json(plain).isNotNull().alias("readable"),
+        parsed["name"].alias("name"), parsed["columns"].alias("columns"))
+    items = F.filter(F.from_json("columns", "array<string>"), lambda x: strip(x).startswith("{"))
+    rows = rows.withColumn("items", items)
+    nameless = F.exists("items", lambda x: F.coalesce(F.from_json(x, "name string")["name"], F.lit("")) == "")
+    error = (
+        F.when(~F.coalesce("readable", F.lit(False)), F.lit("not a JSON document"))
+        .when(F.col("columns").isNull(), F.lit("neither a list of columns nor an object with columns"))
+        .when(~strip(F.col("columns")).startswith("["), F.lit("columns must be a list"))
+        .when(nameless, F.lit("column name is missing"))
     )
-    return items.select(
+    return rows.withColumn("error", error)
+
+
+def schema_errors(documents: DataFrame, source: str, text: str) -> DataFrame:
+    """Documents that declare no schema, with the reason."""
+    return _declared(documents, source, text).select(F.col("origin").alias("source"), "error").filter(F.col("error").isNotNull())
+
+
+def schema_from_json(documents: DataFrame, source: str, text: str, strict: bool = True) -> DataFrame:
+    """Declared schemas, one JSON document per row: ``{name?, columns: [...]}`` or a bare list.
+
+    The dataset is named by the document, else by the source column.  Items that are no objects are passed
+    over.  ``strict`` stops at a document that declares no schema; otherwise such documents are left out and can
+    be listed with ``schema_errors``.
+    """
+    rows = _declared(documents, source, text)
+    stop = F.raise_error(F.concat(F.col("error"), F.lit(": "), F.coalesce("origin", F.lit("?"))))
+    kept = F.when(F.col("error").isNull(), F.col("items"))
+    rows = rows.withColumn("items", F.when(F.col("error").isNotNull(), stop).otherwise(kept) if strict else kept)
+    columns = rows.select(
+        F.coalesce(F.when(F.col("name") != "", F.col("name")), F.col("origin")).alias("dataset"), F.posexplode("items").alias("pos", "item"))
+    parsed = columns.withColumn("c", F.from_json("item", "name string, type string"))
+    return parsed.select(
         "dataset", "pos", F.col("c.name").alias("column"),
         F.coalesce(F.when(F.col("c.type") != "", F.col("c.type")), F.lit(fixed.DEFAULT_TYPE)).alias("type"),
-        truthy(F.col("c.required")).alias("required"),
+        flag(F.col("item"), "required").alias("required"),
     )

@@ -150,3 +150,33 @@ def test_long_addresses_are_masked_whole(spark):
     assert df.select(pii.count_emails(F.col("t"))).first()[0] == 1
     masked = df.select(F.regexp_replace("t", pii.EMAIL, "<email>")).first()[0]
     assert masked == "to <email> now"
+
+
+def test_repeated_values_fail_a_unique_column(spark):
+    contract = Contract("c", [Rule("id", "string", unique=True), Rule("v", "string")])
+    df = spark.createDataFrame([(2, "a", "x"), (3, " a ", "x"), (4, None, "x"), (5, "", "x"), (6, "b", "x"), (7, "c", "x"), (8, "c", "x")], "row long, id string, v string")
+    row = validate.validate_dataset(spark, "d", df, contract, F.col("row"), warn_extra_columns=False).first()
+    assert (row.status, row.fail_count) == ("FAIL", 4) and row.problems == ["`id`: 4 cells share a value"]
+    assert [(i["check"], i["row"], i["expected"]) for i in row.issues] == [("value.unique", 2, "unique values")]
+    assert [tuple(c)[:2] for c in row.corrections] == [("REMOVE_DUPLICATES", "id")]
+    # no line in the plan: the suggestion stands in for it
+    assert "1) send each `id` once" in row.supplier_message and row.proposed_correction == "send each `id` once."
+    once = validate.validate_dataset(spark, "d", df.filter("row > 4 AND row < 8"), contract, F.col("row"), warn_extra_columns=False).first()
+    assert once.status == "PASS"
+
+
+def test_two_contracts_are_kept_apart(spark):
+    from pactum.operators import row_issues
+    from pactum.types import ASSIGNMENTS, COLUMNS_META, rules_frame as rules
+
+    contracts = [Contract("good", [Rule("a", "string")]), Contract("bad", [Rule("a", "int"), Rule("b", "int", True)])]
+    assigned = spark.createDataFrame([("d", "good"), ("d", "bad"), ("e", "good")], ASSIGNMENTS)
+    received = spark.createDataFrame([("d", 0, "a", "string", False), ("e", 0, "a", "string", False)], COLUMNS_META)
+    rows = spark.createDataFrame([(2, "d", "x"), (3, "d", "1")], "row long, dataset string, a string").join(assigned, "dataset")
+    issues = validate.merged_issues(assigned, rules(spark, *contracts), received, row_issues.cell_totals(rows, contracts, F.col("row"), F.col("dataset"), "contract"))
+    found = {(r.dataset, r.contract): (r.status, [i["check"] for i in r.issues]) for r in report.validation_report(assigned, issues).collect()}
+    assert found == {
+        ("d", "good"): ("PASS", []), ("e", "good"): ("PASS", []),
+        ("d", "bad"): ("FAIL", ["type.change", "column.missing", "value.type"])}
+    states = validate.statuses(assigned, rules(spark, *contracts), received, row_issues.bad_cell_counts(rows, contracts, F.col("dataset"), "contract"))
+    assert {(r.dataset, r.contract): r.status for r in states.collect()} == {k: v[0] for k, v in found.items()}

@@ -64,6 +64,18 @@ def test_csv_row_numbers_over_many_splits(spark, tmp_path):
     assert all(r["row"] == r["k"] + 2 for r in across)
 
 
+def test_csv_row_numbers_over_folders(spark, tmp_path):
+    n = 0
+    for name in ["a/1", "a/2", "a-b/1", "b/c/1", "b/c/2", "b/1"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{name}.csv").write_text("k\n" + "".join(f"{name}-{k}\n" for k in range(40)))
+    scan = spark.read.option("header", True).option("recursiveFileLookup", True).csv(str(tmp_path))
+    rows = {r.k: r.row for r in files.with_row_csv(scan, across_files=True).select("k", "row").collect()}
+    folders = sorted(["a/", "a-b/", "b/c/", "b/"])
+    order = [f + str(x) for f in folders for x in (1, 2) if (tmp_path / f"{f}{x}.csv").exists()]
+    assert rows == {f"{name}-{k}": 40 * order.index(name) + k + 2 for name in order for k in range(40)}
+
+
 def test_parquet_row_numbers(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "p"))
     rows = files.with_row_parquet(files.scan_parquet(spark, str(tmp_path / "p"))).collect()
@@ -100,6 +112,28 @@ def test_contract_files(spark, tmp_path):
         ("a", "string", True, "", "", ["only"]), ("b", "string", True, "1.5", "9", [])]
 
 
+def test_flags_and_bounds_by_kind_and_key(spark):
+    documents = spark.createDataFrame([("s", json.dumps({"columns": [
+        {"name": "a", "required": 2, "min": None, "min_value": 3, "unique": "2", "pii": [0]},
+        {"name": "b", "required": 0, "min_value": None, "minValue": 4, "max": 1, "maxValue": 9, "unique": 1.5, "pii": {}},
+        {"name": "c", "required": " YES ", "unique": None, "pii": True}]}))], "source string, json string")
+    rules = {r["column"]: r for r in contracts.contract_rules(documents).collect()}
+    assert [(r["required"], r["unique"], r["pii"]) for r in (rules["a"], rules["b"], rules["c"])] == [
+        (True, False, True), (False, True, False), (True, False, True)]
+    assert [(rules[c]["min_value"], rules[c]["max_value"]) for c in "abc"] == [("", ""), ("", "1"), ("", "")]
+
+
+def test_broken_schemas(spark):
+    documents = spark.createDataFrame([
+        ("ok", '{"name": "n", "columns": [{"name": "a"}]}'), ("text", "{oops"), ("none", None), ("object", '{"a": 1}'), ("map", '{"columns": {}}'),
+        ("nameless", '[{"type": "int"}]'), ("empty", "[]")], "source string, text string")
+    errors = {r["source"]: r["error"] for r in schemas.schema_errors(documents, "source", "text").collect()}
+    assert sorted(errors) == ["map", "nameless", "none", "object", "text"]
+    assert [(r["dataset"], r["column"]) for r in schemas.schema_from_json(documents, "source", "text", strict=False).collect()] == [("n", "a")]
+    with pytest.raises(Exception, match="JSON document|columns|column name"):
+        schemas.schema_from_json(documents, "source", "text").collect()
+
+
 def test_broken_contracts(spark):
     documents = spark.createDataFrame([
         ("good", '{"name": "g", "columns": [{"name": "a"}]}'), ("map", '{"name": "m", "columns": {"a": 1}}'),
@@ -184,5 +218,11 @@ def test_stream_gate_runs_again_without_repeating(spark, tmp_path):
     assert run() == {"valid": 2, "quarantined": 6}
     arrive(3)
     assert run() == {"valid": 3, "quarantined": 9}
-    alerts = arrivals.stream_alerts(arrivals.gated_rows(spark, str(tmp_path / "out")), "ops").collect()
-    assert len(alerts) == 3 and {a["text"] for a in alerts} == {"3 row(s) break the contract."}
+    alerts = arrivals.stream_alerts(spark, str(tmp_path / "out")).collect()
+    assert sorted(a["batch"] for a in alerts) == [0, 1, 2] and {(a["arrived"], a["rejected"]) for a in alerts} == {(4, 3)}
+    assert {a["text"] for a in alerts} == {"3 of 4 rows depart from `customers_contract`"}
+    # a batch that is run again replaces its rows and its alert
+    for name in ("2", ".2.crc"):
+        (tmp_path / "state" / "commits" / name).unlink()
+    assert run() == {"valid": 3, "quarantined": 9}
+    assert len(arrivals.stream_alerts(spark, str(tmp_path / "out")).collect()) == 3

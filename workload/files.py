@@ -26,9 +26,9 @@ _CELLS = ["customer_id", "mail", "birth_date", "amount", "opt_in", "seen_at", "p
 
 
 def _deliveries_as_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Deliveries as CSV files, in key order within and across the files."""
+    """Deliveries as CSV files, in key order within and across the files: as many as the session has partitions."""
     path = work_folder(spark, "deliveries-csv")
-    inputs.deliveries(spark, sf_dir).repartitionByRange(4, "k").sortWithinPartitions("k").select("k", *_CELLS).write.option(
+    inputs.deliveries(spark, sf_dir).repartitionByRange("k").sortWithinPartitions("k").select("k", *_CELLS).write.option(
         "header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).csv(path)
     return path
@@ -50,16 +50,9 @@ _register(
 
 
 def row_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record numbers across the files of a CSV dataset, read in many splits."""
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
-    try:
-        df = files.with_row_csv(files.scan_csv(spark, _deliveries_as_csv(spark, sf_dir)), across_files=True)
-        df = df.select(F.col("k").cast("long").alias("k"), "row")
-        df._jdf.queryExecution().executedPlan()  # fix the splits while the setting holds
-        return df
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    """Record numbers across the files of a CSV dataset."""
+    df = files.with_row_csv(files.scan_csv(spark, _deliveries_as_csv(spark, sf_dir)), across_files=True)
+    return df.select(F.col("k").cast("long").alias("k"), "row")
 
 
 _register("row_locator", row_locator, oracle.query(
@@ -154,6 +147,24 @@ def schema_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.schema_from_json(documents, "source", "text")
 
 
+def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' documents broken in several ways: what is wrong with each; the others give their columns."""
+    texts = F.expr("""CASE p_partkey % 7 WHEN 0 THEN concat('{"columns": [{"name": "', p_brand, '"')
+        WHEN 1 THEN '{"fields": []}' WHEN 2 THEN '{"columns": {"a": 1}}' WHEN 3 THEN '[{"type": "int"}]' WHEN 4 THEN ' '
+        WHEN 5 THEN concat('[{"name": "', p_brand, '", "required": 2}]')
+        ELSE '{"name": "six", "columns": [1, {"name": "a", "required": [0]}, {"name": "b", "required": "2"}]}' END""")
+    documents = inputs.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source"), texts.alias("text"))
+    wrong = schemas.schema_errors(documents, "source", "text")
+    right = schemas.schema_from_json(documents, "source", "text", strict=False)
+    return wrong.unionByName(right.select(F.col("dataset").alias("source"), F.concat("column", F.lit(" "), F.col("required").cast("string")).alias("error")))
+
+
+_register("schema_errors", schema_errors, """
+    SELECT CASE WHEN m = 6 THEN 'six' ELSE CAST(p_partkey AS varchar) END AS source, error FROM (
+      SELECT p_partkey, p_partkey % 7 AS m, unnest(CASE p_partkey % 7 WHEN 0 THEN ['not a JSON document']
+        WHEN 1 THEN ['neither a list of columns nor an object with columns'] WHEN 2 THEN ['columns must be a list']
+        WHEN 3 THEN ['column name is missing'] WHEN 4 THEN ['not a JSON document'] WHEN 5 THEN [p_brand || ' true']
+        ELSE ['a true', 'b false'] END) AS error FROM part)""")
 _register("schema_from_json", schema_from_json, """
     SELECT concat('file-', CAST(p_partkey AS varchar)) AS dataset, 0 AS pos, 'part_key' AS "column", 'long' AS type,
       true AS required FROM part WHERE p_size % 3 = 0
@@ -256,17 +267,26 @@ _register("admit_files", admit_files, """
     FROM orders GROUP BY ALL""")
 
 
-def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deliveries arrive as CSV files and pass the gate; both outcomes are read back."""
+def _gated(spark: SparkSession, sf_dir: str) -> str:
     source = _deliveries_as_csv(spark, sf_dir)
     schema = "k string, " + ", ".join(f"{c} string" for c in _CELLS)
-    stream = arrivals.arrivals(spark, source, schema, files_per_batch=2)
+    stream = arrivals.arrivals(spark, source, schema, files_per_batch=8)
     out = work_folder(spark, "gate-out")
     arrivals.start_gate(stream, inputs.DELIVERY, out, work_folder(spark, "gate-state")).awaitTermination()
+    return out
+
+
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries arrive as CSV files and pass the gate; both outcomes are read back, and what the alerts of all
+    batches add up to."""
+    out = _gated(spark, sf_dir)
+    alerts = arrivals.stream_alerts(spark, out).agg(F.sum("rejected").alias("rejected"), F.sum("arrived").alias("arrived"))
     return arrivals.gated_rows(spark, out).select(
-        F.col("k").cast("long").alias("k"), "verdict", F.array_join("reasons", ",").alias("reasons"))
+        F.col("k").cast("long").alias("k"), "verdict", F.array_join("reasons", ",").alias("reasons")).unionByName(
+        alerts.select(F.lit(None).cast("long").alias("k"), F.lit("alert").alias("verdict"), F.concat_ws(" of ", "rejected", "arrived").alias("reasons")))
 
 
 _register("stream_gate", stream_gate, oracle.query(
-    "SELECT k, CASE WHEN reasons = '' THEN 'valid' ELSE 'quarantined' END AS verdict, reasons FROM "
-    f"(SELECT k, {fixes._reasons(inputs.DELIVERY)} AS reasons FROM deliveries)", "deliveries"))
+    "SELECT k, CASE WHEN reasons = '' THEN 'valid' ELSE 'quarantined' END AS verdict, reasons FROM judged "
+    "UNION ALL SELECT NULL, 'alert', concat(count(*) FILTER (reasons <> ''), ' of ', count(*)) FROM judged",
+    "deliveries", judged=f"SELECT k, {fixes._reasons(inputs.DELIVERY)} AS reasons FROM deliveries"))

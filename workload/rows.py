@@ -262,6 +262,24 @@ ORACLES["check_unique"] = (
     "AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 
 
+UNIQUE = Contract("unique_contract", [Rule("mail", "string", unique=True), Rule("customer_id", "string", unique=True), Rule("priority")])
+
+
+def unique_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated values of each feed's columns that must be unique."""
+    return row_issues.unique_totals(inputs.deliveries(spark, sf_dir), [UNIQUE], F.col("row"), F.col("dataset")).select(
+        "dataset", "column", "check", "severity", "n", "row", "actual")
+
+
+QUERIES["unique_issues"] = unique_issues
+ORACLES["unique_issues"] = oracle.query(
+    "SELECT dataset, \"column\", 'value.unique' AS \"check\", 'FAIL' AS severity, CAST(sum(n) AS bigint) AS n, min(\"row\") AS \"row\", "
+    "concat(CAST(CAST(sum(n) AS bigint) AS varchar), ' cells with shared values') AS actual FROM (SELECT dataset, \"column\", v, count(*) AS n, "
+    "min(\"row\") AS \"row\" FROM cells WHERE v <> '' GROUP BY ALL HAVING count(*) > 1) GROUP BY dataset, \"column\"",
+    "deliveries", cells=" UNION ALL ".join(
+        f"SELECT dataset, \"row\", '{c}' AS \"column\", {oracle.STRIP.format(v=c)} AS v FROM deliveries" for c in ("mail", "customer_id")))
+
+
 def profile_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_columns(
         inputs.deliveries(spark, sf_dir), ["customer_id", "mail", "birth_date", "amount", "opt_in", "seen_at", "priority"]
@@ -279,19 +297,22 @@ ORACLES["profile_columns"] = oracle.query(
         for c in ["customer_id", "mail", "birth_date", "amount", "opt_in", "seen_at", "priority"]))
 
 
-def status_per_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: exact violations of the customer table, and its status."""
+def customer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: exact violations of the customer table, and the status that follows from them."""
     counts = row_issues.violation_counts(
         inputs.table(spark, sf_dir, "customer"), [inputs.CUSTOMER], F.lit("customer")
-    )
-    return counts.select("dataset", "column", "check", "violations", F.lit(fixed.FAIL).alias("severity"),
-                         report.status_of(F.lit(2)).alias("status"))
+    ).withColumn("severity", F.lit(fixed.FAIL)).withColumn("n", F.col("violations"))
+    assigned = spark.range(1).select(F.lit("customer").alias("dataset"), F.lit(inputs.CUSTOMER.name).alias("contract"))
+    states = report.status_counts(assigned, counts)
+    return states.join(counts, ["dataset", "contract"], "left").select(
+        "dataset", "status", "fail_count", "column", "check", "violations", "severity")
 
 
-QUERIES["customer_contract"] = status_per_contract
+QUERIES["customer_contract"] = customer_contract
 ORACLES["customer_contract"] = oracle.query(
-    'SELECT dataset, "column", "check", count(*) AS violations, \'FAIL\' AS severity, \'FAIL\' AS status '
-    "FROM cells GROUP BY ALL",
+    'SELECT \'customer\' AS dataset, CASE WHEN total > 0 THEN \'FAIL\' ELSE \'PASS\' END AS status, total AS fail_count, "column", "check", violations, '
+    'CASE WHEN violations IS NOT NULL THEN \'FAIL\' END AS severity FROM (SELECT count(*) AS total FROM cells) '
+    'LEFT JOIN (SELECT "column", "check", count(*) AS violations FROM cells GROUP BY ALL) ON true',
     cells=oracle.cells_sql(
         inputs.CUSTOMER, "(SELECT 'customer' AS dataset, * FROM customer)",
         {r.column for r in inputs.CUSTOMER.rules}, text=False, keep="dataset"))
