@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def cost_units(assignments: DataFrame, rules: DataFrame, received: DataFrame, ro
     )
 
 
+def count_rows(frames: dict[str, DataFrame]) -> DataFrame:
+    """(dataset, data_rows) of tables.  A scan that asks for no column takes the rows of Parquet files from their
+    footers; no data page is read."""
+    return reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("data_rows")).select(F.lit(name).alias("dataset"), "data_rows") for name, df in frames.items()])
+
+
 def budget_check(
     costs: DataFrame, max_columns: int = fixed.MAX_COLUMNS, max_contract_columns: int = fixed.MAX_CONTRACT_COLUMNS,
     max_data_rows: int | None = fixed.MAX_DATA_ROWS,

@@ -92,3 +92,59 @@ def profile_columns(df: DataFrame, columns: list[str], keys: list[str] = (), exa
         F.min(F.when(filled, F.col("value"))).alias("min_value"),
         F.max(F.when(filled, F.col("value"))).alias("max_value"),
     )
+
+
+# -- profiles that add up ------------------------------------------------------------------------
+
+#: Base-2 logarithm of the registers of a distinct-value sketch: its standard error is 1.04 / sqrt(4096), 1.6 %.
+DISTINCT_BITS = 12
+#: Accuracy of a quantile sketch: ranks are off by 1.33 % at most, with 99 % confidence.
+QUANTILE_K = 200
+
+
+def profile_sketches(df: DataFrame, columns: list[str], by: list[Column | str] = ()) -> DataFrame:
+    """Mergeable profiles: a row for each group (a file, a day, a feed) and column, to be stored and added up by
+    ``merge_profiles``.
+
+    Columns: ``by``, column, row_count, blank_count, min_value, max_value, and two sketches, of distinct values and
+    of the values that are numbers.  One scan; a task sends one row a group, and no value leaves it.
+    """
+    names = [f"__{n}" for n in range(len(columns))]
+    cells = df.select(*by, *[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(columns, names)])
+    groups = [c for c in cells.columns if c not in names]
+    sums = []
+    for n in names:
+        filled = F.when(~is_blank(F.col(n)), F.col(n))
+        number = filled.try_cast("double")
+        sums += [
+            F.count(F.lit(1)).alias(f"{n}_row_count"), F.count(filled).alias(f"{n}_filled"),
+            F.min(filled).alias(f"{n}_min_value"), F.max(filled).alias(f"{n}_max_value"),
+            F.hll_sketch_agg(filled, F.lit(DISTINCT_BITS)).alias(f"{n}_distinct"),
+            F.kll_sketch_agg_double(F.when(~F.isnan(number), number), F.lit(QUANTILE_K)).alias(f"{n}_numbers"),
+        ]
+    wide = cells.groupBy(*groups).agg(*sums)
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"{n}_row_count").alias("row_count"), (F.col(f"{n}_row_count") - F.col(f"{n}_filled")).alias("blank_count"),
+            *[F.col(f"{n}_{part}").alias(part) for part in ("min_value", "max_value", "distinct", "numbers")])
+        for c, n in zip(columns, names)
+    ]
+    return wide.select(*groups, F.explode(F.array(*entries)).alias("c")).select(*groups, "c.*")
+
+
+def merge_profiles(sketches: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Profiles of ``profile_sketches`` added up by column (and ``keys``): a day's files, a table's days."""
+    return sketches.groupBy(*keys, "column").agg(
+        F.sum("row_count").alias("row_count"), F.sum("blank_count").alias("blank_count"),
+        F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("numbers").alias("numbers"))
+
+
+def read_profiles(sketches: DataFrame, quantiles: list[float] = (0.5, 0.95)) -> DataFrame:
+    """What stored or merged profiles say: counts, least and greatest text, an estimate of the distinct values, and
+    of quantiles of the values that are numbers (``q50``, ...; null where none is)."""
+    some = F.kll_sketch_get_n_double("numbers") > 0
+    values = [
+        F.when(some, F.kll_sketch_get_quantile_double(F.when(some, F.col("numbers")), F.lit(q))).alias(f"q{round(100 * q)}") for q in quantiles]
+    kept = [c for c in sketches.columns if c not in ("distinct", "numbers")]
+    return sketches.select(*kept, F.hll_sketch_estimate("distinct").alias("distinct_count"), *values)

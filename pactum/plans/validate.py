@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactum.operators import remediate, report, row_issues, schema_diff
+from pactum.operators import gate, remediate, report, row_issues, schema_diff
 from pactum.sources import schemas
 from pactum.types import ASSIGNMENTS, Contract, rules_frame
 
@@ -87,6 +87,20 @@ def remediate_dataset(
     return remediate.apply_plan(df, contract, report.remediation_plan(issues), also_formats)
 
 
+def within_budget(
+    spark: SparkSession, members: list[tuple[str, DataFrame, Contract, Column]], **limits: int | None,
+) -> tuple[list[tuple[str, DataFrame, Contract, Column]], DataFrame]:
+    """The members of a fleet that keep to the limits of ``gate.budget_check``, and the costs of all with the limit
+    that each breaks; known from schemas and footers, before any table is scanned."""
+    assignments = spark.createDataFrame([(name, c.name) for name, _, c, _ in members], ASSIGNMENTS)
+    frames = {name: df for name, df, _, _ in members}
+    contracts = {c.name: c for _, _, c, _ in members}
+    costs = gate.budget_check(gate.cost_units(
+        assignments, rules_frame(spark, *contracts.values()), schemas.schema_of(spark, frames), gate.count_rows(frames)), **limits)
+    broken = {(r["dataset"], r["contract"]) for r in costs.filter(F.col("breach").isNotNull()).collect()}  # a row a member at most
+    return [m for m in members if (m[0], m[2].name) not in broken], costs
+
+
 def validate_fleet(
     spark: SparkSession, members: list[tuple[str, DataFrame, Contract, Column]], **options: bool,
 ) -> DataFrame:

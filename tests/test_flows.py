@@ -180,3 +180,34 @@ def test_two_contracts_are_kept_apart(spark):
         ("d", "bad"): ("FAIL", ["type.change", "column.missing", "value.type"])}
     states = validate.statuses(assigned, rules(spark, *contracts), received, row_issues.bad_cell_counts(rows, contracts, F.col("dataset"), "contract"))
     assert {(r.dataset, r.contract): r.status for r in states.collect()} == {k: v[0] for k, v in found.items()}
+
+
+def test_profiles_of_parts_add_up(spark):
+    rows = [(n % 4, str(n * 7 % 1000) if n % 10 else " ", None) for n in range(20_000)]
+    df = spark.createDataFrame(rows, "part int, v string, w string")
+    parts = profile.profile_sketches(df, ["v", "w"], ["part"])
+    assert parts.count() == 8
+    merged = {r["column"]: r for r in profile.read_profiles(profile.merge_profiles(parts)).collect()}
+    whole = {r["column"]: r for r in profile.read_profiles(profile.profile_sketches(df, ["v", "w"])).collect()}
+    v = merged["v"]
+    assert (v.row_count, v.blank_count, v.min_value, v.max_value) == (20_000, 2_000, "1", "999")
+    assert all(abs(x["v"].distinct_count / 900 - 1) < 0.05 for x in (merged, whole))
+    values = sorted(int(r[1]) for r in rows if r[1] != " ")
+    for q, got in ((0.5, v.q50), (0.95, v.q95)):
+        assert values[int((q - 0.03) * len(values))] <= got <= values[min(len(values) - 1, int((q + 0.03) * len(values)))]
+    assert (merged["w"].distinct_count, merged["w"].blank_count, merged["w"].q50) == (0, 20_000, None)
+    # values don't meet: one exchange, of a row a group and task
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(part") == 1 and "value" not in plan.split("Exchange")[1].split("\n")[0]
+
+
+def test_budget_is_known_before_a_scan(spark, tmp_path):
+    for name, n in (("small", 10), ("large", 100)):
+        spark.range(n).write.parquet(str(tmp_path / name))
+    contract = Contract("c", [Rule("id", "long")])
+    members = [(name, spark.read.parquet(str(tmp_path / name)), contract, F.col("id")) for name in ("small", "large")]
+    kept, costs = validate.within_budget(spark, members, max_data_rows=50)
+    assert [m[0] for m in kept] == ["small"]
+    assert {r.dataset: (r.data_rows, r.breach) for r in costs.collect()} == {"small": (10, None), "large": (100, "data_rows")}
+    plan = gate.count_rows({m[0]: m[1] for m in members})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<>") == 2

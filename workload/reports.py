@@ -570,6 +570,24 @@ _register("validate_fleet", validate_fleet, oracle.query(
       SELECT 'events', 'events_contract', 0, 0, 'WARN', 'type.promotion', 'user_id', 'int', 'long', NULL"""))
 
 
+def budget_before_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that keep to the row limit are validated, the others only named."""
+    limit = inputs.table(spark, sf_dir, "events").count()
+    members, costs = validate.within_budget(spark, _members(spark, sf_dir), max_data_rows=limit)
+    counts = validate.fleet_counts(members).groupBy("dataset").agg(F.sum("violations").alias("violations"))
+    return costs.join(counts, "dataset", "left").select("dataset", "data_rows", "breach", "violations")
+
+
+_register("budget_before_scan", budget_before_scan, oracle.query(
+    "SELECT dataset, data_rows, CASE WHEN data_rows > (SELECT count(*) FROM events) THEN 'data_rows' END AS breach, "
+    "CASE WHEN data_rows <= (SELECT count(*) FROM events) THEN violations END AS violations FROM sizes LEFT JOIN "
+    "(SELECT dataset, count(*) AS violations FROM cells GROUP BY dataset) USING (dataset)",
+    sizes=" UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS data_rows FROM {t}" for t in ("customer", "orders", "events")),
+    cells=_typed_cells(inputs.CUSTOMER, "customer", "c_custkey") + " UNION ALL "
+    + _typed_cells(inputs.ORDERS, "orders", "o_orderkey") + " UNION ALL "
+    + _typed_cells(inputs.EVENTS, "events", "event_id")))
+
+
 def fleet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.fleet_counts(_members(spark, sf_dir)).select("dataset", "column", "check", "violations")
 

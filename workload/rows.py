@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pactum import fixed
 from pactum.functions import text
 from pactum.operators import cell_checks, profile, report, row_issues
+from pactum.session import work_folder
 from pactum.types import Contract, Rule
 from workload import inputs, oracle
 
@@ -297,6 +298,30 @@ ORACLES["profile_columns"] = oracle.query(
         for c in ["customer_id", "mail", "birth_date", "amount", "opt_in", "seen_at", "priority"]))
 
 
+def profile_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of each priority's rows, stored as sketches and added up; the estimates beside the exact number."""
+    df = inputs.deliveries(spark, sf_dir)
+    columns = ["customer_id", "mail", "amount", "opt_in"]
+    path = work_folder(spark, "profiles")
+    profile.profile_sketches(df, columns, ["priority"]).write.parquet(path)
+    merged = profile.read_profiles(profile.merge_profiles(spark.read.parquet(path)), [0.5])
+    exact = profile.profile_columns(df, columns).select("column", F.col("distinct_count").alias("exact"))
+    amounts = df.select(F.col("amount").try_cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").agg(
+        F.expr("percentile(v, 0.45)").alias("low"), F.expr("percentile(v, 0.55)").alias("high")).withColumn("column", F.lit("amount"))
+    middle = merged.join(amounts, "column").select("column", F.expr("q50 BETWEEN low AND high").alias("is_middle"))
+    return merged.join(exact, "column").join(middle, "column", "left").select(
+        "column", "row_count", "blank_count", "min_value", "max_value",
+        (F.abs(F.col("distinct_count") / F.col("exact") - 1) < 0.06).alias("distinct_is_near"), "is_middle")
+
+
+QUERIES["profile_sketches"] = profile_by_priority
+ORACLES["profile_sketches"] = oracle.query(
+    f"SELECT \"column\", count(*) AS row_count, count(*) FILTER (value IS NULL OR {_v} = '') AS blank_count, "
+    f"min(value) FILTER ({_v} <> '') AS min_value, max(value) FILTER ({_v} <> '') AS max_value, true AS distinct_is_near, "
+    "CASE WHEN \"column\" = 'amount' THEN true END AS is_middle FROM cells GROUP BY \"column\"", "deliveries",
+    cells=" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM deliveries" for c in ["customer_id", "mail", "amount", "opt_in"]))
+
+
 def customer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: exact violations of the customer table, and the status that follows from them."""
     counts = row_issues.violation_counts(
