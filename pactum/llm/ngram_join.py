@@ -238,7 +238,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     by_rep = links.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(
         classes.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
-    final = components(by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("node", "rep")
+    # an id with several sets is one node: it ties the classes that it is in
+    several = sets.where("n > 0").groupBy("doc_id").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least <> most").select("doc_id")
+    same_id = sets.where("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "cid").distinct().join(classes, "cid")
+    edges = by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    final = components(edges).withColumnRenamed("node", "rep")
     of_class = classes.join(final, "rep", "left").select("cid", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(of_class, "cid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -60,6 +60,15 @@ def test_a_large_group_of_near_copies_and_split_lists(spark, monkeypatch):
     assert found_components(ngram_join.near_duplicates(df)) == brute_components(rows)
 
 
+def test_an_id_with_several_texts_ties_their_groups(spark):
+    a, b, c, d = (" ".join(words(seed, 30)) for seed in (1, 2, 3, 4))
+    rows = [(5, a), (5, b), (3, b), (9, a), (8, c), (8, c), (8, ""), (8, None), (2, d), (None, d), (None, c), (4, c + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found_components(ngram_join.near_duplicates(df))
+    assert got == brute_components(rows)
+    assert {i: comp for i, n, comp in got if n and i in (3, 5, 9)} == {3: 3, 5: 3, 9: 3}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 60)] + [(3, 3), (300, 290)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
