@@ -3,8 +3,10 @@
 Texts with equal shingle sets form a class, and classes are joined.  All shingles are ordered by how many
 documents their hash bucket has, rare ones first; two sets that are similar enough share a shingle among
 the first few of each (the prefix).  Prefix shingles are shuffled, and each list of classes that share one
-gives candidates under the length and positional filters.  Candidates are verified on whole sets, after a
-suffix filter that bounds the overlap by the sizes of 16 hash ranges.
+gives candidates under the length and positional filters, and a suffix filter on signatures of 512 bits: two sets
+differ in as many shingles as their signatures in bits, at least.  So texts that share a passage and nothing else
+make no pair.  Candidates are verified on whole sets, after a second suffix filter that bounds the overlap by the
+sizes of 16 hash ranges.
 
 A list of near copies would give all pairs.  So each list first ties its classes to its leader, the
 smallest class id, which is the same one in most lists of a group, and classes still outside are compared
@@ -35,6 +37,10 @@ LIST_ROWS = 20_000
 #: Members of a list's largest component that a class outside it is compared with, turn by turn, before
 #: all that is left is compared.
 GUIDES = (4, 12)
+#: Words of a set's signature: each shingle flips one of its bits, so two sets differ in at least as many shingles
+#: as their signatures differ in bits.
+SIGNATURE = [f"s{k}" for k in range(8)]
+SIGNED_TEXTS = 1024
 _U = np.uint64
 
 
@@ -55,20 +61,33 @@ def _sets(batch: pa.RecordBatch, column: str = "text"):
         yield first, last - first, h, text, n, cid.view(np.int64)
 
 
+def _signatures(h: np.ndarray, text: np.ndarray, rows: int) -> np.ndarray:
+    """The signature of each text's set, a row of words each; some texts at a time."""
+    bits, width = (mixed(h) >> _U(55)).astype(np.int64), 64 * len(SIGNATURE)
+    found = np.zeros((rows, len(SIGNATURE)), np.int64)
+    for start in range(0, rows, SIGNED_TEXTS):
+        first, last = np.searchsorted(text, (start, start + SIGNED_TEXTS))
+        some = min(SIGNED_TEXTS, rows - start)
+        odd = np.bincount((text[first:last] - start) * width + bits[first:last], minlength=some * width) & 1
+        found[start : start + some] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(some, -1)
+    return found
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text its id, set size and class; at the end, the task's document counts by hash bucket."""
-    names = ["doc_id", "n", "cid", "bucket", "c"]
+    names = ["doc_id", "n", "cid", *SIGNATURE, "bucket", "c"]
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         doc = ids(batch)
-        for first, rows, h, _, n, cid in _sets(batch):
+        for first, rows, h, text, n, cid in _sets(batch):
             counts += np.bincount((h >> _U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
             none = pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first : first + rows]), pa.array(n), pa.array(cid), *none], names)
+            signed = [pa.array(word) for word in _signatures(h, text, rows).T]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first : first + rows]), pa.array(n), pa.array(cid), *signed, *none], names)
     found = np.flatnonzero(counts)
     if len(found):
         none = pa.nulls(len(found), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(found.astype(np.int32)), pa.array(counts[found])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, *[none] * len(SIGNATURE), pa.array(found.astype(np.int32)), pa.array(counts[found])], names)
 
 
 def _prefixes(counts: np.ndarray):
@@ -110,6 +129,12 @@ def _possible(a: str, b: str) -> Column:
     return length & (most * (100 + PER_CENT) >= (na + nb) * PER_CENT)
 
 
+def _close(a: str, b: str) -> Column:
+    """Suffix filter on signatures: whether two whole sets may be similar enough, whatever their prefixes share."""
+    differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SIGNATURE), F.lit(0))
+    return differ * (100 + PER_CENT) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - PER_CENT)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of a batch whose sets are similar enough."""
     for batch in batches:
@@ -171,8 +196,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = documents(docs)
-    measured = written(texts.mapInArrow(_measure, "doc_id long, n long, cid long, bucket int, c long"), "join-sets")
-    sets = measured.where("bucket IS NULL").select("doc_id", "n", "cid")
+    measured = written(texts.mapInArrow(
+        _measure, f"doc_id long, n long, cid long, {', '.join(f'{s} long' for s in SIGNATURE)}, bucket int, c long"), "join-sets")
+    signed = measured.where("bucket IS NULL").drop("bucket", "c")
+    sets = signed.select("doc_id", "n", "cid")
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
     for bucket, c in measured.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("c")).collect():
         counts[bucket] = c
@@ -191,7 +218,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.least("x.cid", "lead.cid").alias("a"), F.greatest("x.cid", "lead.cid").alias("b")).distinct(), "join-pairs")
 
     # only texts that bit tables can't clear are shuffled: of classes in lists, then of classes in the pairs asked for
-    needed = written(lists.select("cid").distinct().join(classes, "cid"), "join-needed")
+    signatures = signed.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *[F.min(s).alias(s) for s in SIGNATURE])
+    needed = written(lists.select("cid").distinct().join(signatures, "cid"), "join-needed")
     reps = spark.sparkContext.broadcast(bit_table(hashed_ids(needed.select(F.col("rep").alias("doc_id")))))
     sources = needed.join(
         texts.mapInArrow(_among(reps, "doc_id", id_hash), texts.schema).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text"), "rep")
@@ -214,8 +242,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("size"))
         mixed_lists = sizes.groupBy("token").agg(
             F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("size").alias("rows")).where("comps > 1")
-        return written(labelled.join(mixed_lists.select("token", "rows", F.col("top.comp").alias("main")), "token").select(
-            "token", "rows", "main", F.struct("cid", "n", "place", "comp").alias("x")), "join-open")
+        opened = labelled.join(mixed_lists.select("token", "rows", F.col("top.comp").alias("main")), "token")
+        return written(opened.join(needed.select("cid", *SIGNATURE), "cid").select(
+            "token", "rows", "main", F.struct("cid", "n", "place", "comp", *SIGNATURE).alias("x")), "join-open")
 
     def pairs(found: DataFrame) -> DataFrame:
         return found.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
@@ -226,14 +255,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             "best.token", F.col("best.x").alias("y"))
         nth = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("x.cid", F.lit(turn)), "x.cid"))
         guides = open_.where("x.comp = main").withColumn("nth", nth).where(F.col("nth") <= count).select("token", "x")
-        more = written(pairs(lone.join(guides, "token").where(_possible("x", "y"))), "join-pairs")
+        more = written(pairs(lone.join(guides, "token").where(_possible("x", "y") & _close("x", "y"))), "join-pairs")
         links, asked = links.unionByName(verified(more)), asked.unionByName(more)
 
     # what is left: all but one end of an open pair are outside the list's main component
     open_ = open_lists(links)
     outside = open_.where("x.comp <> main").select("token", F.col("x").alias("y"))
     rest = outside.join(open_, "token").where(
-        (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _possible("x", "y"))
+        (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.comp") == F.col("main")) | (F.col("x.cid") < F.col("y.cid"))) & _possible("x", "y") & _close("x", "y"))
     links = links.unionByName(verified(written(pairs(rest), "join-pairs")))
 
     by_rep = links.join(classes.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(
