@@ -39,6 +39,13 @@ def test_weighted_shards(spark):
     assert set(n) == {0, 1} and abs(n[1] / 20_000 - 0.75) < 0.02
 
 
+def test_bounds_of_large_scores_are_not_above_them(spark):
+    rng = random.Random(9)
+    scores = [rng.randrange(1 << 53, 1 << 62) * s for s in (1, -1) for _ in range(300)] + [0, 7, -7, (1 << 53) - 1, (1 << 53) + 1, 1 - (1 << 53)]
+    rows = spark.createDataFrame([(s,) for s in scores], "s long").select("s", topk_search._not_above(F.col("s")).alias("d")).collect()
+    assert all(int(r.d) <= r.s and (abs(r.s) >= 1 << 53 or r.d == r.s) for r in rows)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", 16)
     monkeypatch.setattr(topk_search, "SEGMENT_ROWS", 60)
