@@ -58,6 +58,45 @@ def seeds(words: np.ndarray, owner: np.ndarray, mask: str, salt: int) -> tuple[n
     return mixed(h[places]), places
 
 
+def _runs(group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, first place, step, places) of runs of evenly spaced places; `place` ascends within a group.  Text that
+    repeats itself has few runs however long it is; elsewhere a place is a run of one."""
+    n = len(place)
+    new = np.ones(n, bool)
+    if n > 1:
+        step = np.diff(place)
+        same = group[1:] == group[:-1]
+        new[1:] = ~same
+        new[2:] |= same[:-1] & (step[1:] != step[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, n))
+    steps = np.where(count > 1, place[np.minimum(first + 1, max(n - 1, 0))] - place[first], 0) if n else first
+    return group[first], place[first], steps, count
+
+
+def _shifts(p: np.ndarray, sp: np.ndarray, cp: np.ndarray, q: np.ndarray, sq: np.ndarray, cq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, shift) for pairs of runs, (first, step, count) each: all differences of a place of one and a place of
+    the other.  Runs of one step give as many as both have places together, not as their product."""
+    pair = np.arange(len(p))
+    uneven = (sp != sq) & (cp > 1) & (cq > 1)
+    if uneven.any():  # the shorter run is taken place by place
+        odd = np.flatnonzero(uneven)
+        few = np.minimum(cp, cq)[odd]
+        pair = np.concatenate([np.flatnonzero(~uneven), np.repeat(odd, few)])
+        nth = np.arange(few.sum()) - np.repeat(np.cumsum(few) - few, few)
+        nth = np.concatenate([np.zeros(len(pair) - len(nth), np.int64), nth])
+        cut_p = uneven[pair] & (cp[pair] <= cq[pair])
+        cut_q = uneven[pair] & ~cut_p
+        p, q = p[pair] + nth * np.where(cut_p, sp[pair], 0), q[pair] + nth * np.where(cut_q, sq[pair], 0)
+        cp, cq = np.where(cut_p, 1, cp[pair]), np.where(cut_q, 1, cq[pair])
+        sp, sq = sp[pair], sq[pair]
+    step, count = np.where(cp > 1, sp, sq), cp + cq - 1
+    low = p - q - np.where(cq > 1, sq, 0) * (cq - 1)
+    owner = np.repeat(np.arange(len(low)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return pair[owner], low[owner] + nth * step[owner]
+
+
 class Benchmark:
     """Hashed words and seeds of one part of the benchmark."""
 
@@ -71,33 +110,38 @@ class Benchmark:
         sizes = np.diff(self.firsts)
         self.seeds, self.short = [], {}
         for salt, mask in enumerate(MASKS):
-            self.seeds.append(_index(*seeds(self.words, owner, mask, salt), mask, salt, lambda at: sizes[owner[at]] >= WINDOW))
+            self.seeds.append(_index(*seeds(self.words, owner, mask, salt), owner, mask, salt, lambda at: sizes[owner[at]] >= WINDOW))
         for size in np.unique(sizes[(sizes > 0) & (sizes < WINDOW)]).tolist():
             self.short[size] = [
-                _index(*seeds(self.words, owner, mask, salt), mask, salt, lambda at: sizes[owner[at]] == size)
+                _index(*seeds(self.words, owner, mask, salt), owner, mask, salt, lambda at: sizes[owner[at]] == size)
                 for salt, mask in enumerate(short_masks(size), len(MASKS))]
 
-    def hits(self, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, item, shift) rows as two columns of places: words of the documents and of the benchmark."""
-        left, right = [], []
+    def alignments(self, words: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, shift) of every hit, each once: word w of the benchmark stands beside word w + shift."""
+        found = []
         for seed in self.seeds:
             places, k = _met(seed, words, owner)
-            a, b = _expanded(seed, places, k)
-            left.append(a)
-            right.append(b)
-        if not left:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(left), np.concatenate(right)
+            if not len(places):
+                continue
+            values = len(seed[2])
+            order = np.lexsort((places, k, owner[places]))
+            group, p, sp, cp = _runs((owner[places] * values + k)[order], places[order])
+            a, b = _expanded(seed, np.arange(len(group)), group % values)
+            q, sq, cq = (column[b] for column in seed[7])
+            pair, shift = _shifts(p[a], sp[a], cp[a], q, sq, cq)
+            found.append(np.stack([owner[p[a]][pair], self.owner[q][pair], shift]))
+        if found:
+            rows = np.concatenate(found, axis=1)
+            rows = rows[:, np.lexsort(rows[::-1])]
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            yield from zip(*rows[:, new].tolist())
 
     def overlaps(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, first word, words, matches) of every verified alignment, its windows joined."""
         owner = owners(firsts)
         found = self.short_overlaps(words, firsts, owner)
-        left, right = self.hits(words, owner)
-        if not len(left):
-            return found
-        pairs = np.unique(np.stack([owner[left], self.owner[right], left - right]), axis=1)
-        for text, item, shift in pairs.T:
+        for text, item, shift in self.alignments(words, owner):
             # the part of the alignment that lies in both
             lo = max(self.firsts[item], firsts[text] - shift)
             hi = min(self.firsts[item + 1], firsts[text + 1] - shift)
@@ -125,6 +169,7 @@ class Benchmark:
                     new[1:] = (k[1:] != k[:-1]) | (owner[places[1:]] != owner[places[:-1]])
                     places, k = places[new], k[new]
                 a, b = _expanded(seed, places, k)
+                b = seed[5][b]  # such an item has one place, so a run is a place
                 same = sum((words[a + j] == self.words[b + j] for j in range(size)), np.zeros(len(a), np.int64))
                 good = same >= size - misses(size)
                 left.append(np.stack([a[good], same[good]]))
@@ -140,19 +185,21 @@ class Benchmark:
         return found
 
 
-def _index(h: np.ndarray, at: np.ndarray, mask: str, salt: int, wanted) -> tuple:
-    """The wanted places of the benchmark by hash."""
+def _index(h: np.ndarray, at: np.ndarray, owner: np.ndarray, mask: str, salt: int, wanted) -> tuple:
+    """The wanted places of the benchmark by hash, as runs inside one item."""
     keep = wanted(at)
     h, at = h[keep], at[keep]
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
-    values, first = np.unique(h, return_index=True)
-    return mask, salt, values, first, np.append(first[1:], len(h)), at, _filter(values)
+    values, k = np.unique(h, return_inverse=True)
+    _, q, step, count = _runs(k * (int(owner[-1]) + 1 if len(owner) else 1) + owner[at], at)
+    first = np.searchsorted(h[np.cumsum(count) - count] if len(h) else h, values)
+    return mask, salt, values, first, np.append(first[1:], len(q)), q, _filter(values), (q, step, count)
 
 
 def _met(seed: tuple, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose hash the benchmark has, and its number among the seed's values."""
-    mask, salt, values, _, _, _, maybe = seed
+    mask, salt, values, maybe = seed[0], seed[1], seed[2], seed[6]
     if not len(values):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     h, places = seeds(words, owner, mask, salt)
@@ -163,13 +210,13 @@ def _met(seed: tuple, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray,
     return places[same], k[same]
 
 
-def _expanded(seed: tuple, places: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each place with all places of the benchmark that have its value."""
-    _, _, _, first, last, at, _ = seed
+def _expanded(seed: tuple, rows: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with the numbers of all runs of the benchmark that have its value."""
+    first, last = seed[3], seed[4]
     if not len(k):
-        return places, k
+        return rows, k
     count = last[k] - first[k]
-    return np.repeat(places, count), at[np.repeat(first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    return np.repeat(rows, count), np.repeat(first[k] - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def _filter(values: np.ndarray) -> np.ndarray:

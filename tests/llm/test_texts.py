@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -167,3 +168,27 @@ def test_surrogates_of_long_and_crowded_texts(spark):
     assert len(got[1].text) < 100 and got[3].text == rows[2][1]
     one, two, three = re.fullmatch(r"see \.\.\.(\S+), (\S+) -- \+(\S+)", got[4].text).groups()
     assert one == two == three != "joe@x.org" and got[2].text[-20:].split(" ")[-1] != "q@b.co" and got[6].text.startswith("." * 300_000)
+
+
+def test_alignments_of_repetitive_words_equal_all_hits():
+    rng = random.Random(21)
+    for turn in range(150):
+        letters = rng.choice(["a", "ab", "abc"])
+        item = [" ".join(rng.choice([letters * 9, "".join(rng.choice(letters) for _ in range(30))])[: rng.randrange(17, 28)]) for _ in range(2)]
+        texts = [" ".join(rng.choice([letters * 20, "".join(rng.choice(letters) for _ in range(40))])) for _ in range(2)]
+        bench = decontaminate.Benchmark(list(enumerate(item)))
+        data = " ".join(texts).encode()
+        found, firsts = hash_words(np.frombuffer(data, np.uint8), np.array([0, len(texts[0]) + 1, len(data)]))
+        owner = np.repeat(np.arange(2), np.diff(firsts))
+        want = set()
+        for salt, mask in enumerate(decontaminate.MASKS):
+            ours, theirs = decontaminate.seeds(found, owner, mask, salt), decontaminate.seeds(bench.words, bench.owner, mask, salt)
+            want |= {(int(owner[a]), int(bench.owner[b]), int(a - b)) for h, a in zip(*ours) for g, b in zip(*theirs) if h == g}
+        assert list(bench.alignments(found, owner)) == sorted(want)
+
+
+def test_a_long_repetitive_text_meets_a_repetitive_item(spark):
+    rows = [(1, "na " * 20_000), (2, "na no " * 10_000), (3, "x " + "na " * 40), (4, "other words only")]
+    bench = spark.createDataFrame([(7, "na " * 3_000), (8, "na no " * 1_500)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.n_matches) for r in decontaminate.benchmark_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 7): (0, 3_000, 3_000), (2, 8): (0, 3_000, 3_000), (3, 7): (1, 40, 40)}
