@@ -211,3 +211,24 @@ def test_budget_is_known_before_a_scan(spark, tmp_path):
     assert {r.dataset: (r.data_rows, r.breach) for r in costs.collect()} == {"small": (10, None), "large": (100, "data_rows")}
     plan = gate.count_rows({m[0]: m[1] for m in members})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReadSchema: struct<>") == 2
+
+
+def test_nearest_of_many_queries_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.integers(-2, 3, size=(300, 6)), rng.normal(0, 1, (900, 6)) + rng.integers(0, 4, (900, 1)) * 8, np.zeros((50, 6))])
+    rows = [(n, p.tolist()) for n, p in enumerate(points.astype(float))] + [(5000, None), (5001, [1.0]), (5002, [float("nan")] * 6), (None, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    asked = [(n, points[n].tolist()) for n in range(0, len(points), 3)] + [(9000, (points[0] + 100).tolist()), (9001, None), (9002, [1.0, 2.0])]
+    queries = spark.createDataFrame(asked, "query_id long, vector array<double>")
+    got = {(r.query_id, r["rank"], r.vec_id, r.distance) for r in retrieve.knn_join(df, "id", "v", queries, 4).collect()}
+    want = set()
+    for q, p in asked:
+        if p is None or len(p) != 6:
+            continue
+        distance = ((points - np.array(p)) ** 2).sum(axis=1)
+        want |= {(q, rank, int(n), float(distance[n])) for rank, n in enumerate(np.lexsort((np.arange(len(points)), distance))[:4], 1)}
+    assert got == want
+    assert retrieve.knn_join(df, "id", "v", queries.limit(0), 4).count() == 0 and retrieve.knn_join(df.limit(0), "id", "v", queries, 4).count() == 0
+    # more than there are
+    assert retrieve.knn_join(df.filter("id < 3"), "id", "v", queries.limit(2), 7).count() == 6
+    assert retrieve.knn_topk(df, "id", "v", [], 3).count() == 0

@@ -51,6 +51,23 @@ ORACLES["knn_topk"] = oracle.query(
     "SELECT query_id, rank, vec_id, round(distance, 4) AS distance FROM hits", "hits")
 
 
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 5 asks for its five nearest, itself among them."""
+    vectors = inputs.table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieve.knn_join(vectors, "vec_id", "embedding", asked, 5).withColumn("distance", F.round("distance", 4))
+
+
+QUERIES["knn_join"] = knn_join
+ORACLES["knn_join"] = """
+    SELECT query_id, CAST(rank AS integer) AS rank, vec_id, round(distance, 4) AS distance FROM (
+      SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
+        SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding),
+          lambda p: (CAST(p[1] AS double) - CAST(p[2] AS double)) ^ 2)) AS distance
+        FROM embeddings q, embeddings e WHERE q.vec_id % 5 = 0))
+    WHERE rank <= 5"""
+
+
 def reference_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feed's report with the passages of its topic; the first piece of document n stands for
     vector n."""
