@@ -27,11 +27,12 @@ PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)" + _LEAD + r"*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
     "secret": r"(?<=\b(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_\-]{8,}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?\d{4}){3,7}\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?:(?: ?\d{4}){3,7}\b|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d.]\d)",
     "ip": r"(?<![\d.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)",
-    "phone": r"(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
+             r"|(?<![\w.+-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![\d-])",
     "name": r"(?<=\b(?:" + _ALL_TITLES + r")\.?\s)\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 TYPES = tuple(PATTERNS)
@@ -39,21 +40,38 @@ ANY = "|".join(PATTERNS.values())
 #: A text without any of these holds no entity.
 HINT = r"[@\d]|\b(?:" + _ALL_TITLES + r")\b|secret|token|password|passwd|api_key"
 SALTS, ATTEMPTS = 16, 50
+#: An account number in any grouping; where it isn't digits in fours, its check digits must be right.
+_IBAN_DIGITS = r"^[A-Z]{2}\d{2}(?: ?\d{4}){3,7}$"
+_SECRET_BEFORE = r"(?:password|passwd|secret|token|api_key)\s{0,2}[=:]\s{0,2}[\"']?$"
 
 
-def _kind(entity: Column) -> Column:
+def _kind(entity: Column, before: Column) -> Column:
+    """The type of a match; null for a number that is none of the types."""
     kind = None
+    secret = before.rlike(_SECRET_BEFORE)
     for name, pattern in PATTERNS.items():
         if name in ("secret", "name"):
             continue  # told by what stands before them; a match of these only is one of the two
         hit = entity.rlike("^(?:" + pattern + ")$")
         if name == "card":
             hit = hit & luhn(F.regexp_replace(entity, r"\D", ""))
+        if name == "iban":
+            account = F.replace(entity, F.lit(" "), F.lit(""))
+            right = mod_97(F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))) == 1
+            sound = entity.rlike(_IBAN_DIGITS) | right
+            kind = kind.when(hit & sound, name).when(hit & ~secret, F.lit(None))
+            continue
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    return kind.when(entity.rlike(r"^\p{Lu}\p{L}+( \p{Lu}\p{L}+)?$") & ~entity.rlike(r"\d"), "name").when(
+    return kind.when(secret, "secret").when(entity.rlike(r"^\p{Lu}\p{L}+( \p{Lu}\p{L}+)?$") & ~entity.rlike(r"\d"), "name").when(
         entity.rlike(r"^[\d .()+-]+$"), F.lit(None)).otherwise("secret")
 
 
+def mod_97(text: Column) -> Column:
+    """A text of digits and capitals as a number (A is 10, Z is 35), modulo 97."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.between("0", "9"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
 def luhn(digits: Column) -> Column:
     """Whether the check sum of a digit string is right."""
     spread = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda d: d != "")), lambda d, i: F.when(
@@ -89,17 +107,25 @@ def _formatted(canonical: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(canonical, ""), lambda c: c != ""), one), "")
 
 
-def _name(stream: Column) -> Column:
-    """A first name of the gender and a family name, from syllables of the script; with every attempt the family
-    name is a syllable longer, so the space of names never ends."""
-    cyrillic = F.col("canonical").rlike(r"\p{IsCyrillic}")
+def _stream(key: str, *parts: Column | str) -> Column:
+    return F.sha2(F.concat_ws("\x00", F.lit(key), *parts), 512)
+
+
+def _name(key: str, stream: Column) -> Column:
+    """A first name of the gender and a family name, from syllables of the script.  The family name depends on the
+    entity's last word alone, so `Mr. Karl Berg` and `Mr. Berg` stay one family; with every attempt a name that
+    collides is a syllable longer (the first name, or the family name where it stands alone), so the space of names
+    never ends."""
+    c = F.col("canonical")
+    cyrillic, alone = c.rlike(r"\p{IsCyrillic}"), ~c.contains(" ")
+    kin = _stream(key, F.lit("name"), F.substring_index(c, " ", -1), F.when(alone, F.col("attempt")).otherwise(0).cast("string"))
 
-    def syllable(at: Column) -> Column:
-        return F.when(cyrillic, F.element_at(F.array(*map(F.lit, cyr)), _byte(stream, at) % len(cyr) + 1)).otherwise(
-            F.element_at(F.array(*map(F.lit, latin)), _byte(stream, at) % len(latin) + 1))
+    def syllable(of: Column, at: Column) -> Column:
+        return F.when(cyrillic, F.element_at(F.array(*map(F.lit, cyr)), _byte(of, at) % len(cyr) + 1)).otherwise(
+            F.element_at(F.array(*map(F.lit, latin)), _byte(of, at) % len(latin) + 1))
 
-    def syllables(base: int, count: int) -> Column:
-        return F.concat(*[syllable(F.lit(base + k)) for k in range(count)])
+    def syllables(of: Column, base: int, count: int) -> Column:
+        return F.concat(*[syllable(of, F.lit(base + k)) for k in range(count)])
 
     latin = ["ba", "de", "fi", "ga", "ho", "ka", "le", "mi", "no", "pa", "ro", "sa", "te", "vi", "za", "lu"]
     cyr = ["ба", "де", "фи", "га", "хо", "ка", "ле", "ми", "но", "па", "ро", "са", "те", "ви", "за", "лу"]
@@ -108,26 +134,31 @@ def _name(stream: Column) -> Column:
     ending = F.when(F.col("gender") == "female", female).otherwise(male)
     # no syllable at attempt 0: a sequence from 1 to 0 would count down
     tries = F.filter(F.sequence(F.lit(0), F.col("attempt")), lambda k: k > 0)
-    more = F.array_join(F.transform(tries, lambda k: syllable(k + 10)), "")
-    family = F.initcap(F.concat(syllables(8, 3), more, F.when(cyrillic & (F.col("gender") == "female"), "ва").when(cyrillic, "в").otherwise("s")))
-    first = F.initcap(F.concat(syllables(0, 2), ending))
-    return F.when(F.col("canonical").contains(" "), F.concat(first, F.lit(" "), family)).otherwise(family)
+    more = F.array_join(F.transform(tries, lambda k: syllable(stream, k + 10)), "")
+    family = F.initcap(F.concat(syllables(kin, 8, 3), F.when(alone, more).otherwise(""), F.when(
+        cyrillic & (F.col("gender") == "female"), "ва").when(cyrillic, "в").otherwise("s")))
+    first = F.initcap(F.concat(syllables(stream, 0, 2), more, ending))
+    return F.when(alone, family).otherwise(F.concat(first, F.lit(" "), family))
 
 
 def _surrogate(key: str) -> Column:
-    stream = F.sha2(F.concat_ws("\x00", F.lit(key), "kind", "canonical", F.col("attempt").cast("string")), 512)
+    stream = _stream(key, "kind", "canonical", F.col("attempt").cast("string"))
     c = F.col("canonical")
     digits = _formatted(c, stream)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     checks = F.array(*[F.concat(body, F.lit(str(d))) for d in range(10)])
     octet = [(_byte(stream, F.lit(k)) % 254 + 1).cast("string") for k in range(4)]
     local = _formatted(F.substring_index(c, "@", 1), stream)
+    domain = F.substring(_stream(key, F.lit("domain"), F.substring_index(c, "@", -1)), 1, 8)
+    country, account = F.substring(c, 1, 2), _formatted(F.substring(c, F.lit(5), F.length(c)), stream)
+    check = F.lpad((98 - mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
     return (
         F.when(F.col("kind") == "card", F.element_at(F.filter(checks, luhn), 1))
         .when(F.col("kind") == "ip", F.concat_ws(".", *octet))
-        .when(F.col("kind") == "email", F.concat(local, F.lit("@mail"), F.substring(stream, F.lit(100), F.lit(3)), F.lit(".example.org")))
+        .when(F.col("kind") == "iban", F.concat(country, check, account))
+        .when(F.col("kind") == "email", F.concat(local, F.lit("@mail"), domain, F.lit(".example.org")))
         .when(F.col("kind") == "key", F.concat(F.lit("AKIA"), _formatted(F.substring(c, 5, 99), stream)))
-        .when(F.col("kind") == "name", _name(stream))
+        .when(F.col("kind") == "name", _name(key, stream))
         .otherwise(digits)
     )
 
@@ -175,7 +206,8 @@ def replace_private(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     Null texts stay null and empty ones empty, with no entities; texts without entities are never moved.
     All mentions of an entity in the corpus get the same surrogate; a different key gives other surrogates.
     An entity that a third of all documents name is joined in SALTS parts.  Numbers that look like cards
-    but fail the check sum stay.  Repeated rows and null ids stay as they are; other columns are left out.
+    but fail the check sum stay, and so do letters and digits that look like an account number but fail its check.
+    A person's gender is that of most of their titles.  Repeated rows and null ids stay as they are; other columns are left out.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = texts.withColumn("ents", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -183,10 +215,11 @@ def replace_private(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     with_some = written(
         found.where(F.size("ents") > 0).withColumn("parts", F.split("text", ANY, -1)).withColumn("row", F.xxhash64("doc_id", "text")).drop("text"), "pii-found")
     mentions = with_some.select("row", F.posexplode("ents").alias("at", "entity"), "parts").select(
-        "row", "entity", F.right(F.element_at("parts", F.col("at") + 1), F.lit(12)).alias("before")).withColumn("kind", _kind(F.col("entity")))
+        "row", "entity", F.right(F.element_at("parts", F.col("at") + 1), F.lit(16)).alias("before")).withColumn("kind", _kind(F.col("entity"), F.col("before")))
     mentions = mentions.where("kind IS NOT NULL").withColumn("canonical", _canonical()).withColumn(
         "gender", F.when(F.col("kind") == "name", F.when(female, "female").otherwise("male")))
-    entities = mentions.groupBy("kind", "canonical").agg(F.min("gender").alias("gender"))
+    entities = mentions.groupBy("kind", "canonical").agg(F.when(
+        F.col("kind") == "name", F.when(F.count_if(F.col("gender") == "female") > F.count_if(F.col("gender") == "male"), "female").otherwise("male")).alias("gender"))
     table = surrogate_table(entities, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = mentions.select("row", "entity", "kind", "canonical").distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     changed = salted.join(table, ["kind", "canonical", "salt"]).withColumn("new", _poured())
@@ -194,6 +227,11 @@ def replace_private(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("entity", F.struct("new", "kind")))).alias("to"))
     rebuilt = with_some.join(by_row, "row", "left").withColumn(
         "to", F.coalesce("to", F.create_map().cast("map<string,struct<new:string,kind:string>>")))
+    # whole names go wherever else they stand in the text, with or without a title
+    full = F.filter(F.map_entries("to"), lambda e: (e["value"]["kind"] == "name") & e["key"].contains(" "))
+    rebuilt = rebuilt.withColumn("full", full).withColumn("parts", F.when(F.size("full") == 0, F.col("parts")).otherwise(F.transform(
+        "parts", lambda p: F.aggregate("full", p, lambda text, e: F.regexp_replace(
+            text, F.concat(F.lit(r"(?<!\p{L})"), e["key"], F.lit(r"(?!\p{L})")), e["value"]["new"])))))
     out = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.when(
         i < F.size("ents"), F.coalesce(F.element_at("to", F.get("ents", i))["new"], F.get("ents", i))).otherwise(""))), "")
     kinds = F.transform("ents", lambda e: F.element_at("to", e)["kind"])

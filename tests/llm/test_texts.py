@@ -192,3 +192,28 @@ def test_a_long_repetitive_text_meets_a_repetitive_item(spark):
     bench = spark.createDataFrame([(7, "na " * 3_000), (8, "na no " * 1_500)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.n_matches) for r in decontaminate.benchmark_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(1, 7): (0, 3_000, 3_000), (2, 8): (0, 3_000, 3_000), (3, 7): (0, 41, 40)}  # one word may differ
+
+
+def test_more_forms_of_private_data_and_one_surrogate_a_person(spark):
+    def number(account):
+        return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+    rows = [
+        (1, "call 555-123-4567, 212.555.0187 or +44 20 7946 0958."), (2, "DE89370400440532013000, GB82 WEST 1234 5698 7654 32; not GB83WEST12345698765432"),
+        (3, "password: 12345678 and number 12345678"), (4, "Mr. Karl Berg met Karl Berg; Mr. Berg left Bergen with Karl Bergmann"), (5, "Mrs. Karl Berg"), (6, "Mr. Karl Berg"),
+        (7, "a.lee@corp.example.com b.lee@corp.example.com"), (8, "version 1.2.3, order 123-456-78901, 2020-10-11 and 555.123.4567.8"),
+    ]
+    got = {r.doc_id: r for r in replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1].n_phone == 3 and re.fullmatch(r"call \d{3}-\d{3}-\d{4}, \d{3}\.\d{3}\.\d{4} or \+\d\d \d\d \d{4} \d{4}\.", got[1].text)
+    assert not any(x in got[1].text for x in ("123-4567", "555.0187", "7946"))
+    one, two = re.fullmatch(r"(\S+), (GB[\dA-Z ]+); not GB83WEST12345698765432", got[2].text).groups()
+    assert got[2].n_iban == 2 and one[:2] == "DE" and one != "DE89370400440532013000" and number(one) == number(two.replace(" ", "")) == 1
+    assert re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", two)
+    assert got[3].n_secret == 1 and got[3].text.startswith("password: ") and "12345678" not in got[3].text[:20]
+    first, again, family, rest = re.fullmatch(r"Mr\. (\w+ \w+) met (\w+ \w+); Mr\. (\w+) left (.*)", got[4].text).groups()
+    assert first == again and first.split()[1] == family and rest == "Bergen with Karl Bergmann"
+    # two titles of three are a man's
+    assert got[6].text == f"Mr. {first}" and got[5].text == f"Mrs. {first}" and first.split()[0].endswith("n")
+    a, b = got[7].text.split()
+    assert a.split("@")[1] == b.split("@")[1] and a != b
+    assert got[8].text == rows[7][1]
