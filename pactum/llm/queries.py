@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactum.llm import centroids, merkle
+from pactum.llm import centroids, merkle, oracles
 from pactum.llm.frames import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -108,6 +108,9 @@ QUERIES = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": oracles.NGRAM_JOIN,
+    "op3_repeated_bytes": oracles.REPEATED_BYTES,
+    "op10_exact_top_k": oracles.TOP_K,
     "op11_centroid_clusters": centroids.oracle_sql(),
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
