@@ -85,45 +85,47 @@ def window_keys(form: Column, sizes: Column, mark: str) -> Column:
     return F.array_distinct(F.flatten(windows))
 
 
-def _pieces(length: Column) -> list[tuple[Column, Column]]:
-    """(start, size) of the three pieces of a name of this length."""
-    base, rest = F.floor(length / PIECES).cast("int"), (length % PIECES).cast("int")
-    second, third = base + F.when(rest == 2, 1).otherwise(0), base + F.when(rest >= 1, 1).otherwise(0)
-    return [(F.lit(1), base), (base + 1, second), (base + second + 1, third)]
+def _pieces(length: str) -> list[tuple[str, str]]:
+    """(start, size) of the three pieces of a name of this length, as SQL; the last ones are a letter longer where
+    the length isn't a multiple of three."""
+    base = f"CAST({length} DIV {PIECES} AS INT)"
+    second, third = f"({base} + IF({length} % {PIECES} = 2, 1, 0))", f"({base} + IF({length} % {PIECES} >= 1, 1, 0))"
+    return [("1", base), (f"({base} + 1)", second), (f"({base} + {second} + 1)", third)]
 
 
-def _piece_key(number: int, length: Column, piece: Column) -> Column:
-    return F.concat(F.lit(f"={number}:"), length.cast("string"), F.lit(":"), piece)
+def _piece_key(number: int, length: str, piece: str) -> str:
+    return f"concat('={number}:', CAST({length} AS STRING), ':', {piece})"
 
 
-def piece_keys(form: Column) -> Column:
-    """The three keys of a received name; none where it is too short for the edit rule."""
-    length = F.length(form)
-    keys = [_piece_key(n, length, F.substring(form, start, size)) for n, (start, size) in enumerate(_pieces(length))]
-    return F.when(length >= EDIT_MIN_LENGTH, F.array(*keys)).otherwise(F.array().cast("array<string>"))
+_NONE = "CAST(array() AS array<string>)"
 
 
-def _cut(form: Column, starts: Column, size: Column, number: int, length: Column) -> Column:
-    return F.transform(starts, lambda at: _piece_key(number, length, F.substring(form, at, size)))
+def piece_keys(form: str) -> Column:
+    """The three keys of a received name; none where it is too short for the edit rule."""
+    length = f"length({form})"
+    keys = [_piece_key(n, length, f"substring({form}, {start}, {size})") for n, (start, size) in enumerate(_pieces(length))]
+    return F.expr(f"IF({length} >= {EDIT_MIN_LENGTH}, array({', '.join(keys)}), {_NONE})")
 
 
-def selected_keys(form: Column) -> Column:
+def selected_keys(form: str) -> Column:
     """The keys of all received names within the edit distance of an expected one, and few others."""
-    length, found = F.length(form), []
+    length, found = f"length({form})", []
     for longer in range(-EDIT_DISTANCE, EDIT_DISTANCE + 1):
-        other = length - longer  # the received name's length
+        other = f"({length} - {longer})"  # the received name's length
         for n, (start, size) in enumerate(_pieces(other)):
             tail = EDIT_DISTANCE - n
-            first = F.greatest(F.lit(1), start - n, start + longer - tail)
-            last = F.least(length - size + 1, start + n, start + longer + tail)
-            starts = F.when((other >= EDIT_MIN_LENGTH) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-            found.append(_cut(form, starts, size, n, other))
-    return F.when(length >= EDIT_MIN_LENGTH, F.array_distinct(F.flatten(F.array(*found)))).otherwise(F.array().cast("array<string>"))
+            first = f"greatest(1, {start} - {n}, {start} + {longer} - {tail})"
+            last = f"least({length} - {size} + 1, {start} + {n}, {start} + {longer} + {tail})"
+            starts = f"IF({other} >= {EDIT_MIN_LENGTH} AND {first} <= {last}, sequence({first}, {last}), CAST(array() AS array<int>))"
+            found.append(f"transform({starts}, at -> {_piece_key(n, other, f'substring({form}, at, {size})')})")
+    return F.expr(f"IF({length} >= {EDIT_MIN_LENGTH}, array_distinct(flatten(array({', '.join(found)}))), {_NONE})")
 
 
-def expected_keys(form: Column, received_sizes: Column) -> Column:
-    return F.concat(F.array(anchor_key(form, "<")), window_keys(form, received_sizes, ">"), selected_keys(form))
+def expected_keys(form: str, received_sizes: Column) -> Column:
+    """All keys of an expected name in the column `form`."""
+    return F.concat(F.array(anchor_key(F.col(form), "<")), window_keys(F.col(form), received_sizes, ">"), selected_keys(form))
 
 
-def received_keys(form: Column, expected_sizes: Column) -> Column:
-    return F.concat(F.array(anchor_key(form, ">")), window_keys(form, expected_sizes, "<"), piece_keys(form))
+def received_keys(form: str, expected_sizes: Column) -> Column:
+    """All keys of a received name in the column `form`."""
+    return F.concat(F.array(anchor_key(F.col(form), ">")), window_keys(F.col(form), expected_sizes, "<"), piece_keys(form))

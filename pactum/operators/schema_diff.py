@@ -74,9 +74,9 @@ def similar_names(wanted: DataFrame, received: DataFrame) -> DataFrame:
     once and not once a dataset.  Candidates come from an equi-join on shared keys, never from all pairs.
     """
     left = _with_sizes(wanted, received).select(
-        "contract", F.col("form").alias("exp_form"), F.explode(names.expected_keys(F.col("form"), F.col("sizes"))).alias("block"))
+        "contract", F.col("form").alias("exp_form"), F.explode(names.expected_keys("form", F.col("sizes"))).alias("block"))
     right = _with_sizes(received, wanted).select(
-        "contract", F.col("form").alias("src_form"), F.explode(names.received_keys(F.col("form"), F.col("sizes"))).alias("block"))
+        "contract", F.col("form").alias("src_form"), F.explode(names.received_keys("form", F.col("sizes"))).alias("block"))
     return left.join(right, ["contract", "block"]).filter(
         names.is_similar(F.col("exp_form"), F.col("src_form"))).select("contract", "exp_form", "src_form").distinct()
 
