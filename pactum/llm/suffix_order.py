@@ -9,6 +9,7 @@ or sorted a second time.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
 
@@ -21,8 +22,11 @@ def lyndon_pointers(text: bytes) -> tuple[list[int], list[int]]:
     n = len(text)
     after, before = [n] * n, [-1] * n
     for i in range(n - 1, -1, -1):
-        j = i + 1
-        while j < n and text[i:j] < text[j : after[j]]:
+        first, j = text[i], i + 1
+        while j < n:
+            other = text[j]  # most words differ in their first byte
+            if first > other or (first == other and text[i:j] >= text[j : after[j]]):
+                break
             before[j] = i
             j = after[j]
         after[i] = j
@@ -37,14 +41,14 @@ def suffix_order(texts: Sequence[bytes]) -> list[int]:
     after: list[int] = []
     before: list[int] = []
     group: list[list[int] | None] = []
-    groups: dict[bytes, list[int]] = {}
+    groups: defaultdict[bytes, list[int]] = defaultdict(list)
     ends = []
     for text in texts:
         base = len(after)
         own_after, own_before = lyndon_pointers(text)
         after += [j + base for j in own_after]
         before += [j + base if j >= 0 else -1 for j in own_before]
-        group += [groups.setdefault(text[i:j], []) for i, j in enumerate(own_after)]
+        group += [groups[text[i:j]] for i, j in enumerate(own_after)]
         # the empty suffix at the end: smaller than all others, and no text's suffix reaches past it
         ends.append(len(after))
         after.append(-1)
@@ -59,10 +63,11 @@ def suffix_order(texts: Sequence[bytes]) -> list[int]:
     # groups are written from the highest down, so that the lowest is taken from the end first
     ranked = [groups[word] for word in sorted(groups, reverse=True)]
     while ranked:
-        for suffix in ranked.pop():  # grows while it is read where a prefix follows itself
-            order.append(suffix)
+        members = ranked.pop()
+        for suffix in members:  # grows while it is read where a prefix follows itself
             i = suffix - 1
-            while i >= 0 and after[i] == suffix:
+            while after[i] == suffix:  # no suffix comes before the first: -1 is the last end, which has nothing after it
                 group[i].append(i)
                 i = before[i]
+        order += members
     return order
