@@ -147,3 +147,18 @@ def test_stages_judge_texts_without_an_id_and_repeated_rows(spark, tmp_path):
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
     kept = corpus_pipeline.decontamination(spark, df, str(tmp_path))
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, one), (5, two), (6, two)])
+
+
+def test_top_k_asks_with_every_row_of_a_query_id(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(topk_search, "SEGMENT_ROWS", 30)
+    rng = random.Random(11)
+    rows = [(k, [rng.gauss(0, 0.3) for _ in range(4)]) for k in range(90)]
+    rows += [(20, [-x for x in rows[20][1]]), (40, [0.5, 0.5]), (41, [0.25, -0.5]), (42, [-0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = set()
+    for q in {i for i, _ in good if i % 20 == 0}:
+        scored = [(-sum(a * b for a, b in zip(v, w)), i) for p, v in good if p == q for i, w in good if i != q and len(w) == len(v)]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scored)[:20])}
+    assert {tuple(r) for r in topk_search.exact_top_k(df, 20).collect()} == want
