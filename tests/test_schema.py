@@ -149,3 +149,20 @@ def test_naming_and_versions(spark):
     assert found == {
         ("A", "type changed", "potentially breaking"), ("b", "format changed", "potentially breaking"),
         ("c", "optional column removed", "compatible"), ("d", "required column added", "breaking")}
+
+
+def test_a_fleet_read_from_files_is_never_broadcast(spark, tmp_path):
+    """Files of a large fleet may look small to the optimizer; only the rules may go whole to every task."""
+    contract = Contract("c", [Rule("id", "bigint"), Rule("mail", "string")])
+    fleet = spark.range(2000).selectExpr("concat('d', id) AS dataset", "'c' AS contract")
+    fleet.write.parquet(str(tmp_path / "fleet"))
+    fleet.selectExpr("dataset", "0 AS pos", "'mial' AS column", "'string' AS type", "false AS required").write.parquet(str(tmp_path / "columns"))
+    align = sd.aligned(spark.read.parquet(str(tmp_path / "fleet")), rules_frame(spark, contract), spark.read.parquet(str(tmp_path / "columns")))
+    for frame in (align, sd.renamed_columns(align), sd.rename_similarity(align)):
+        plan = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+        for n, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                depth = len(line) - len(line.lstrip(" :+-"))
+                below = [x for x in plan[n + 1:]][: next((k for k, x in enumerate(plan[n + 1:]) if len(x) - len(x.lstrip(" :+-")) <= depth), None)]
+                assert not any("FileScan" in x for x in below), "\n".join(plan)
+    assert sd.renamed_columns(align).count() == 2000
