@@ -217,3 +217,12 @@ def test_more_forms_of_private_data_and_one_surrogate_a_person(spark):
     a, b = got[7].text.split()
     assert a.split("@")[1] == b.split("@")[1] and a != b
     assert got[8].text == rows[7][1]
+
+
+def test_contexts_are_the_most_frequent_words_even_when_each_is_rare(spark):
+    common = [f"often{k}" for k in range(language_model.CLASSES - 1)]
+    text = " ".join(common * 3 + [f"once{k}" for k in range(20_000)])
+    head, _, _, n = language_model.train(spark.createDataFrame([(text,)], "text string"))
+    assert n == len(common) * 3 + 20_001
+    want, _, _ = language_model.tokens(np.frombuffer(" ".join(common).encode(), np.uint8), np.array([0, len(" ".join(common))]))
+    assert sorted(head.contexts.tolist()) == sorted(want[:-1].tolist())
