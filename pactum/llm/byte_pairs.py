@@ -160,6 +160,20 @@ class Vocabulary:
     def memo(self) -> dict[bytes, list[int]]:
         return {}
 
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every two tokens whose bytes together are a token, as left id << 32 | right id (ascending), and the id
+        of that token; their number is at most the vocabulary's bytes."""
+        ranks = self.ranks
+        found = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        keys = np.array(sorted(found), np.int64)
+        return keys, np.array([found[k] for k in keys.tolist()], np.int64)
+
     @functools.cached_property
     def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens' bytes, where each id starts, and its size (-1 for an id that there isn't)."""
@@ -228,6 +242,42 @@ def merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
+def merged_all(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of many pieces at once (piece k: data[starts[k] : starts[k] + sizes[k]]), and how many each
+    has, as `merged` gives them: each round merges, in every piece that still can, its pair of lowest rank,
+    leftmost of equals.  Symbols of all pieces stand in one row, in order, as token ids; two of them make a token
+    if the vocabulary's pairs say so.  A piece without such a pair is done."""
+    keys, joined = vocabulary.pairs
+    single = np.zeros(256, np.int64)
+    single[[t[0] for t in vocabulary.tokens if len(t) == 1]] = [r for t, r in zip(vocabulary.tokens, vocabulary.ids.tolist()) if len(t) == 1]
+    piece = np.repeat(np.arange(len(starts)), sizes)
+    symbol = single[_spread(data, starts, sizes)]
+    active = np.ones(len(starts), bool)
+    while len(keys):
+        left = np.flatnonzero((piece[:-1] == piece[1:]) & active[piece[:-1]])
+        if not len(left):
+            break
+        key = symbol[left] << 32 | symbol[left + 1]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        some = keys[at] == key
+        active[piece[left]] = False
+        left, rank = left[some], joined[at[some]]
+        if not len(left):
+            break
+        owner = piece[left]
+        firsts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        least = np.repeat(np.minimum.reduceat(rank, firsts), np.diff(np.append(firsts, len(rank))))
+        low = np.flatnonzero(rank == least)
+        low = low[np.concatenate([[True], owner[low][1:] != owner[low][:-1]])]
+        first = left[low]
+        active[owner[low]] = True
+        symbol[first] = rank[low]
+        keep = np.ones(len(piece), bool)
+        keep[first + 1] = False
+        piece, symbol = piece[keep], symbol[keep]
+    return symbol, np.bincount(piece, minlength=len(starts))
+
+
 def _spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of `values` that begin at `starts`, one after the other."""
     ends = np.cumsum(sizes)
@@ -248,12 +298,15 @@ def ids_of(pieces: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.nd
     at = vocabulary.hash.find(data, starts, sizes)
     counts = np.ones(len(at), np.int64)
     missed = np.flatnonzero(at < 0)
+    short, missed = missed[sizes[missed] <= MEMO_BYTES], missed[sizes[missed] > MEMO_BYTES]
+    merged_ids, counts[short] = merged_all(data, starts[short], sizes[short], vocabulary)
     others = [vocabulary.encoded(data[starts[n] : starts[n] + sizes[n]].tobytes()) for n in missed]
     counts[missed] = [len(ids) for ids in others]
     firsts = np.cumsum(counts) - counts
     flat = np.empty(int(counts.sum()), np.int32)
     hits = at >= 0
     flat[firsts[hits]] = vocabulary.ids[at[hits]]
+    flat[_spread(np.arange(len(flat)), firsts[short], counts[short])] = merged_ids
     if len(missed):
         flat[_spread(np.arange(len(flat)), firsts[missed], counts[missed])] = np.fromiter(itertools.chain.from_iterable(others), np.int32, int(counts[missed].sum()))
     order = coded.indices.to_numpy()

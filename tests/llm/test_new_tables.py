@@ -132,6 +132,20 @@ def test_merges_of_bytes_without_a_longer_token():
     assert byte_pairs.merged(b"xyz", ranks, 4) == [120, 121, 122] and byte_pairs.merged(b"", ranks, 4) == []
 
 
+def test_pieces_merged_at_once_as_one_by_one(tmp_path):
+    rng = random.Random(5)
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"bb", b"abab", b"ba", b"aba", b"bab", b"abb", b"bba"]
+    ranked = tmp_path / "ranks.tiktoken"
+    ranked.write_text("".join(f"{base64.b64encode(t).decode()} {n}\n" for n, t in enumerate(tokens)))
+    vocabulary = byte_pairs.Vocabulary(str(ranked))
+    pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 40))) for _ in range(2000)]
+    sizes = np.array([len(p) for p in pieces])
+    ids, counts = byte_pairs.merged_all(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, sizes, vocabulary)
+    want = [byte_pairs.merged(p, vocabulary.ranks, vocabulary.hash.longest) for p in pieces]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_round_trip_of_documents(docs, nothing):
     other = library()
     rows = docs.select("doc_id", "text").collect()
