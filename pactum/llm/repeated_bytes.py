@@ -32,7 +32,6 @@ from pyspark.sql.window import Window
 
 from pactum.llm.bit_tables import bit_table, hit
 from pactum.llm.frames import documents, ids, text_chunks, written
-from pactum.llm.suffix_order import suffix_order
 from pactum.llm.words import _BYTE, _STEP, mixed
 
 LENGTH, GRAM = 100, 32
@@ -146,20 +145,22 @@ def repeated_windows(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int,
     """(row, start) of the windows of some runs (doc, row, at, bytes) that an earlier window among them equals."""
     texts = [b for *_, b in rows]
     base = np.cumsum([0, *(len(b) + 1 for b in texts)])
-    order = np.array(suffix_order(texts), np.int64)
-    row = np.searchsorted(base, order, "right") - 1
-    counts = np.array([at >> 8 & 255 for *_, at, _ in rows])
-    starts = np.array([at >> 16 for *_, at, _ in rows])
-    off = order - base[row]
-    good = off < counts[row]
-    order, row, off = order[good], row[good], off[good]
-    if len(order) < 2:
+    counts = np.array([at >> 8 & 255 for *_, at, _ in rows], np.int64)
+    starts = np.array([at >> 16 for *_, at, _ in rows], np.int64)
+    if counts.sum() < 2:
         return []
-    data = np.frombuffer(b"\0".join(texts) + bytes(LENGTH), np.uint8)
-    window = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    row = np.repeat(np.arange(len(rows)), counts)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    # every window's bytes as words, filled up with zeros; sorted by them, equal windows stand together
+    words = -(-LENGTH // 8)
+    data = np.frombuffer(b"\0".join(texts) + bytes(8 * words), np.uint8)
+    window = np.lib.stride_tricks.sliding_window_view(data, 8 * words)[base[row] + off]
+    window[:, LENGTH:] = 0
+    window = window.view("<u8")
+    order = np.lexsort(window.T[::-1])
+    window, row, off = window[order], row[order], off[order]
     same = np.zeros(len(order), bool)
-    for k in range(1, len(order), 8192):  # neighbours in suffix order
-        same[k : k + 8192] = (window[order[k : k + 8192]] == window[order[k - 1 : k + 8191][: len(order[k : k + 8192])]]).all(axis=1)
+    same[1:] = (window[1:] == window[:-1]).all(axis=1)
     group = np.cumsum(~same)
     doc = np.array([d for d, *_ in rows], np.int64)[row]
     key = np.array([r for _, r, *_ in rows], np.int64)[row]

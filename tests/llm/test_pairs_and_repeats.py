@@ -134,3 +134,18 @@ def test_nothing_repeats_or_links(spark):
     df = spark.createDataFrame([(1, "short"), (2, "other words")], "doc_id long, text string")
     assert {r.component_id for r in ngram_join.near_duplicates(df).collect()} == {1, 2}
     assert repeated_bytes.remove_repeats(df).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_repeated_windows_as_by_comparing_all_windows():
+    rng = random.Random(11)
+    base = bytes(rng.choice(b"ab") for _ in range(300))
+    rows = []
+    for r in range(30):
+        count, start = rng.randrange(1, 60), rng.randrange(0, 150)
+        rows.append((rng.randrange(0, 4), r, rng.randrange(0, 99) << 16 | count << 8 | 3, base[start : start + count - 1 + repeated_bytes.LENGTH]))
+    windows = [(b[k : k + repeated_bytes.LENGTH], d, (at >> 16) + k, r) for d, r, at, b in rows for k in range(at >> 8 & 255)]
+    first = {}
+    for w, d, s, _ in windows:
+        first[w] = min(first.get(w, (d, s)), (d, s))
+    want = sorted((r, s) for w, d, s, r in windows if (d, s) != first[w])
+    assert sorted(repeated_bytes.repeated_windows(rows)) == want
